@@ -1,0 +1,100 @@
+"""Fixed schemas of the control tables. Inferred tables use ``df.schema`` instead."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+_STR, _LONG, _INT = T.StringType(), T.LongType(), T.IntegerType()
+_BOOL, _TS, _DBL = T.BooleanType(), T.TimestampType(), T.DoubleType()
+_NUMERIC = T.DecimalType(38, 10)
+_STRINGS = T.ArrayType(_STR)
+_ROWS = T.ArrayType(T.MapType(_STR, _STR))
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind, True) for name, kind in columns.items()])
+
+
+RULES = _table(
+    rule_id=_LONG, database_connection_id=_LONG, table_name=_STR, rule_name=_STR, sql_text=_STR,
+    rule_fingerprint=_STR, expected_result_type=_STR, expected_result_value=_NUMERIC,
+    is_enabled=_BOOL, schedule_cron=_STR, schedule_text=_STR, notification_channels=_STRINGS,
+    source_prompt=_STR, severity=_STR, quality_score=T.DecimalType(5, 2), is_noisy=_BOOL,
+    false_positive_rate=T.DecimalType(5, 2), created_at=_TS, updated_at=_TS,
+)
+
+TEST_RESULTS = _table(
+    result_id=_LONG, rule_id=_LONG, database_connection_id=_LONG, rule_name=_STR, sql_text=_STR,
+    status=_STR, observed_key=_STR, observed_value=_NUMERIC, execution_time_ms=_INT,
+    error_message=_STR, executed_at=_TS,
+)
+
+POLICIES = _table(
+    id=_LONG, rule_id=_LONG, immediate_threshold=_NUMERIC, batch_window_minutes=_INT,
+    deduplication_window_minutes=_INT, enable_llm_summary=_BOOL, enable_fix_suggestions=_BOOL,
+    slack_enabled=_BOOL, email_enabled=_BOOL, created_at=_TS,
+)
+
+VIOLATION_EVENTS = _table(
+    id=_LONG, rule_result_id=_LONG, rule_id=_LONG, severity=_STR, violation_count=_NUMERIC,
+    sample_rows=_ROWS, fingerprint=_STR, status=_STR, created_at=_TS,
+)
+
+VIOLATION_BATCHES = _table(
+    id=_LONG, rule_id=_LONG, severity=_STR, first_seen=_TS, last_seen=_TS,
+    total_occurrences=_LONG, total_violation_count=_NUMERIC, status=_STR,
+)
+
+DELIVERIES = _table(
+    id=_LONG, rule_id=_LONG, channel=_STR, status=_STR, error_message=_STR, sent_at=_TS,
+)
+
+SUMMARIES = _table(
+    id=_LONG, violation_batch_id=_LONG, summary=_STR, root_causes=_STRINGS,
+    suggested_fixes=_STRINGS, business_impact=_STR, raw_response=_STR, created_at=_TS,
+    prompt_version=_STR, effective_confidence=_STR, provider_name=_STR, model_name=_STR,
+    token_usage=_INT, parsing_failure=_BOOL,
+)
+
+FEEDBACK = _table(
+    id=_LONG, violation_batch_id=_LONG, llm_summary_id=_LONG, feedback_type=_STR,
+    edited_summary=_STR, edited_fixes=_STR, feedback_notes=_STR, user_id=_STR, created_at=_TS,
+)
+
+PROFILES = _table(
+    table_name=_STR, position=_INT, column_name=_STR, dtype=_STR, row_count=_LONG,
+    column_count=_INT, null_count=_LONG, null_pct=_DBL, unique_count=_LONG, unique_pct=_DBL,
+    is_unique=_BOOL, min=_DBL, max=_DBL, mean=_DBL, std=_DBL, median=_DBL, p25=_DBL, p75=_DBL,
+    top_values=T.ArrayType(_table(value=_STR, count=_LONG)), note=_STR, profiled_at=_TS,
+)
+
+SUGGESTIONS = _table(
+    suggestion_id=_LONG, profile_id=_LONG, table_name=_STR, column_name=_STR,
+    suggestion_type=_STR, suggested_rule_name=_STR, suggested_sql=_STR,
+    expected_result_type=_STR, expected_result_value=_NUMERIC, confidence=_DBL,
+    applied=_BOOL, applied_rule_id=_LONG, created_at=_TS,
+)
+
+ANOMALY_RESULTS = _table(
+    table_name=_STR, column_name=_STR, method=_STR, anomaly_count=_LONG, total_rows=_LONG,
+    anomaly_pct=_DBL, sample_values=T.ArrayType(_DBL), sample_keys=T.ArrayType(_LONG),
+    detected_at=_TS,
+)
+
+DRIFT_RESULTS = _table(
+    reference_table=_STR, current_table=_STR, column_name=_STR, stat_test=_STR,
+    drift_score=_DBL, is_drifted=_BOOL, detected_at=_TS,
+)
+
+INCIDENT_VECTORS = _table(
+    id=_LONG, violation_batch_id=_LONG, rule_id=_LONG, incident_text=_STR,
+    embedding=T.MapType(_STR, _LONG), created_at=_TS,
+)
+
+GENERATIONS = _table(
+    id=_LONG, prompt=_STR, original_prompt=_STR, generated_sql=_STR, explanation=_STR,
+    assumptions=_STRINGS, possible_edge_cases=_STRINGS, confidence=_STR, provider_name=_STR,
+    model_name=_STR, prompt_version=_STR, parsing_failure=_BOOL, approved=_BOOL,
+    approved_by=_STR, edited_after_generation=_BOOL, reviewed_sql=_STR,
+    approval_timestamp=_TS, saved_rule_id=_LONG, created_at=_TS,
+)
