@@ -85,7 +85,7 @@ def _tail(df: DataFrame, key: str, columns: list[str], contamination: float) ->
     scored = rows.join(F.broadcast(limits), "column_name").withColumn("score", distance)
     ties = (
         scored.filter((F.col("score") == F.col("cut")) & (F.col("room") < F.col("ties")))
-        .groupBy("column_name", F.col("row_key").cast("double").alias("value"))
+        .groupBy("column_name", F.col("row_key").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     tie_span = ties.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))

@@ -88,7 +88,10 @@ def order_statistics(
         )
         bucket = F.coalesce(
             F.least(
-                F.width_bucket(F.col("v"), F.col("lo"), F.col("hi"), F.lit(buckets)),
+                F.width_bucket(
+                    F.col("v").cast("double"), F.col("lo").cast("double"),
+                    F.col("hi").cast("double"), F.lit(buckets),
+                ),
                 F.lit(buckets).cast("long"),
             ),
             F.lit(1).cast("long"),

@@ -153,36 +153,59 @@ def uniqueness(df: DataFrame, columns: list[str] | None = None, approx: bool = F
     ).select("column_name", "row_count", "unique_count", "unique_pct", "is_unique")
 
 
-def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+_MOMENTS = ("n", "min", "max", "mean", "std", "std_pop")
+
+
+def _moment_aggregates(df: DataFrame, columns: list[str]) -> list[Column]:
     aggregates = []
     for i, name in enumerate(columns):
         value = _clean(df, name)
-        aggregates += [
-            F.count(value).alias(f"n{i}"),
-            F.min(value).alias(f"lo{i}"),
-            F.max(value).alias(f"hi{i}"),
-            F.avg(value).alias(f"mean{i}"),
-            F.stddev_samp(value).alias(f"std{i}"),
-            F.stddev_pop(value).alias(f"pop{i}"),
-        ]
-    rows = F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(f"n{i}").alias("n"),
-            F.col(f"lo{i}").alias("min"),
-            F.col(f"hi{i}").alias("max"),
-            F.col(f"mean{i}").alias("mean"),
-            F.col(f"std{i}").alias("std"),
-            F.col(f"pop{i}").alias("std_pop"),
+        made = (
+            F.count(value), F.min(value), F.max(value), F.avg(value),
+            F.stddev_samp(value), F.stddev_pop(value),
         )
-        for i, c in enumerate(columns)
-    ])
-    return df.agg(*aggregates).select(F.inline(rows))
+        aggregates += [a.alias(f"{label}{i}") for label, a in zip(_MOMENTS, made)]
+    return aggregates
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n, min, max, mean, std, std_pop), one aggregate over one scan."""
-    return _moments(df, columns)
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{m}{i}").alias(m) for m in _MOMENTS])
+        for i, c in enumerate(columns)
+    ])
+    return df.agg(*_moment_aggregates(df, columns)).select(F.inline(rows))
+
+
+def _scalars(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """Row count, null counts and moments of all columns from a single aggregate."""
+    labels = schema_info(df)
+    counts = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"k{i}") for i, c in enumerate(df.columns)],
+        *_moment_aggregates(df, numeric),
+    )
+    shown = ("min", "max", "mean", "std")
+
+    def stats(name):
+        if name in numeric:
+            return [F.col(f"{m}{numeric.index(name)}").alias(m) for m in shown]
+        return [F.lit(None).cast("double").alias(m) for m in shown]
+
+    rows = F.array(*[
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(c).alias("column_name"),
+            F.lit(labels[c]).alias("dtype"),
+            F.col("rows").alias("row_count"),
+            F.col(f"k{i}").alias("null_count"),
+            *stats(c),
+        )
+        for i, c in enumerate(df.columns)
+    ])
+    return counts.select(F.inline(rows)).withColumn(
+        "null_pct", _pct(F.col("null_count"), F.col("row_count"))
+    )
 
 
 def quartiles(freq: DataFrame) -> DataFrame:
@@ -230,7 +253,7 @@ def numeric_stats(
     columns = columns or numeric_columns(df, include_decimal)
     freq = numeric_counts(value_counts(df, columns), columns)
     return (
-        _moments(df, columns)
+        moments(df, columns)
         .drop("std_pop")
         .join(F.broadcast(quartiles(freq)), "column_name", "left")
     )
@@ -280,19 +303,17 @@ def profile(
     other = [c for c in columns if c not in numeric]
     counts = value_counts(df)
     distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-    nulls = null_summary(df).drop("row_count")
 
-    result = _all_columns(df, columns).join(F.broadcast(nulls), "column_name")
-    result = _with_uniqueness(result.join(F.broadcast(distinct), "column_name", "left"))
+    result = _with_uniqueness(
+        _scalars(df, numeric).join(F.broadcast(distinct), "column_name", "left")
+    )
     if numeric:
-        stats = _moments(df, numeric).drop("n", "std_pop")
         cuts = quartiles(numeric_counts(counts, numeric))
-        result = result.join(F.broadcast(stats), "column_name", "left").join(
-            F.broadcast(cuts), "column_name", "left"
-        )
+        result = result.join(F.broadcast(cuts), "column_name", "left")
     else:
-        names = ("min", "max", "mean", "std", "median", "p25", "p75")
-        result = result.withColumns({c: F.lit(None).cast("double") for c in names})
+        result = result.withColumns(
+            {c: F.lit(None).cast("double") for c in ("median", "p25", "p75")}
+        )
     if other:
         result = result.join(F.broadcast(_top_values(counts, other, k)), "column_name", "left")
     else:
