@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
+from plumbline.session import settle
 
 # Limits and thresholds of the incident search.
 CANDIDATES = 100
@@ -31,17 +32,6 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def term_map(text: Column) -> Column:
-    """term -> count as one map, inside the row: no shuffle."""
-    words = F.array_sort(tokens(text))
-    return F.map_from_entries(F.transform(
-        F.array_distinct(words),
-        lambda term: F.struct(
-            term, F.size(F.filter(words, lambda word: word == term)).cast("long")
-        ),
-    ))
-
-
 def term_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, embedding map<term, count>)."""
     return (
@@ -51,9 +41,28 @@ def term_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def norms(counts: DataFrame, key: str) -> DataFrame:
-    squared = F.sum((F.col("n") * F.col("n")).cast("double"))
-    return counts.groupBy(key).agg(F.sqrt(squared).alias("norm"), F.count(F.lit(1)).alias("terms"))
+def norm(words: Column) -> Column:
+    """Length of the term-count vector, from the token array alone: in a sorted array the r-th
+    copy of a term adds r*r - (r-1)*(r-1) to the sum of squares."""
+    start = F.struct(
+        F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("squares")
+    )
+
+    def step(state, word):
+        run = F.when(word == state["last"], state["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(
+            word.alias("last"), run.alias("run"), (state["squares"] + 2 * run - 1).alias("squares")
+        )
+
+    return F.aggregate(F.array_sort(words), start, step, lambda state: F.sqrt(state["squares"].cast("double")))
+
+
+def cosine(dot: Column, left_norm: Column, right_norm: Column) -> Column:
+    return F.when((left_norm == 0) | (right_norm == 0), 0.0).otherwise(dot / (left_norm * right_norm))
+
+
+# The word lists of the newest incidents are broadcast up to this many (term, incident) pairs.
+BROADCAST_PAIRS = 2_000_000
 
 
 def similar(
@@ -71,65 +80,67 @@ def similar(
 
     Whatever the number of targets, only the newest ``candidates + 1`` incidents can be looked at
     (one of them may be the target itself), so a term meets at most that many counterparts and
-    there is no all-pairs step. Returns (key, match_id, rank, similarity_score in percent,
-    matched_keywords, rationale).
+    there is no all-pairs step. The words of those few incidents are settled once and, if few
+    enough, broadcast; a target's words then meet them where they are read, and what is shuffled
+    is one partial sum per (target, incident). Returns (key, match_id, rank, similarity_score in
+    percent, matched_keywords, rationale).
     """
-    newest = history.orderBy(F.desc(created), F.desc(key)).limit(candidates + 1)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc(created), F.desc(key))
-    pool = newest.select(
-        F.col(key).alias("match_id"), F.col(text).alias("_text"),
-        F.row_number().over(order).alias("_age"),
-        *([F.col(rule).alias("_match_rule")] if rule else []),
-    )
-    pool_terms = term_counts(pool, "match_id", "_text").select(
-        "match_id", "term", F.col("n").alias("m")
-    )
-    per_term = pool_terms.groupBy("term").agg(
-        F.collect_list(F.struct("match_id", "m")).alias("_matches")  # at most candidates + 1
-    )
-    pool_facts = pool.drop("_text").join(
-        pool_terms.groupBy("match_id").agg(
-            F.sqrt(F.sum((F.col("m") * F.col("m")).cast("double"))).alias("_match_norm")
-        ),
-        "match_id",
+    newest = history.select(
+        F.col(key).alias("match_id"), F.col(created).alias("_at"), F.col(text).alias("_text"),
+        (F.col(rule) if rule else F.lit(None)).alias("_match_rule"),
+    ).orderBy(F.desc("_at"), F.desc("match_id")).limit(candidates + 1)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_at"), F.desc("match_id"))
+    pool = settle(newest.withColumn("_age", F.row_number().over(order)))
+    facts = pool.select("match_id", "_match_rule", "_age", norm(tokens(F.col("_text"))).alias("_match_norm"))
+
+    pairs = settle(term_counts(pool, "match_id", "_text"))
+    per_term = pairs.groupBy("term").agg(
+        F.collect_list(F.struct("match_id", F.col("n").alias("m"))).alias("_matches")
     )
-    counts = term_counts(targets, key, text)
-    sizes = norms(counts, key).drop("terms")
-    shared = counts.join(per_term, "term").select(key, "term", "n", F.inline("_matches"))
-    both = F.struct((-(F.col("n") + F.col("m"))).alias("weight"), "term")
-    dots = shared.filter(F.col(key) != F.col("match_id")).groupBy(key, "match_id").agg(
-        F.sum(F.col("n") * F.col("m")).alias("_dot")
+    if pairs.count() <= BROADCAST_PAIRS:
+        per_term = F.broadcast(per_term)
+
+    words = tokens(F.col(text))
+    read = targets.select(key, norm(words).alias("norm"), F.explode(words).alias("term"))
+    met = read.join(per_term, "term").select(key, "norm", F.inline("_matches"))
+    dots = met.filter(F.col(key) != F.col("match_id")).groupBy(key, "match_id").agg(
+        F.sum("m").alias("_dot"), F.max("norm").alias("norm")
     )
-    score = F.col("_dot") / (F.col("norm") * F.col("_match_norm"))
-    in_reach = F.col("_age") <= F.when(F.col("_own_age").isNull(), candidates).otherwise(candidates + 1)
     own = pool.select(F.col("match_id").alias(key), F.col("_age").alias("_own_age"))
-    scored = (
-        dots.join(sizes, key)
-        .join(F.broadcast(pool_facts), "match_id")
+    reach = F.when(F.col("_own_age").isNull(), candidates).otherwise(candidates + 1)
+    best = Window.partitionBy(key).orderBy(F.desc("similarity_score"), "_age")
+    top = (
+        dots.join(F.broadcast(facts), "match_id")
         .join(F.broadcast(own), key, "left")
-        .filter(in_reach)
-        .withColumn("score", score)
+        .filter(F.col("_age") <= reach)
+        .withColumn("score", cosine(F.col("_dot"), F.col("norm"), F.col("_match_norm")))
         .filter(F.col("score") >= threshold)
         .withColumn("similarity_score", F.round(F.col("score") * 100, 1))
+        .withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k)
     )
-    best = Window.partitionBy(key).orderBy(F.desc("similarity_score"), "_age")
-    top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    # keywords only for the pairs that are kept
-    words = (
-        shared.join(top.select(key, "match_id"), [key, "match_id"], "left_semi")
+    # keywords only for the pairs kept: at most k per target go back to the target's text
+    kept = top.groupBy(key).agg(F.collect_list("match_id").alias("_kept"))
+    again = targets.select(key, words.alias("_words")).join(kept, key)
+    counted = again.select(key, "_kept", F.explode("_words").alias("term")).groupBy(key, "term").agg(
+        F.count(F.lit(1)).alias("n"), F.first("_kept").alias("_kept")
+    )
+    shared = F.filter("_matches", lambda item: F.array_contains(F.col("_kept"), item["match_id"]))
+    ranked = F.array_sort(F.collect_list(F.struct((-(F.col("n") + F.col("m"))).alias("w"), "term")))
+    keywords = (
+        counted.join(per_term, "term")
+        .select(key, "term", "n", F.inline(shared))
         .groupBy(key, "match_id")
-        .agg(F.array_sort(F.collect_list(both)).alias("_words"))
-        .select(key, "match_id", F.transform(
-            F.slice("_words", 1, KEYWORDS), lambda item: item["term"]
-        ).alias("matched_keywords"))
+        .agg(F.slice(ranked, 1, KEYWORDS).alias("_top"))
+        .select(key, "match_id", F.transform("_top", lambda item: item["term"]).alias("matched_keywords"))
     )
     note = F.when(F.col("score") > HIGH_SCORE, HIGH_NOTE).otherwise(MODERATE_NOTE)
     if rule:
-        own_rule = targets.select(key, F.col(rule).alias("_own_rule"))
-        top = top.join(own_rule, key)
-        note = F.when(F.col("_own_rule") == F.col("_match_rule"), F.concat(note, F.lit(SAME_RULE_NOTE))).otherwise(note)
-    return top.join(words, [key, "match_id"]).select(
+        top = top.join(targets.select(key, F.col(rule).alias("_own_rule")), key)
+        same = F.col("_own_rule") == F.col("_match_rule")
+        note = F.when(same, F.concat(note, F.lit(SAME_RULE_NOTE))).otherwise(note)
+    return top.join(keywords, [key, "match_id"]).select(
         key, "match_id", "rank", "similarity_score", "matched_keywords", note.alias("rationale")
     )
 

@@ -1,0 +1,99 @@
+"""Demo tables with planted defects, computed from an id column."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# The names and labels of the demo tables.
+EMPLOYEE_FIRST_NAMES = (
+    "Aarav Aisha Amelia Arjun Avery Carlos Diya Elena Ethan Fatima Grace Hannah Ibrahim Isha "
+    "Jacob Jia Kabir Leah Liam Maya Mia Noah Nora Olivia Priya Rahul Riya Samir Sara Sofia Theo "
+    "Vivaan Zara"
+).split()
+EMPLOYEE_LAST_NAMES = (
+    "Anderson Bansal Brown Chen Davis Fernandez Garcia Gupta Iyer Johnson Kapoor Khan Kim Lee "
+    "Mehta Miller Nair Patel Rao Roy Shah Singh Smith Thomas Verma Williams"
+).split()
+DEPARTMENTS = (
+    "Engineering", "Sales", "Finance", "Operations", "People Ops", "Legal", "Product",
+    "Customer Success", "Security", "Marketing", "Data Platform", "Procurement",
+)
+STUDENT_FIRST_NAMES = (
+    "Aditya Ananya Ava Benjamin Camila Daniel Emma Farhan Harper Ishaan Kiara Lucas Meera Nina "
+    "Omar Reyansh Saanvi Tara Vihaan Yusuf Zoe"
+).split()
+STUDENT_LAST_NAMES = (
+    "Agarwal Ali Bose Chatterjee Das Evans Ghosh Hernandez Joshi Kumar Malhotra Martin Menon "
+    "Murphy Nguyen Pillai Reddy Saxena Sharma Walker"
+).split()
+GRADE_LEVELS = ("Freshman", "Sophomore", "Junior", "Senior")
+
+
+def _pick(values, number: Column) -> Column:
+    index = F.pmod(number, F.lit(len(values))).cast("int") + 1
+    return F.element_at(F.array(*[F.lit(v) for v in values]), index)
+
+
+def employees_from(ids: DataFrame, id_column: str = "id") -> DataFrame:
+    """One employee per id (1, 2, ...): negative salaries at ids up to 10 and at multiples of
+    997, missing salaries at 11..30."""
+    n = F.col(id_column).cast("long")
+    rare = n % 997 == 0
+    status = (
+        F.when(n <= 30, "active")
+        .when(rare, "inactive")
+        .when(n % 37 == 0, "leave")
+        .when(n % 11 == 0, "inactive")
+        .otherwise("active")
+    )
+    money = "decimal(12,2)"
+    usual = (
+        F.lit(42000).cast("decimal(20,2)")
+        + ((n * 7919) % 148000).cast("decimal(20,2)")
+        + (n % 100).cast("decimal(20,2)") * F.lit("0.37").cast("decimal(4,2)")
+    )
+    salary = (
+        F.when(n <= 10, (-(n * 137 + 750)).cast(money))
+        .when(n <= 30, F.lit(None).cast(money))
+        .when(rare, (-(n % 700 + 300)).cast(money))
+        .otherwise(usual.cast(money))
+    )
+    return ids.select(
+        n.alias("employee_id"),
+        F.concat(_pick(EMPLOYEE_FIRST_NAMES, n * 7), F.lit(" "), _pick(EMPLOYEE_LAST_NAMES, n * 11))
+        .alias("full_name"),
+        status.alias("status"),
+        salary.alias("salary"),
+        _pick(DEPARTMENTS, n * 5).alias("department"),
+        F.date_add(F.lit("2016-01-01").cast("date"), F.pmod(n * 17, F.lit(3400)).cast("int"))
+        .alias("hired_at"),
+    )
+
+
+def students_from(ids: DataFrame, id_column: str = "id") -> DataFrame:
+    n = F.col(id_column).cast("long")
+    status = (
+        F.when(n % 41 == 0, "waitlisted")
+        .when(n % 17 == 0, "cancelled")
+        .when(n % 13 == 0, "rejected")
+        .when(n % 7 == 0, "applied")
+        .otherwise("enrolled")
+    )
+    return ids.select(
+        n.alias("student_id"),
+        F.concat(_pick(STUDENT_FIRST_NAMES, n * 13), F.lit(" "), _pick(STUDENT_LAST_NAMES, n * 17))
+        .alias("full_name"),
+        F.date_add(F.lit("2023-08-01").cast("date"), F.pmod(n * 19, F.lit(980)).cast("int"))
+        .alias("enrollment_date"),
+        status.alias("admission_status"),
+        _pick(GRADE_LEVELS, n * 3).alias("grade_level"),
+    )
+
+
+def make_employees(spark: SparkSession, n: int = 100_000) -> DataFrame:
+    return employees_from(spark.range(1, n + 1))
+
+
+def make_students(spark: SparkSession, n: int = 10_000) -> DataFrame:
+    return students_from(spark.range(1, n + 1))
