@@ -6,11 +6,11 @@ reduce to limits per column, and flagging is then a filter next to the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import order_statistics
-from plumbline.operators.profile import moments, numeric_columns, numeric_long, quartiles
+from plumbline.operators.ordering import Rank, order_statistics
+from plumbline.operators.profile import moments, numeric_columns, numeric_long, spans_of
 
 MIN_VALUES = 10
 SAMPLE = 50
@@ -47,60 +47,66 @@ def _zscore(df: DataFrame, key: str, columns: list[str], threshold: float) -> Da
     )
 
 
+def _local(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows per column, known on the driver, ready to be broadcast."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+
 def _tail(df: DataFrame, key: str, columns: list[str], contamination: float) -> DataFrame:
     share = min(max(float(contamination), 0.0), 0.5)
     rows = numeric_long(df, columns, [F.col(key).alias("row_key")])
-    freq = rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    middle = quartiles(freq).select("column_name", "median")
-
-    distance = F.abs(F.col("value") - F.col("median"))
-    by_distance = (
-        freq.join(F.broadcast(middle), "column_name")
-        .groupBy("column_name", distance.alias("value"))
-        .agg(F.sum("n").alias("n"))
-    )
-    span = by_distance.groupBy("column_name").agg(
-        F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-    )
-    k = F.greatest(F.lit(1).cast("long"), F.bround(F.col("n") * share).cast("long"))
-    wanted = span.filter(F.col("n") >= MIN_VALUES).filter(F.lit(share > 0)).withColumn("k", k)
-    targets = wanted.select(
-        "column_name", F.lit("cut").alias("stat"), (F.col("n") - F.col("k")).alias("rank"), "lo", "hi"
-    )
-    cut = order_statistics(by_distance, targets).select("column_name", F.col("value").alias("cut"))
-    # rows further out than the cut are all in; of the rows at the cut only the first by key
-    beyond = (
-        by_distance.join(F.broadcast(cut), "column_name")
-        .groupBy("column_name", "cut")
-        .agg(
-            F.sum(F.when(F.col("value") > F.col("cut"), F.col("n")).otherwise(0)).alias("beyond"),
-            F.sum(F.when(F.col("value") == F.col("cut"), F.col("n")).otherwise(0)).alias("ties"),
-        )
-    )
-    limits = (
-        middle.join(F.broadcast(beyond), "column_name")
-        .join(F.broadcast(wanted.select("column_name", "k")), "column_name")
-        .withColumn("room", F.col("k") - F.col("beyond"))
-    )
-    scored = rows.join(F.broadcast(limits), "column_name").withColumn("score", distance)
-    ties = (
-        scored.filter((F.col("score") == F.col("cut")) & (F.col("room") < F.col("ties")))
-        .groupBy("column_name", F.col("row_key").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    tie_span = ties.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    tie_targets = tie_span.join(F.broadcast(limits), "column_name").select(
-        "column_name", F.lit("key").alias("stat"), (F.col("room") - 1).alias("rank"), "lo", "hi"
-    )
-    last_key = order_statistics(ties, tie_targets).select(
-        "column_name", F.col("value").alias("last_key")
-    )
-    at_cut = (F.col("score") == F.col("cut")) & (
-        (F.col("room") >= F.col("ties")) | (F.col("row_key") <= F.col("last_key"))
+    spans = {
+        name: span for name, span in spans_of(moments(df, columns)).items() if span[0] >= MIN_VALUES
+    }
+    # round() takes halves to the even number
+    sizes = {name: max(1, round(n * share)) for name, (n, _, _) in spans.items()} if share > 0 else {}
+    values = rows.select("column_name", "value", F.lit(1).alias("n"))
+
+    wanted = []
+    for name in sizes:
+        n, low, high = spans[name]
+        wanted.append(Rank(name, "low", (n - 1) // 2, low, high, n))
+        wanted.append(Rank(name, "high", n // 2, low, high, n))
+    found = order_statistics(values, wanted)
+    medians = {name: (found[name, "low"] + found[name, "high"]) / 2 for name in sizes}
+
+    score = F.abs(F.col("value") - F.col("median"))
+    middle = _local(df, list(medians.items()), "column_name string, median double")
+    distances = rows.join(middle, "column_name").select(
+        "column_name", score.alias("value"), F.lit(1).alias("n")
     )
+    wanted = []
+    for name, k in sizes.items():
+        n, low, high = spans[name]
+        farthest = max(abs(low - medians[name]), abs(high - medians[name]))
+        wanted.append(Rank(name, "cut", n - k, 0.0, farthest, n))
+    cuts = {name: cut for (name, _), cut in order_statistics(distances, wanted).items()}
+
+    # rows beyond the cut are all in; of the rows at the cut only the first by key
+    limits = [(name, medians[name], cuts[name]) for name in sizes]
+    scored = rows.join(
+        _local(df, limits, "column_name string, median double, cut double"), "column_name"
+    ).withColumn("score", score)
+    at_cut = F.col("score") == F.col("cut")
+    counts = scored.filter(F.col("score") >= F.col("cut")).groupBy("column_name").agg(
+        F.count_if(at_cut).alias("ties"),
+        F.count_if(~at_cut).alias("beyond"),
+        F.min(F.when(at_cut, F.col("row_key"))).alias("low"),
+        F.max(F.when(at_cut, F.col("row_key"))).alias("high"),
+    ).collect()
+    crowded = [
+        Rank(r["column_name"], "key", sizes[r["column_name"]] - r["beyond"] - 1, r["low"], r["high"], r["ties"])
+        for r in counts
+        if sizes[r["column_name"]] - r["beyond"] < r["ties"]
+    ]
+    keys = scored.filter(at_cut).select("column_name", F.col("row_key").alias("value"), F.lit(1).alias("n"))
+    last = {name: value for (name, _), value in order_statistics(keys, crowded).items()}
+    key_type = df.schema[key].dataType.simpleString()
+    last_keys = _local(df, list(last.items()), f"column_name string, last_key {key_type}")
+    within = F.col("last_key").isNull() | (F.col("row_key") <= F.col("last_key"))
     return (
-        scored.join(F.broadcast(last_key), "column_name", "left")
-        .filter((F.col("score") > F.col("cut")) | at_cut)
+        scored.join(last_keys, "column_name", "left")
+        .filter((F.col("score") > F.col("cut")) | (at_cut & within))
         .select("row_key", "column_name", "value", "score")
     )
 

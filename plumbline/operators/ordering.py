@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -67,58 +69,100 @@ def running_total(
     return joined.select(*[F.col(f"s.{name}") for name in kept], *[combined(o) for o in amounts])
 
 
-def order_statistics(
-    freq: DataFrame, targets: DataFrame, levels: int = 2, buckets: int = 1024
-) -> DataFrame:
-    """The exact value at each requested rank.
+@dataclass(frozen=True)
+class Rank:
+    """The value wanted at a 0-based rank of a column, known to lie in [low, high].
 
-    *freq* has (column_name, value, n): distinct non-null values with their counts. *targets* has
-    (column_name, stat, rank, lo, hi): 0-based rank and the column's smallest and largest value.
-    Each level counts values in equal-width buckets and keeps the one bucket that holds the rank,
-    so only the last few values are ever put in order. Buckets are at most *buckets* rows per
-    target, which bounds both the window and the broadcast. Returns (column_name, stat, value).
+    *below* rows are smaller than *low*; *inside* rows are in the range.
     """
-    freq = freq.select("column_name", F.col("value").alias("v"), "n")
-    band = targets.select("column_name", "stat", "rank", "lo", "hi", F.lit(0).cast("long").alias("below"))
-    per_target = Window.partitionBy("column_name", "stat")
 
-    for _ in range(levels):
-        inside = freq.join(F.broadcast(band), "column_name").filter(
-            F.col("v").between(F.col("lo"), F.col("hi"))
-        )
-        bucket = F.coalesce(
-            F.least(
-                F.width_bucket(
-                    F.col("v").cast("double"), F.col("lo").cast("double"),
-                    F.col("hi").cast("double"), F.lit(buckets),
-                ),
-                F.lit(buckets).cast("long"),
-            ),
-            F.lit(1).cast("long"),
-        )
-        hist = inside.groupBy("column_name", "stat", "rank", "below", bucket.alias("b")).agg(
-            F.sum("n").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        )
-        upto = F.col("below") + F.sum("m").over(
-            per_target.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        )
-        band = (
-            hist.withColumn("upto", upto)
-            .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
-            .select("column_name", "stat", "rank", "lo", "hi", (F.col("upto") - F.col("m")).alias("below"))
-        )
+    column: str
+    stat: str
+    rank: int
+    low: Any
+    high: Any
+    inside: int
+    below: int = 0
+
+
+LAST_STEP_ROWS = 1_000_000
+BUCKETS = 1024
+_FINITE = 8e307  # bucket bounds stay finite and their difference does too
+
 
-    last = freq.join(F.broadcast(band), "column_name").filter(
-        F.col("v").between(F.col("lo"), F.col("hi"))
+def _in_bands(rows: DataFrame, wanted: list[Rank]) -> DataFrame:
+    kind = rows.schema["value"].dataType.simpleString()
+    bands = rows.sparkSession.createDataFrame(
+        [(w.column, w.stat, w.rank, w.low, w.high, w.below) for w in wanted],
+        f"column_name string, stat string, rank long, low {kind}, high {kind}, below long",
     )
-    upto = F.col("below") + F.sum("n").over(
-        per_target.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.col("value").between(F.col("low"), F.col("high"))
+    return rows.join(F.broadcast(bands), "column_name").filter(reach)
+
+
+def _covers(upto: Column, size: Column) -> Column:
+    return (F.col("rank") < upto) & (F.col("rank") >= upto - size)
+
+
+def _narrow(rows: DataFrame, wanted: list[Rank]) -> list[Rank]:
+    """Replace each range by the one of its equal-width buckets that holds the rank."""
+    bound = lambda name: F.greatest(
+        F.lit(-_FINITE), F.least(F.lit(_FINITE), F.col(name).cast("double"))
     )
-    return (
-        last.withColumn("upto", upto)
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-        .select("column_name", "stat", F.col("v").alias("value"))
+    bucket = F.coalesce(
+        F.width_bucket(F.col("value").cast("double"), bound("low"), bound("high"), F.lit(BUCKETS)),
+        F.lit(1).cast("long"),
     )
+    counts = _in_bands(rows, wanted).groupBy(
+        "column_name", "stat", "rank", "below", bucket.alias("bucket")
+    ).agg(F.sum("n").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"))
+    by_bucket = Window.partitionBy("column_name", "stat").orderBy("bucket")
+    upto = F.col("below") + F.sum("size").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0))
+    hit = counts.withColumn("upto", upto).filter(_covers(F.col("upto"), F.col("size"))).collect()
+    return [
+        Rank(r["column_name"], r["stat"], r["rank"], r["low"], r["high"], r["size"], r["upto"] - r["size"])
+        for r in hit
+    ]
+
+
+def order_statistics(
+    rows: DataFrame, wanted: list[Rank], last_step_rows: int = LAST_STEP_ROWS
+) -> dict[tuple[str, str], Any]:
+    """The exact value at each wanted rank, as {(column, stat): value}.
+
+    *rows* has (column_name, value, n), n being how often the row counts. While a range holds more
+    than *last_step_rows* rows, one pass counts it in equal-width buckets and keeps the bucket
+    with the rank: tasks send at most BUCKETS counts per wanted value, and values themselves are
+    never shuffled. Only the last, small range is put in order. What reaches the driver is one
+    row per wanted value.
+    """
+    found: dict[tuple[str, str], Any] = {}
+    while True:
+        for w in wanted:
+            if w.low == w.high:
+                found[w.column, w.stat] = w.low
+        wanted = [w for w in wanted if w.low != w.high]
+        wide = [w for w in wanted if w.inside > last_step_rows]
+        if not wide:
+            break
+        narrowed = _narrow(rows, wide)
+        ranges = {(w.column, w.stat): (w.low, w.high) for w in wide}
+        stuck = [w for w in narrowed if ranges[w.column, w.stat] == (w.low, w.high)]
+        wanted = [w for w in wanted if w not in wide] + narrowed
+        if len(stuck) == len(narrowed):
+            break  # values too close together to be split further
+    if wanted:
+        counts = _in_bands(rows, wanted).groupBy(
+            "column_name", "stat", "rank", "below", "value"
+        ).agg(F.sum("n").alias("size"))
+        by_value = Window.partitionBy("column_name", "stat").orderBy("value")
+        upto = F.col("below") + F.sum("size").over(
+            by_value.rowsBetween(Window.unboundedPreceding, 0)
+        )
+        last = counts.withColumn("upto", upto).filter(_covers(F.col("upto"), F.col("size")))
+        for r in last.collect():
+            found[r["column_name"], r["stat"]] = r["value"]
+    return found
 
 
 # --- anchored walk ---------------------------------------------------------------------------

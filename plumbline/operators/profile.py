@@ -1,7 +1,7 @@
 """Column profiles over whole tables.
 
-A profile costs two scans: one aggregate for all scalar statistics, and one count per
-(column, value) that feeds distinct counts, order statistics and top values.
+One aggregate gives all scalar statistics, one count per (column, value) gives distinct counts
+and top values, and a few narrowing counts over the numeric columns give the exact quartiles.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.ordering import order_statistics
+from plumbline.operators.ordering import Rank, order_statistics
 from plumbline.operators.rule_table import first_per_group
+from plumbline.session import settle
 
 TOP_VALUES = 10
 
@@ -189,8 +190,10 @@ def _scalars(df: DataFrame, numeric: list[str]) -> DataFrame:
 
     def stats(name):
         if name in numeric:
-            return [F.col(f"{m}{numeric.index(name)}").alias(m) for m in shown]
-        return [F.lit(None).cast("double").alias(m) for m in shown]
+            i = numeric.index(name)
+            return [F.col(f"n{i}").alias("value_count"), *[F.col(f"{m}{i}").alias(m) for m in shown]]
+        absent = F.lit(None).cast("double")
+        return [F.lit(None).cast("long").alias("value_count"), *[absent.alias(m) for m in shown]]
 
     rows = F.array(*[
         F.struct(
@@ -208,41 +211,46 @@ def _scalars(df: DataFrame, numeric: list[str]) -> DataFrame:
     )
 
 
-def quartiles(freq: DataFrame) -> DataFrame:
-    """(column_name, median, p25, p75) from (column_name, value double, n).
+def quartiles(rows: DataFrame, spans: dict[str, tuple[int, float, float]]) -> dict[str, dict]:
+    """{column: {median, p25, p75}} from (column_name, value); *spans* gives n, min and max.
 
     The median is interpolated; p25 and p75 are the nearest ranked value.
     """
-    span = freq.groupBy("column_name").agg(
-        F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-    )
-    last = F.col("n") - 1
-    wanted = F.array(*[
-        F.struct(F.lit(stat).alias("stat"), rank.cast("long").alias("rank"))
+    wanted = []
+    for name, (n, low, high) in spans.items():
+        if not n:
+            continue
+        last = n - 1
         for stat, rank in (
-            ("median_low", F.floor(last / 2)),
-            ("median_high", F.ceil(last / 2)),
-            ("p25", F.round(last * 0.25)),
-            ("p75", F.round(last * 0.75)),
-        )
-    ])
-    targets = span.select("column_name", "lo", "hi", F.inline(wanted))
-    found = order_statistics(freq, targets)
-    pick = lambda stat: F.max(F.when(F.col("stat") == stat, F.col("value")))
-    return found.groupBy("column_name").agg(
-        ((pick("median_low") + pick("median_high")) / 2).alias("median"),
-        pick("p25").alias("p25"),
-        pick("p75").alias("p75"),
-    )
-
-
-def numeric_counts(counts: DataFrame, columns: list[str]) -> DataFrame:
-    """The numeric part of ``value_counts`` with values as doubles."""
-    value = F.col("value").try_cast("double")
-    return (
-        counts.filter(F.col("column_name").isin(*columns))
-        .select("column_name", value.alias("value"), "n")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
+            ("median_low", last // 2),
+            ("median_high", (last + 1) // 2),
+            ("p25", int(last * 0.25 + 0.5)),
+            ("p75", int(last * 0.75 + 0.5)),
+        ):
+            wanted.append(Rank(name, stat, rank, low, high, n))
+    found = order_statistics(rows.select("column_name", "value", F.lit(1).alias("n")), wanted)
+    return {
+        name: {
+            "median": (found[name, "median_low"] + found[name, "median_high"]) / 2,
+            "p25": found[name, "p25"],
+            "p75": found[name, "p75"],
+        }
+        for name in {w.column for w in wanted}
+    }
+
+
+def spans_of(stats: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """n, min and max per column, on the driver: one short row per column."""
+    return {r["column_name"]: (r["n"], r["min"], r["max"]) for r in stats.collect()}
+
+
+_QUARTILES = "column_name string, median double, p25 double, p75 double"
+
+
+def _quartile_rows(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:
+    cuts = quartiles(numeric_long(df, columns), spans_of(stats))
+    return df.sparkSession.createDataFrame(
+        [(name, c["median"], c["p25"], c["p75"]) for name, c in cuts.items()], _QUARTILES
     )
 
 
@@ -251,12 +259,8 @@ def numeric_stats(
 ) -> DataFrame:
     """(column_name, n, min, max, mean, std, median, p25, p75)."""
     columns = columns or numeric_columns(df, include_decimal)
-    freq = numeric_counts(value_counts(df, columns), columns)
-    return (
-        moments(df, columns)
-        .drop("std_pop")
-        .join(F.broadcast(quartiles(freq)), "column_name", "left")
-    )
+    stats = settle(moments(df, columns).drop("std_pop"))
+    return stats.join(F.broadcast(_quartile_rows(df, columns, stats)), "column_name", "left")
 
 
 def top_values_long(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFrame:
@@ -304,11 +308,13 @@ def profile(
     counts = value_counts(df)
     distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
 
-    result = _with_uniqueness(
-        _scalars(df, numeric).join(F.broadcast(distinct), "column_name", "left")
-    )
+    scalars = settle(_scalars(df, numeric))
+    result = _with_uniqueness(scalars.join(F.broadcast(distinct), "column_name", "left"))
     if numeric:
-        cuts = quartiles(numeric_counts(counts, numeric))
+        stats = scalars.filter(F.col("column_name").isin(*numeric)).withColumn(
+            "n", F.col("value_count")
+        )
+        cuts = _quartile_rows(df, numeric, stats)
         result = result.join(F.broadcast(cuts), "column_name", "left")
     else:
         result = result.withColumns(

@@ -50,12 +50,17 @@ def mask_literals(sql: Column, with_text: str = "  ") -> Column:
     return F.regexp_replace(sql, QUOTED, with_text)
 
 
+# Word edges that count letters and digits of every script, whatever the Java version.
+EDGE_LEFT, EDGE_RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def audit_code(sql: Column, strict: bool = False) -> Column:
     """The first finding per rule text, or NULL when there is none."""
     stripped = _trimmed(strip_comments(sql))
     shown = mask_literals(stripped, "''")
     masked = mask_literals(without_trailing_semicolon(sql))
-    first_word = F.upper(F.regexp_extract(masked, r"\b[A-Za-z_][A-Za-z0-9_]*\b", 0))
+    word = rf"{EDGE_LEFT}[A-Za-z_][A-Za-z0-9_]*{EDGE_RIGHT}"
+    first_word = F.upper(F.regexp_extract(masked, word, 0))
     words = "|".join(FORBIDDEN_STATEMENTS)
     functions = "|".join(FORBIDDEN_FUNCTIONS)
 
@@ -63,8 +68,8 @@ def audit_code(sql: Column, strict: bool = False) -> Column:
         F.when(stripped == "", "INVALID_SQL")
         .when(shown.rlike(r";\s*\S"), "INVALID_SQL")
         .when(first_word != "SELECT", "INVALID_SQL")
-        .when(masked.rlike(rf"(?i)\b(?:{words})\b"), "DISALLOWED_SQL")
-        .when(masked.rlike(rf"(?i)\b(?:{functions})\s*\("), "DISALLOWED_SQL_FUNCTION")
+        .when(masked.rlike(rf"(?i){EDGE_LEFT}(?:{words}){EDGE_RIGHT}"), "DISALLOWED_SQL")
+        .when(masked.rlike(rf"(?i){EDGE_LEFT}(?:{functions})\s*\("), "DISALLOWED_SQL_FUNCTION")
     )
     if not strict:
         return code

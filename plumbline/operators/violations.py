@@ -344,11 +344,10 @@ def batch_context(
         .filter(F.col("_r") <= 5)
         .withColumn("_few", F.slice("sample_rows", 1, 2))
         .groupBy("rule_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_r", "_few"))).alias("_recent"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("_r", "_few"))).alias("_recent"))
     )
-    rows = F.slice(F.flatten(F.transform(
-        F.filter("_recent", lambda item: item["_few"].isNotNull()), lambda item: item["_few"]
-    )), 1, 5)
+    by_age = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda r: F.try_element_at("_recent", r))
+    rows = F.slice(F.flatten(F.filter(by_age, lambda few: few.isNotNull())), 1, 5)
     total = F.coalesce(F.col("total_violation_count"), F.lit(0))
     shown = F.when(total == F.floor(total), total.cast("decimal(38,0)").cast("string")).otherwise(
         total.cast("double").cast("string")
