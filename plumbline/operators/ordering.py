@@ -85,27 +85,58 @@ class Rank:
     below: int = 0
 
 
-LAST_STEP_ROWS = 1_000_000
+LAST_STEP_ROWS = 200_000
 BUCKETS = 1024
 _FINITE = 8e307  # bucket bounds stay finite and their difference does too
 
 
-def _in_bands(rows: DataFrame, wanted: list[Rank]) -> DataFrame:
+Range = tuple[str, Any, Any, int]  # column, low, high, below
+
+
+def _ranges(wanted: list[Rank]) -> dict[Range, list[Rank]]:
+    """Ranks that share a range are found together, so a row is never counted twice for them."""
+    shared: dict[Range, list[Rank]] = {}
+    for w in wanted:
+        shared.setdefault((w.column, w.low, w.high, w.below), []).append(w)
+    return shared
+
+
+def _in_ranges(rows: DataFrame, ranges: list[Range]) -> DataFrame:
     kind = rows.schema["value"].dataType.simpleString()
-    bands = rows.sparkSession.createDataFrame(
-        [(w.column, w.stat, w.rank, w.low, w.high, w.below) for w in wanted],
-        f"column_name string, stat string, rank long, low {kind}, high {kind}, below long",
+    table = rows.sparkSession.createDataFrame(
+        [(i, column, low, high) for i, (column, low, high, _) in enumerate(ranges)],
+        f"range int, column_name string, low {kind}, high {kind}",
     )
     reach = F.col("value").between(F.col("low"), F.col("high"))
-    return rows.join(F.broadcast(bands), "column_name").filter(reach)
-
-
-def _covers(upto: Column, size: Column) -> Column:
-    return (F.col("rank") < upto) & (F.col("rank") >= upto - size)
+    return rows.join(F.broadcast(table), "column_name").filter(reach)
+
+
+def _at_ranks(counts: DataFrame, order: str, shared: dict[Range, list[Rank]]) -> list:
+    """Of counts per (range, *order*), the ones that hold a wanted rank."""
+    table = counts.sparkSession.createDataFrame(
+        [
+            (i, w.stat, w.rank - below)
+            for i, ((_, _, _, below), ranks) in enumerate(shared.items())
+            for w in ranks
+        ],
+        "range int, stat string, place long",
+    )
+    upto = F.sum("size").over(
+        Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    place = F.col("place")
+    return (
+        counts.withColumn("upto", upto)
+        .join(F.broadcast(table), "range")
+        .filter((place < F.col("upto")) & (place >= F.col("upto") - F.col("size")))
+        .collect()
+    )
 
 
 def _narrow(rows: DataFrame, wanted: list[Rank]) -> list[Rank]:
     """Replace each range by the one of its equal-width buckets that holds the rank."""
+    shared = _ranges(wanted)
+    ranges = list(shared)
     bound = lambda name: F.greatest(
         F.lit(-_FINITE), F.least(F.lit(_FINITE), F.col(name).cast("double"))
     )
@@ -113,16 +144,17 @@ def _narrow(rows: DataFrame, wanted: list[Rank]) -> list[Rank]:
         F.width_bucket(F.col("value").cast("double"), bound("low"), bound("high"), F.lit(BUCKETS)),
         F.lit(1).cast("long"),
     )
-    counts = _in_bands(rows, wanted).groupBy(
-        "column_name", "stat", "rank", "below", bucket.alias("bucket")
-    ).agg(F.sum("n").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"))
-    by_bucket = Window.partitionBy("column_name", "stat").orderBy("bucket")
-    upto = F.col("below") + F.sum("size").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0))
-    hit = counts.withColumn("upto", upto).filter(_covers(F.col("upto"), F.col("size"))).collect()
-    return [
-        Rank(r["column_name"], r["stat"], r["rank"], r["low"], r["high"], r["size"], r["upto"] - r["size"])
-        for r in hit
-    ]
+    counts = _in_ranges(rows, ranges).groupBy("range", bucket.alias("bucket")).agg(
+        F.sum("n").alias("size"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    narrowed = []
+    for r in _at_ranks(counts, "bucket", shared):
+        column, _, _, below = ranges[r["range"]]
+        narrowed.append(Rank(
+            column, r["stat"], r["place"] + below, r["low"], r["high"], r["size"],
+            below + r["upto"] - r["size"],
+        ))
+    return narrowed
 
 
 def order_statistics(
@@ -132,9 +164,9 @@ def order_statistics(
 
     *rows* has (column_name, value, n), n being how often the row counts. While a range holds more
     than *last_step_rows* rows, one pass counts it in equal-width buckets and keeps the bucket
-    with the rank: tasks send at most BUCKETS counts per wanted value, and values themselves are
-    never shuffled. Only the last, small range is put in order. What reaches the driver is one
-    row per wanted value.
+    with the rank: tasks send at most BUCKETS counts per range, and values themselves are never
+    shuffled. Only the last, small range is put in order. What reaches the driver is one row per
+    wanted value.
     """
     found: dict[tuple[str, str], Any] = {}
     while True:
@@ -146,22 +178,17 @@ def order_statistics(
         if not wide:
             break
         narrowed = _narrow(rows, wide)
-        ranges = {(w.column, w.stat): (w.low, w.high) for w in wide}
-        stuck = [w for w in narrowed if ranges[w.column, w.stat] == (w.low, w.high)]
+        before = {(w.column, w.stat): (w.low, w.high) for w in wide}
+        stuck = all(before[w.column, w.stat] == (w.low, w.high) for w in narrowed)
         wanted = [w for w in wanted if w not in wide] + narrowed
-        if len(stuck) == len(narrowed):
+        if stuck:
             break  # values too close together to be split further
     if wanted:
-        counts = _in_bands(rows, wanted).groupBy(
-            "column_name", "stat", "rank", "below", "value"
-        ).agg(F.sum("n").alias("size"))
-        by_value = Window.partitionBy("column_name", "stat").orderBy("value")
-        upto = F.col("below") + F.sum("size").over(
-            by_value.rowsBetween(Window.unboundedPreceding, 0)
-        )
-        last = counts.withColumn("upto", upto).filter(_covers(F.col("upto"), F.col("size")))
-        for r in last.collect():
-            found[r["column_name"], r["stat"]] = r["value"]
+        shared = _ranges(wanted)
+        ranges = list(shared)
+        counts = _in_ranges(rows, ranges).groupBy("range", "value").agg(F.sum("n").alias("size"))
+        for r in _at_ranks(counts, "value", shared):
+            found[ranges[r["range"]][0], r["stat"]] = r["value"]
     return found
 
 

@@ -81,8 +81,7 @@ def numeric_long(df: DataFrame, columns: list[str], keep: list[str] | None = Non
     rows = F.array(*[
         F.struct(F.lit(c).alias("column_name"), _clean(df, c).alias("value")) for c in columns
     ])
-    present = F.filter(rows, lambda row: row["value"].isNotNull())
-    return df.select(*(keep or []), F.inline(present)).filter(F.col("value").isNotNull())
+    return df.select(*(keep or []), F.inline(rows)).filter(F.col("value").isNotNull())
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -96,9 +95,9 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
         for c in columns
     ])
-    present = F.filter(rows, lambda row: row["value"].isNotNull())
     return (
-        df.select(F.inline(present))
+        df.select(F.inline(rows))
+        .filter(F.col("value").isNotNull())
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

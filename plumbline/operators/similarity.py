@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
-from plumbline.session import settle
+from plumbline.session import settle, spread
 
 # Limits and thresholds of the incident search.
 CANDIDATES = 100
@@ -41,20 +41,26 @@ def term_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def norm(words: Column) -> Column:
-    """Length of the term-count vector, from the token array alone: in a sorted array the r-th
-    copy of a term adds r*r - (r-1)*(r-1) to the sum of squares."""
-    start = F.struct(
-        F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("squares")
-    )
-
-    def step(state, word):
-        run = F.when(word == state["last"], state["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(
-            word.alias("last"), run.alias("run"), (state["squares"] + 2 * run - 1).alias("squares")
-        )
+def measured(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, norm, counts array<struct<term, n>>), computed inside the row: nothing is shuffled.
 
-    return F.aggregate(F.array_sort(words), start, step, lambda state: F.sqrt(state["squares"].cast("double")))
+    In the sorted word list a term's count is the distance between the ends of neighbouring runs.
+    Each step is a column of its own, so that it is computed once per text.
+    """
+    df = df.select(key, F.array_sort(tokens(F.col(text))).alias("_w"))
+    indexed = F.transform("_w", lambda word, i: F.struct(word.alias("term"), i.alias("i")))
+    last = F.size("_w") - 1
+    runs = F.filter(indexed, lambda item: (item["i"] == last) | (
+        item["term"] != F.get(F.col("_w"), item["i"] + 1)
+    ))
+    df = df.withColumn("_runs", runs)
+    before = lambda j: F.coalesce(F.get(F.col("_runs"), j - 1)["i"], F.lit(-1))
+    counts = F.transform("_runs", lambda item, j: F.struct(
+        item["term"].alias("term"), (item["i"] - before(j)).cast("long").alias("n")
+    ))
+    df = df.select(key, counts.alias("counts"))
+    squares = F.aggregate("counts", F.lit(0).cast("long"), lambda total, c: total + c["n"] * c["n"])
+    return df.select(key, F.sqrt(squares.cast("double")).alias("norm"), "counts")
 
 
 def cosine(dot: Column, left_norm: Column, right_norm: Column) -> Column:
@@ -91,20 +97,22 @@ def similar(
     ).orderBy(F.desc("_at"), F.desc("match_id")).limit(candidates + 1)
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_at"), F.desc("match_id"))
     pool = settle(newest.withColumn("_age", F.row_number().over(order)))
-    facts = pool.select("match_id", "_match_rule", "_age", norm(tokens(F.col("_text"))).alias("_match_norm"))
-
-    pairs = settle(term_counts(pool, "match_id", "_text"))
+    sized = settle(measured(pool, "match_id", "_text"))
+    facts = pool.drop("_text", "_at").join(
+        sized.select("match_id", F.col("norm").alias("_match_norm")), "match_id"
+    )
+    pairs = sized.select("match_id", F.inline("counts"))
     per_term = pairs.groupBy("term").agg(
         F.collect_list(F.struct("match_id", F.col("n").alias("m"))).alias("_matches")
     )
     if pairs.count() <= BROADCAST_PAIRS:
         per_term = F.broadcast(per_term)
 
-    words = tokens(F.col(text))
-    read = targets.select(key, norm(words).alias("norm"), F.explode(words).alias("term"))
-    met = read.join(per_term, "term").select(key, "norm", F.inline("_matches"))
+    targets = spread(targets)
+    read = measured(targets, key, text).select(key, "norm", F.inline("counts"))
+    met = read.join(per_term, "term").select(key, "norm", "n", F.inline("_matches"))
     dots = met.filter(F.col(key) != F.col("match_id")).groupBy(key, "match_id").agg(
-        F.sum("m").alias("_dot"), F.max("norm").alias("norm")
+        F.sum(F.col("n") * F.col("m")).alias("_dot"), F.max("norm").alias("norm")
     )
     own = pool.select(F.col("match_id").alias(key), F.col("_age").alias("_own_age"))
     reach = F.when(F.col("_own_age").isNull(), candidates).otherwise(candidates + 1)
@@ -122,10 +130,8 @@ def similar(
 
     # keywords only for the pairs kept: at most k per target go back to the target's text
     kept = top.groupBy(key).agg(F.collect_list("match_id").alias("_kept"))
-    again = targets.select(key, words.alias("_words")).join(kept, key)
-    counted = again.select(key, "_kept", F.explode("_words").alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("n"), F.first("_kept").alias("_kept")
-    )
+    again = measured(targets, key, text).join(kept, key)
+    counted = again.select(key, "_kept", F.inline("counts"))
     shared = F.filter("_matches", lambda item: F.array_contains(F.col("_kept"), item["match_id"]))
     ranked = F.array_sort(F.collect_list(F.struct((-(F.col("n") + F.col("m"))).alias("w"), "term")))
     keywords = (
