@@ -45,7 +45,9 @@ def measured(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, norm, counts array<struct<term, n>>), computed inside the row: nothing is shuffled.
 
     In the sorted word list a term's count is the distance between the ends of neighbouring runs.
-    Each step is a column of its own, so that it is computed once per text.
+    Each step is a column of its own, so that it is computed once per text. Unnest ``counts``
+    with ``inline_outer``: a plain ``inline`` implies a filter on its size, which Spark would push
+    down through all steps and so undo that.
     """
     df = df.select(key, F.array_sort(tokens(F.col(text))).alias("_w"))
     indexed = F.transform("_w", lambda word, i: F.struct(word.alias("term"), i.alias("i")))
@@ -101,7 +103,7 @@ def similar(
     facts = pool.drop("_text", "_at").join(
         sized.select("match_id", F.col("norm").alias("_match_norm")), "match_id"
     )
-    pairs = sized.select("match_id", F.inline("counts"))
+    pairs = sized.select("match_id", F.inline_outer("counts"))
     per_term = pairs.groupBy("term").agg(
         F.collect_list(F.struct("match_id", F.col("n").alias("m"))).alias("_matches")
     )
@@ -109,7 +111,7 @@ def similar(
         per_term = F.broadcast(per_term)
 
     targets = spread(targets)
-    read = measured(targets, key, text).select(key, "norm", F.inline("counts"))
+    read = measured(targets, key, text).select(key, "norm", F.inline_outer("counts"))
     met = read.join(per_term, "term").select(key, "norm", "n", F.inline("_matches"))
     dots = met.filter(F.col(key) != F.col("match_id")).groupBy(key, "match_id").agg(
         F.sum(F.col("n") * F.col("m")).alias("_dot"), F.max("norm").alias("norm")
@@ -131,7 +133,7 @@ def similar(
     # keywords only for the pairs kept: at most k per target go back to the target's text
     kept = top.groupBy(key).agg(F.collect_list("match_id").alias("_kept"))
     again = measured(targets, key, text).join(kept, key)
-    counted = again.select(key, "_kept", F.inline("counts"))
+    counted = again.select(key, "_kept", F.inline_outer("counts"))
     shared = F.filter("_matches", lambda item: F.array_contains(F.col("_kept"), item["match_id"]))
     ranked = F.array_sort(F.collect_list(F.struct((-(F.col("n") + F.col("m"))).alias("w"), "term")))
     keywords = (
