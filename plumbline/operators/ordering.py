@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 
 
 def micros(ts: Column) -> Column:
@@ -30,7 +30,7 @@ def running_total(
     order: list[Column],
     amounts: dict[str, str],
     position_us: str,
-    chunk_us: int = DAY_US,
+    chunk_us: int = HOUR_US,
     peers: bool = False,
 ) -> DataFrame:
     """Add ``{out: running sum of column}`` per key, rows ordered by *order*.
@@ -257,7 +257,8 @@ class _StepFunction:
         return [below for _, below, _ in ordered], [last + self.window for *_, last in ordered]
 
 
-_STEP_SCHEMA = "_key string, _chunk long, _below array<long>, _exit array<long>"
+_STEPS = ["_key", "_chunk", "_window", "_below", "_exit"]
+_STEP_SCHEMA = "_key string, _chunk long, _window long, _below array<long>, _exit array<long>"
 
 
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,18 +269,16 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             group = (row["_key"], int(row["_chunk"]))
             if group != current:
                 if current is not None:
-                    done.append((*current, *state.steps()))
+                    done.append((*current, state.window, *state.steps()))
                 window = int(row["_window"])
                 current = group
                 state = _StepFunction(group[1] * int(row["_span"]) + window, window)
             state.feed(frame["_t"].to_numpy()[start:end])
         if done:
-            yield pd.DataFrame(done, columns=["_key", "_chunk", "_below", "_exit"])
+            yield pd.DataFrame(done, columns=_STEPS)
             done = []
     if current is not None:
-        yield pd.DataFrame(
-            [(*current, *state.steps())], columns=["_key", "_chunk", "_below", "_exit"]
-        )
+        yield pd.DataFrame([(*current, state.window, *state.steps())], columns=_STEPS)
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,26 +293,28 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             step = int(np.searchsorted(below, until, side="right"))
             if step < len(below):
                 until = int(exits[step])
-        yield pd.DataFrame({"_key": keys, "_chunk": frame["_chunk"], "_entry": entries})
+        yield pd.DataFrame({
+            "_key": keys, "_chunk": frame["_chunk"], "_entry": entries, "_window": frame["_window"]
+        })
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     current, until = None, NEVER
     for frame in batches:
-        times, picked = frame["_t"].to_numpy(), []
+        times, ids, picked = frame["_t"].to_numpy(), frame["_id"].to_numpy(), []
         for start, end in _segments(frame, ["_key", "_chunk"]):
             row = frame.iloc[start]
-            group = (row["_key"], int(row["_chunk"]))
+            group, window, index = (row["_key"], int(row["_chunk"])), int(row["_window"]), start
             if group != current:
-                current, until = group, int(row["_entry"])
-            window, index = int(row["_window"]), start
+                # a chunk is opened by a row that has its entry value in place of an id
+                current, until, index = group, int(ids[start]), start + 1
             while True:
                 index += int(np.searchsorted(times[index:end], until, side="right"))
                 if index >= end:
                     break
                 picked.append(index)
                 until = int(times[index]) + window
-        yield pd.DataFrame({"_id": frame["_id"].to_numpy()[picked]})
+        yield pd.DataFrame({"_id": ids[picked]})
 
 
 def anchors(
@@ -323,7 +324,7 @@ def anchors(
     row_id: Column,
     window_us: Column,
     inclusive: bool = False,
-    windows_per_chunk: int = 256,
+    windows_per_chunk: int = 64,
 ) -> DataFrame:
     """Ids of the anchor rows, as one column ``_id``.
 
@@ -345,21 +346,25 @@ def anchors(
     if inclusive:
         distinct = distinct.withColumn("_window", F.col("_window") - 1)
     span = F.greatest(F.col("_window"), F.lit(1)) * windows_per_chunk
-    rows = (
-        distinct.withColumn("_span", span)
-        .withColumn("_chunk", F.floor(F.col("_t") / F.col("_span")))
-        .repartition("_key", "_chunk")
+    rows = distinct.withColumn("_span", span).withColumn(
+        "_chunk", F.floor(F.col("_t") / F.col("_span"))
     )
     steps = (
-        rows.sortWithinPartitions("_key", "_chunk", "_t").mapInPandas(_summarise, _STEP_SCHEMA)
+        rows.repartition("_key", "_chunk")
+        .sortWithinPartitions("_key", "_chunk", "_t")
+        .mapInPandas(_summarise, _STEP_SCHEMA)
     )
     entries = (
         steps.repartition("_key")
         .sortWithinPartitions("_key", "_chunk")
-        .mapInPandas(_chain, "_key string, _chunk long, _entry long")
+        .mapInPandas(_chain, "_key string, _chunk long, _entry long, _window long")
+    )
+    openings = entries.select(
+        "_key", "_chunk", F.lit(NEVER).alias("_t"), F.col("_entry").alias("_id"), "_window"
     )
     walked = (
-        rows.join(entries, ["_key", "_chunk"])
+        rows.select("_key", "_chunk", "_t", "_id", "_window")
+        .unionByName(openings)
         .repartition("_key", "_chunk")
         .sortWithinPartitions("_key", "_chunk", "_t")
         .mapInPandas(_walk, "_id long")

@@ -23,24 +23,6 @@ def incident_text(severity: Column, summary: Column) -> Column:
     return F.concat(F.lit("Severity "), severity, F.lit(". "), summary)
 
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, n). The text is read once; equal terms of a text merge before the shuffle."""
-    return (
-        df.select(F.col(key), F.explode(tokens(F.col(text))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def term_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, embedding map<term, count>)."""
-    return (
-        term_counts(df, key, text)
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("embedding"))
-    )
-
-
 def measured(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, norm, counts array<struct<term, n>>), computed inside the row: nothing is shuffled.
 
@@ -65,6 +47,17 @@ def measured(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.sqrt(squares.cast("double")).alias("norm"), "counts")
 
 
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, n)."""
+    counted = measured(df, key, text).select(key, F.inline_outer("counts"))
+    return counted.filter(F.col("term").isNotNull())
+
+
+def term_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, embedding map<term, count>)."""
+    return measured(df, key, text).select(key, F.map_from_entries("counts").alias("embedding"))
+
+
 def cosine(dot: Column, left_norm: Column, right_norm: Column) -> Column:
     return F.when((left_norm == 0) | (right_norm == 0), 0.0).otherwise(dot / (left_norm * right_norm))
 

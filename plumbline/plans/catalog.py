@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import violations as V
-from plumbline.session import settle
+from plumbline.session import settle, spread
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -94,6 +94,10 @@ class Lake:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A text table for work that is dear per row; a single small file is shared out."""
+        return spread(self.table(name))
+
     def results(self) -> DataFrame:
         return results_from(self.table("events"))
 
@@ -167,18 +171,17 @@ class Lake:
             V.fingerprint(F.col("rule_id"), F.col("status")).alias("fingerprint"),
         )
 
-    def events(self) -> DataFrame:
-        """All failures with is_new and batch_no, computed once into the shared folder."""
-        return V.assign_batches(settle(V.dedup(self.failures())))
-
-    def settled_events(self) -> DataFrame:
-        return settle(self.events())
+    def recorded(self) -> DataFrame:
+        """All failures with is_new, computed once into the shared folder: several consumers
+        read them."""
+        return settle(V.dedup(self.failures()))
 
-    def batches(self, events: DataFrame) -> DataFrame:
-        return V.batch_summary(events)
+    def events(self, recorded: DataFrame | None = None) -> DataFrame:
+        """All failures with is_new and batch_no."""
+        return V.assign_batches(self.recorded() if recorded is None else recorded)
 
-    def attached(self, events: DataFrame, probes: DataFrame, time: str) -> DataFrame:
-        return V.attach_to_batches(events, probes, time, "id")
+    def attached(self, recorded: DataFrame, probes: DataFrame, time: str) -> DataFrame:
+        return V.attach_to_batches(recorded, probes, time, "id")
 
 
 def results_from(events: DataFrame) -> DataFrame:

@@ -129,9 +129,9 @@ FROM (SELECT count(*) AS total_events FROM vevents WHERE is_new) e,
           count(*) FILTER (WHERE status = 'dispatched') AS dispatched_batches, count(*) FILTER (WHERE status = 'failed') AS failed_batches FROM status_batches) b,
   (SELECT count(*) AS made, count(*) FILTER (WHERE parsing_failure) AS broken, avg(token_usage) AS tokens FROM summaries) s"""))
 def system_metrics(lake: Lake):
-    events = lake.settled_events()
-    summaries = lake.attached(events, lake.raw_summaries(), "created_at")
-    return R.system_metrics(status_batches_of(lake, events), summaries, events.filter("is_new"))
+    recorded = lake.recorded()
+    summaries = lake.attached(recorded, lake.raw_summaries(), "created_at")
+    return R.system_metrics(status_batches_of(lake, recorded), summaries, recorded.filter("is_new"))
 
 
 @query("batches_report", with_control("status_batches summaries", """
@@ -141,9 +141,9 @@ FROM (SELECT * FROM status_batches WHERE status = 'dispatched' ORDER BY last_see
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rule_id, batch_no ORDER BY created_at DESC, id DESC) AS n FROM summaries) s
   ON s.rule_id = b.rule_id AND s.batch_no = b.batch_no AND s.n = 1"""))
 def batches_report(lake: Lake):
-    events = lake.settled_events()
-    summaries = lake.attached(events, lake.raw_summaries(), "created_at")
-    report = R.batches_report(status_batches_of(lake, events), summaries, status="dispatched")
+    recorded = lake.recorded()
+    summaries = lake.attached(recorded, lake.raw_summaries(), "created_at")
+    report = R.batches_report(status_batches_of(lake, recorded), summaries, status="dispatched")
     return report.select(
         "rule_id", "batch_no", us("last_seen"), "ai_enrichment.summary_id", "ai_enrichment.ai_summary",
         "ai_enrichment.parsing_failure",
@@ -168,14 +168,14 @@ def linked_feedback(lake: Lake, events):
 @query("attached_feedback", linked_sql("""
 SELECT id, rule_id, CAST(batch_no AS BIGINT) AS batch_no, llm_summary_id FROM linked"""))
 def attached_feedback(lake: Lake):
-    linked, _ = linked_feedback(lake, lake.settled_events())
+    linked, _ = linked_feedback(lake, lake.recorded())
     return linked.select("id", "rule_id", "batch_no", "llm_summary_id")
 
 
 @query("feedback_history", linked_sql("""
 SELECT id, rule_id, CAST(batch_no AS BIGINT) AS batch_no, feedback_type, edited_summary, original_summary FROM linked"""))
 def feedback_history(lake: Lake):
-    linked, summaries = linked_feedback(lake, lake.settled_events())
+    linked, summaries = linked_feedback(lake, lake.recorded())
     return R.feedback_history(linked, summaries).select(
         "id", "rule_id", "batch_no", "feedback_type", "edited_summary", "original_summary"
     )
@@ -195,7 +195,7 @@ FROM (SELECT *, greatest(0.0, least(100.0, 100.0::DOUBLE - CASE WHEN fails / gre
                    WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY rule_id) f USING (rule_id)
         WHERE r.is_enabled))"""))
 def score_rules(lake: Lake):
-    feedback = lake.attached(lake.settled_events(), lake.raw_feedback(), "created_at")
+    feedback = lake.attached(lake.recorded(), lake.raw_feedback(), "created_at")
     return S.score_rules(lake.rules(), lake.results(), feedback, as_of())
 
 
@@ -214,7 +214,7 @@ LEFT JOIN (SELECT rule_id, count(*) FILTER (WHERE feedback_type = 'reject') AS r
 
 
 def _evidence(lake: Lake):
-    feedback = lake.attached(lake.settled_events(), lake.raw_feedback(), "created_at")
+    feedback = lake.attached(lake.recorded(), lake.raw_feedback(), "created_at")
     rules = lake.rules().withColumn("false_positive_rate", F.lit(0.0))
     return S.improvement_evidence(rules, lake.results(), feedback, as_of())
 
@@ -239,7 +239,7 @@ FROM summaries s LEFT JOIN (
   FROM linked WHERE feedback_type = 'accept' OR (feedback_type IN ('edit', 'annotate') AND edited_summary IS NOT NULL)) o
   ON o.rule_id = s.rule_id AND o.n = 1"""))
 def human_override(lake: Lake):
-    linked, summaries = linked_feedback(lake, lake.settled_events())
+    linked, summaries = linked_feedback(lake, lake.recorded())
     return S.apply_human_override(summaries, linked).select(
         "id", "rule_id", "summary", F.coalesce("confidence", F.lit("")).alias("confidence")
     )

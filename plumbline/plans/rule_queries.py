@@ -334,7 +334,7 @@ def rule_audit_strict(lake: Lake):
 @query("text_audit", "WITH " + _audit_sql("(SELECT doc_id, 'SELECT ' || text AS sql_text FROM documents)", "doc_id", "sql_text", True))
 def text_audit(lake: Lake):
     """The audit over whole documents as rule bodies: long texts with every kind of quote."""
-    texts = lake.table("documents").select("doc_id", F.concat(F.lit("SELECT "), "text").alias("sql_text"))
+    texts = lake.texts("documents").select("doc_id", F.concat(F.lit("SELECT "), "text").alias("sql_text"))
     return RT.audit_rules(texts, strict=True).select(
         "doc_id", F.coalesce("audit_code", F.lit("OK")).alias("audit_code")
     )

@@ -46,7 +46,7 @@ SELECT rule_id, CAST(batch_no AS BIGINT) AS batch_no, severity, epoch_us(first_s
        epoch_us(last_seen) AS last_seen, total_occurrences, CAST(total_violation_count AS DOUBLE) AS total_violation_count
 FROM batches"""))
 def violation_batches(lake: Lake):
-    return lake.batches(lake.events()).select(
+    return V.batch_summary(lake.events()).select(
         "rule_id", "batch_no", "severity", us("first_seen"), us("last_seen"), "total_occurrences",
         number("total_violation_count"),
     )
@@ -119,14 +119,14 @@ def missing_channels(lake: Lake):
     wanted = lake.rules().select(
         "rule_id", json_list(F.col("notification_channels"), ["slack", "email"]).alias("channels")
     )
-    batches = lake.batches(lake.events()).join(wanted, "rule_id")
+    batches = V.batch_summary(lake.events()).join(wanted, "rule_id")
     return V.missing_channels(batches, lake.deliveries(), "channels")
 
 
 @query("batch_status", with_control("status_batches", """
 SELECT rule_id, CAST(batch_no AS BIGINT) AS batch_no, status FROM status_batches"""))
 def batch_status(lake: Lake):
-    return status_batches_of(lake, lake.settled_events()).select("rule_id", "batch_no", "status")
+    return status_batches_of(lake, lake.recorded()).select("rule_id", "batch_no", "status")
 
 
 def known_rules_of(lake: Lake):
@@ -135,7 +135,7 @@ def known_rules_of(lake: Lake):
 
 def status_batches_of(lake: Lake, events):
     sent = lake.attached(events, lake.deliveries(), "sent_at")
-    return V.batch_status(lake.batches(events), sent, known_rules_of(lake))
+    return V.batch_status(V.batch_summary(lake.events(events)), sent, known_rules_of(lake))
 
 
 @query("event_status", with_control("vevents status_batches", """
@@ -145,8 +145,9 @@ FROM vevents v LEFT JOIN (SELECT rule_id, max(batch_no) AS reached FROM status_b
                           WHERE status = 'dispatched' GROUP BY rule_id) m USING (rule_id)
 WHERE v.is_new"""))
 def event_status(lake: Lake):
-    events = lake.settled_events()
-    return V.event_status(events.filter("is_new"), status_batches_of(lake, events)).select(
+    recorded = lake.recorded()
+    numbered = lake.events(recorded).filter("is_new")
+    return V.event_status(numbered, status_batches_of(lake, recorded)).select(
         "result_id", "rule_id", "event_status"
     )
 
@@ -158,7 +159,7 @@ SELECT rule_id, CAST(batch_no AS BIGINT) AS batch_no, count(*) FILTER (WHERE sta
 FROM sent_batches GROUP BY rule_id, batch_no"""))
 def delivery_outcome(lake: Lake):
     return V.delivery_outcome(
-        lake.attached(lake.settled_events(), lake.deliveries(), "sent_at")
+        lake.attached(lake.recorded(), lake.deliveries(), "sent_at")
     )
 
 
@@ -195,8 +196,9 @@ LEFT JOIN (SELECT rule_id, string_agg(props->>'$.k', ',' ORDER BY n) AS samples
            FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY executed_at DESC, result_id DESC) AS n
                  FROM vevents WHERE is_new) WHERE n <= 5 GROUP BY rule_id) s USING (rule_id)"""))
 def batch_context(lake: Lake):
-    events = lake.settled_events()
-    context = V.batch_context(lake.batches(events), events.filter("is_new"), lake.rules())
+    recorded = lake.recorded()
+    batches = V.batch_summary(lake.events(recorded))
+    context = V.batch_context(batches, recorded.filter("is_new"), lake.rules())
     samples = F.array_join(F.transform("sample_rows", lambda row: row["k"]), ",")
     return context.select(
         "rule_id", "batch_no", "rule_name", "severity", samples.alias("samples"), "trend_summary"
