@@ -38,35 +38,35 @@ def running_total(
     *position_us* is a long that grows with *order*. Rows are summed within (key, chunk); each
     chunk then adds the total of the key's earlier chunks. A hot key is so spread over as many
     tasks as it has chunks. With *peers* equal rows share the value after the last of them.
-    *df* is read twice; ``settle`` it first when it is dear to compute.
+    Amounts are not NULL. *df* is read twice; ``settle`` it first when it is dear to compute.
     """
-    df = df.withColumn("_chunk", F.floor(F.col(position_us) / F.lit(chunk_us)))
-    group = [*keys, "_chunk"]
-    totals = df.groupBy(*group).agg(
+    # one struct as grouping key: it is never NULL itself, so the plain equality join below keeps
+    # NULL keys and shares the window's partitioning (one shuffle of the rows)
+    chunk = F.floor(F.col(position_us) / F.lit(chunk_us)).alias("chunk")
+    grouped = df.withColumn("_group", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk))
+    totals = grouped.groupBy("_group").agg(
         *[F.sum(source).alias(f"_total_{out}") for out, source in amounts.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
+    earlier = (
+        Window.partitionBy(*[f"_group.k{i}" for i in range(len(keys))])
+        .orderBy("_group.chunk")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
-        *group, *[F.sum(f"_total_{out}").over(earlier).alias(f"_before_{out}") for out in amounts]
+        "_group", *[F.sum(f"_total_{out}").over(earlier).alias(f"_before_{out}") for out in amounts]
     )
-    inside = Window.partitionBy(*group).orderBy(*order)
+    inside = Window.partitionBy("_group").orderBy(*order)
     inside = (inside.rangeBetween if peers else inside.rowsBetween)(
         Window.unboundedPreceding, Window.currentRow
     )
-    summed = df.select("*", *[
-        F.sum(source).over(inside).alias(f"_inside_{out}") for out, source in amounts.items()
-    ])
-
-    def combined(out):
-        parts = F.coalesce(F.col(f"_before_{out}"), F.col(f"_inside_{out}") * 0)
-        return F.coalesce(F.col(f"_inside_{out}") + parts, F.col(f"_before_{out}")).alias(out)
-
-    kept = [name for name in df.columns if name != "_chunk" and name not in amounts]
-    same_group = [F.col(f"s.{name}").eqNullSafe(F.col(f"o.{name}")) for name in group]
-    joined = summed.alias("s").join(offsets.alias("o"), same_group, "left")
-    return joined.select(*[F.col(f"s.{name}") for name in kept], *[combined(o) for o in amounts])
+    summed = grouped.join(offsets, "_group", "left").select(
+        *[F.col(name) for name in df.columns if name not in amounts],
+        *[
+            (F.sum(source).over(inside) + F.coalesce(F.col(f"_before_{out}"), F.col(source) * 0)).alias(out)
+            for out, source in amounts.items()
+        ],
+    )
+    return summed
 
 
 @dataclass(frozen=True)

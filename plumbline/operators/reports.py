@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import json_list
 from plumbline.operators.rule_table import first_per_group, list_rows, schedule_status
+from plumbline.session import settle
 
 NEWEST_RESULT = ("executed_at", "result_id")
 
@@ -47,26 +48,34 @@ def jobs_report(rules: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def newest_events(
+    events: DataFrame, n: int = 50, time: str = "executed_at", row_id: str = "result_id"
+) -> DataFrame:
+    return events.orderBy(F.desc(time), F.desc(row_id)).limit(n)
+
+
+def alert_notifications(shown: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """All deliveries of the rules shown, one row each: a rule may have any number of them."""
+    return deliveries.join(F.broadcast(shown.select("rule_id").distinct()), "rule_id", "left_semi")
+
+
 def alerts_report(
     events: DataFrame, rules: DataFrame, deliveries: DataFrame, n: int = 50,
     time: str = "executed_at", row_id: str = "result_id",
 ) -> DataFrame:
-    """The *n* newest events with their rule and the rule's deliveries, newest first.
+    """The *n* newest events with their rule, the number of its deliveries and the latest one.
 
-    Deliveries are cut down to the few rules shown before they are gathered.
+    Deliveries are cut down to the rules shown and merged within each task before they are
+    shuffled; ``alert_notifications`` lists them.
     """
-    top = events.orderBy(F.desc(time), F.desc(row_id)).limit(n)
+    top = settle(newest_events(events, n, time, row_id))
     named = top.join(rules.select("rule_id", "rule_name", "table_name"), "rule_id", "left")
-    nested = (
-        deliveries.join(top.select("rule_id").distinct(), "rule_id", "left_semi")
-        .groupBy("rule_id")
-        .agg(F.sort_array(
-            F.collect_list(F.struct("sent_at", "id", "channel", "status")), asc=False
-        ).alias("notifications"))
+    newest = F.max_by(F.struct("id", "channel", "status", "sent_at"), F.struct("sent_at", "id"))
+    per_rule = alert_notifications(top, deliveries).groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("notifications"), newest.alias("latest_notification")
     )
-    empty = F.array().cast(nested.schema["notifications"].dataType)
-    return named.join(nested, "rule_id", "left").withColumn(
-        "notifications", F.coalesce("notifications", empty)
+    return named.join(per_rule, "rule_id", "left").withColumn(
+        "notifications", F.coalesce("notifications", F.lit(0).cast("long"))
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.rule_table import first_per_group
-from plumbline.operators.rules import RuleError  # noqa: F401  (raised by callers of approve)
 
 DAYS = 30
 

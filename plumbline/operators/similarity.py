@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.text import tokens
 from plumbline.session import settle, spread
@@ -86,14 +87,25 @@ def similar(
     is one partial sum per (target, incident). Returns (key, match_id, rank, similarity_score in
     percent, matched_keywords, rationale).
     """
-    newest = history.select(
-        F.col(key).alias("match_id"), F.col(created).alias("_at"), F.col(text).alias("_text"),
-        (F.col(rule) if rule else F.lit(None)).alias("_match_rule"),
-    ).orderBy(F.desc("_at"), F.desc("match_id")).limit(candidates + 1)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_at"), F.desc("match_id"))
-    pool = settle(newest.withColumn("_age", F.row_number().over(order)))
+    # which incidents are newest is found without their texts; theirs are then read alone
+    stamped = history.select(
+        F.col(key).alias("match_id"), F.col(created).alias("_at"),
+        (F.col(rule) if rule else F.lit(None).cast("string")).alias("_match_rule"),
+    )
+    newest = stamped.orderBy(F.desc("_at"), F.desc("match_id")).limit(candidates + 1)
+    rows = newest.collect()
+    aged = history.sparkSession.createDataFrame(
+        [(r["match_id"], r["_match_rule"], age) for age, r in enumerate(rows, 1)],
+        T.StructType([stamped.schema["match_id"], stamped.schema["_match_rule"], T.StructField("_age", T.IntegerType())]),
+    )
+    recent = history
+    if rows and rows[-1]["_at"] is not None:
+        recent = history.filter(F.col(created) >= F.lit(rows[-1]["_at"]))
+    pool = settle(
+        recent.select(F.col(key).alias("match_id"), F.col(text).alias("_text")).join(F.broadcast(aged), "match_id")
+    )
     sized = settle(measured(pool, "match_id", "_text"))
-    facts = pool.drop("_text", "_at").join(
+    facts = pool.drop("_text").join(
         sized.select("match_id", F.col("norm").alias("_match_norm")), "match_id"
     )
     pairs = sized.select("match_id", F.inline_outer("counts"))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordering import anchors, micros, running_total
-from plumbline.operators.rule_table import first_per_group
 
 MINUTE_US = 60_000_000
 

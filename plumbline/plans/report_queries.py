@@ -65,15 +65,24 @@ def alerts_report(lake: Lake):
 
     recorded = dedup(lake.failures()).filter("is_new")
     alerts = R.alerts_report(recorded, lake.rules(), lake.deliveries())
-    first = F.try_element_at("notifications", F.lit(1))
+    latest = F.col("latest_notification")
     return alerts.select(
         "result_id", "rule_id", "rule_name", "table_name", "severity",
-        number("observed_value", "violation_count"),
-        F.size("notifications").cast("long").alias("notifications"),
-        first["id"].alias("latest_notification"), first["status"].alias("latest_status"),
+        number("observed_value", "violation_count"), "notifications",
+        latest["id"].alias("latest_notification"), latest["status"].alias("latest_status"),
     )
 
 
+@query("alert_notifications", with_control("vevents deliveries", """
+SELECT id, rule_id, channel, status FROM deliveries WHERE rule_id IN (
+  SELECT rule_id FROM (SELECT * FROM vevents WHERE is_new ORDER BY executed_at DESC, result_id DESC LIMIT 50))"""))
+def alert_notifications(lake: Lake):
+    from plumbline.operators.violations import dedup
+
+    shown = R.newest_events(dedup(lake.failures()).filter("is_new"))
+    return R.alert_notifications(shown, lake.deliveries()).select("id", "rule_id", "channel", "status")
+
+
 @query("last_delivery", with_control("deliveries", """
 SELECT rule_id, channel, arg_max(id, (sent_at, id)) AS id, arg_max(status, (sent_at, id)) AS status,
        epoch_us(max(sent_at)) AS sent_at
