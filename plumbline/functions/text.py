@@ -58,6 +58,7 @@ def flag_injection(df: DataFrame, text: str, patterns: str = "prompt") -> DataFr
     )
 
 
+# The text of a failed answer and the fields an answer must have.
 FALLBACK_SUMMARY = "AI enrichment failed to generate a valid structured response."
 ANSWER_FIELDS = ("summary", "root_causes", "suggested_fixes", "business_impact", "confidence")
 _ANSWER_SCHEMA = (

@@ -264,16 +264,17 @@ _STEP_SCHEMA = "_key string, _chunk long, _window long, _below array<long>, _exi
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     current, state, done = None, None, []
     for frame in batches:
+        keys, chunks, times = (frame[c].to_numpy() for c in ("_key", "_chunk", "_t"))
+        windows, spans = frame["_window"].to_numpy(), frame["_span"].to_numpy()
         for start, end in _segments(frame, ["_key", "_chunk"]):
-            row = frame.iloc[start]
-            group = (row["_key"], int(row["_chunk"]))
+            group = (keys[start], int(chunks[start]))
             if group != current:
                 if current is not None:
                     done.append((*current, state.window, *state.steps()))
-                window = int(row["_window"])
+                window = int(windows[start])
                 current = group
-                state = _StepFunction(group[1] * int(row["_span"]) + window, window)
-            state.feed(frame["_t"].to_numpy()[start:end])
+                state = _StepFunction(group[1] * int(spans[start]) + window, window)
+            state.feed(times[start:end])
         if done:
             yield pd.DataFrame(done, columns=_STEPS)
             done = []
@@ -301,10 +302,12 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     current, until = None, NEVER
     for frame in batches:
-        times, ids, picked = frame["_t"].to_numpy(), frame["_id"].to_numpy(), []
+        keys, chunks, times, ids, windows = (
+            frame[c].to_numpy() for c in ("_key", "_chunk", "_t", "_id", "_window")
+        )
+        picked = []
         for start, end in _segments(frame, ["_key", "_chunk"]):
-            row = frame.iloc[start]
-            group, window, index = (row["_key"], int(row["_chunk"])), int(row["_window"]), start
+            group, window, index = (keys[start], int(chunks[start])), int(windows[start]), start
             if group != current:
                 # a chunk is opened by a row that has its entry value in place of an id
                 current, until, index = group, int(ids[start]), start + 1

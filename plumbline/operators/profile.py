@@ -85,21 +85,53 @@ def numeric_long(df: DataFrame, columns: list[str], keep: list[str] | None = Non
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, value as text, n) for all non-null values.
+    """(column_name, value as text, is_long, n) for all non-null values.
 
     Partial counts are merged before the shuffle and values hash over all tasks, so neither a
-    frequent value nor a wide table makes a hot task.
+    frequent value nor a wide table makes a hot task. Texts over LONG_TEXT characters are counted
+    by their sha256, so that whole documents are not shuffled; ``with_long_texts`` brings the few
+    that are shown back.
     """
-    columns = columns or df.columns
+    return (
+        _texts(df, columns or df.columns)
+        .withColumn("is_long", F.length("value") > LONG_TEXT)
+        .withColumn("value", F.when(F.col("is_long"), F.sha2("value", 256)).otherwise(F.col("value")))
+        .groupBy("column_name", "value", "is_long")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+LONG_TEXT = 200
+
+
+def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
         for c in columns
     ])
+    return df.select(F.inline(rows)).filter(F.col("value").isNotNull())
+
+
+def with_long_texts(df: DataFrame, top: DataFrame) -> DataFrame:
+    """Put the texts back in place of digests in *top*, a few rows per column."""
+    top = settle(top)
+    digests = top.filter("is_long").select("column_name", F.col("value").alias("_digest"))
+    named = [r[0] for r in digests.select("column_name").distinct().collect()]
+    if not named:
+        return top.drop("is_long")
+    texts = (
+        _texts(df, named)
+        .filter(F.length("value") > LONG_TEXT)
+        .withColumn("_digest", F.sha2("value", 256))
+        .join(F.broadcast(digests), ["column_name", "_digest"])
+        .groupBy("column_name", "_digest")
+        .agg(F.max("value").alias("_text"))
+        .withColumnRenamed("_digest", "value")
+    )
     return (
-        df.select(F.inline(rows))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        top.join(texts, ["column_name", "value"], "left")
+        .withColumn("value", F.coalesce("_text", "value"))
+        .drop("_text", "is_long")
     )
 
 
@@ -265,20 +297,22 @@ def numeric_stats(
 def top_values_long(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFrame:
     """(column_name, value, n, rank): the *k* most frequent values, ties by value."""
     by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    return (
+    top = (
         value_counts(df, columns)
         .withColumn("rank", F.row_number().over(by_count))
         .filter(F.col("rank") <= k)
     )
+    return with_long_texts(df, top)
 
 
-def _top_values(counts: DataFrame, columns: list[str], k: int) -> DataFrame:
+def _top_values(df: DataFrame, counts: DataFrame, columns: list[str], k: int) -> DataFrame:
     by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     ranked = (
         counts.filter(F.col("column_name").isin(*columns))
         .withColumn("rank", F.row_number().over(by_count))
         .filter(F.col("rank") <= k)
     )
+    ranked = with_long_texts(df, ranked)
     listed = F.sort_array(F.collect_list(F.struct("rank", "value", F.col("n").alias("count"))))
     trimmed = F.transform(
         listed, lambda row: F.struct(row["value"].alias("value"), row["count"].alias("count"))
@@ -320,7 +354,7 @@ def profile(
             {c: F.lit(None).cast("double") for c in ("median", "p25", "p75")}
         )
     if other:
-        result = result.join(F.broadcast(_top_values(counts, other, k)), "column_name", "left")
+        result = result.join(F.broadcast(_top_values(df, counts, other, k)), "column_name", "left")
     else:
         result = result.withColumn(
             "top_values", F.lit(None).cast("array<struct<value:string,count:bigint>>")

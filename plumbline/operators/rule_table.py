@@ -103,8 +103,8 @@ def normalized_number(value: Column) -> Column:
     return F.regexp_replace(text, r"\.?0+$", "")
 
 
-def fingerprint(rule: DataFrame | None = None) -> Column:
-    """sha256 over connection, normalised SQL and expectation."""
+def fingerprint() -> Column:
+    """sha256 over connection, normalised SQL and expectation of the row's rule."""
     payload = F.struct(
         F.col("database_connection_id"),
         F.struct(

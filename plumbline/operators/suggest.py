@@ -16,6 +16,13 @@ NULL_TOLERANCE_PCT = 5.0
 TOLERANCE_MARGIN = 1.1
 PROFILE_TOP_VALUES = 10
 
+# The wording of suggested rule names, each after the column's name.
+NOT_NULL_NAME = " must not contain nulls"
+NULL_TOLERANCE_NAME = " null count within acceptable limit"
+UNIQUE_NAME = " must be unique (no duplicates)"
+RANGE_NAME = " values within observed range ["
+CATEGORY_NAME = " contains only known categories"
+
 
 def _number(value: Column) -> Column:
     return value.cast("string")
@@ -58,23 +65,23 @@ def suggest_rules(profile: DataFrame, compat: bool = False) -> DataFrame:
     complete = F.lit(True) if compat else F.size("top_values") >= F.col("unique_count")
     kinds = [
         kind(1, "not_null", F.col("null_pct") == 0,
-             F.concat(name, F.lit(" must not contain nulls")), nulls_sql, 0.95),
+             F.concat(name, F.lit(NOT_NULL_NAME)), nulls_sql, 0.95),
         kind(1, "null_tolerance",
              (F.col("null_pct") > 0) & (F.col("null_pct") <= NULL_TOLERANCE_PCT),
-             F.concat(name, F.lit(" null count within acceptable limit")), nulls_sql, 0.75,
+             F.concat(name, F.lit(NULL_TOLERANCE_NAME)), nulls_sql, 0.75,
              "max_threshold", tolerance),
         kind(2, "unique", F.col("unique_pct") >= KEY_UNIQUE_PCT,
-             F.concat(name, F.lit(" must be unique (no duplicates)")),
+             F.concat(name, F.lit(UNIQUE_NAME)),
              F.concat(F.lit("SELECT COUNT(*) - COUNT(DISTINCT "), name,
                       F.lit(") AS violation_count FROM "), table), 0.9),
         kind(3, "range",
              F.col("dtype").isin("integer", "float", "decimal") & (F.col("min") != F.col("max")),
-             F.concat(name, F.lit(" values within observed range ["), low, F.lit(", "), high, F.lit("]")),
+             F.concat(name, F.lit(RANGE_NAME), low, F.lit(", "), high, F.lit("]")),
              F.concat(select_from, name, F.lit(" < "), low, F.lit(" OR "), name, F.lit(" > "), high), 0.7),
         kind(4, "category",
              F.col("dtype").isin("string", "categorical")
              & F.col("unique_count").between(2, MAX_CATEGORIES) & complete,
-             F.concat(name, F.lit(" contains only known categories")),
+             F.concat(name, F.lit(CATEGORY_NAME)),
              F.concat(select_from, name, F.lit(" NOT IN ("), categories, F.lit(")")), 0.8),
     ]
     found = F.filter(F.array(*kinds), lambda row: row.isNotNull())

@@ -22,6 +22,13 @@ DEFAULT_CHANNELS = ("slack", "email")
 SEVERITY_MINUTES = {"critical": 0, "high": 15, "medium": 60, "low": 360}
 OTHER_SEVERITY_MINUTES = 60
 
+# The trend sentence around its two numbers.
+TREND = (
+    "This rule has triggered ",
+    " time(s) in this batch with a total of ",
+    " cumulative violations.",
+)
+
 
 def failures(results: DataFrame) -> DataFrame:
     """FAIL and ERROR results of saved rules; ad-hoc runs have no rule_id."""
@@ -351,11 +358,8 @@ def batch_context(
     shown = F.when(total == F.floor(total), total.cast("decimal(38,0)").cast("string")).otherwise(
         total.cast("double").cast("string")
     )
-    trend = F.concat(
-        F.lit("This rule has triggered "), F.col("total_occurrences").cast("string"),
-        F.lit(" time(s) in this batch with a total of "), shown,
-        F.lit(" cumulative violations."),
-    )
+    opening, middle, closing = (F.lit(part) for part in TREND)
+    trend = F.concat(opening, F.col("total_occurrences").cast("string"), middle, shown, closing)
     names = rules.select("rule_id", "rule_name")
     return (
         batches.join(names, "rule_id")
