@@ -216,6 +216,11 @@ def _scalars(df: DataFrame, numeric: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"k{i}") for i, c in enumerate(df.columns)],
         *_moment_aggregates(df, numeric),
+        *[
+            F.max(F.length(F.col(f"`{c}`").cast("string"))).alias(f"len{i}")
+            for i, c in enumerate(df.columns)
+            if labels[c] == "string"
+        ],
     )
     shown = ("min", "max", "mean", "std")
 
@@ -233,6 +238,7 @@ def _scalars(df: DataFrame, numeric: list[str]) -> DataFrame:
             F.lit(labels[c]).alias("dtype"),
             F.col("rows").alias("row_count"),
             F.col(f"k{i}").alias("null_count"),
+            (F.col(f"len{i}") if labels[c] == "string" else F.lit(None).cast("int")).alias("longest"),
             *stats(c),
         )
         for i, c in enumerate(df.columns)
@@ -305,14 +311,16 @@ def top_values_long(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> D
     return with_long_texts(df, top)
 
 
-def _top_values(df: DataFrame, counts: DataFrame, columns: list[str], k: int) -> DataFrame:
+def _top_values(
+    df: DataFrame, counts: DataFrame, columns: list[str], k: int, restore: bool
+) -> DataFrame:
     by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     ranked = (
         counts.filter(F.col("column_name").isin(*columns))
         .withColumn("rank", F.row_number().over(by_count))
         .filter(F.col("rank") <= k)
     )
-    ranked = with_long_texts(df, ranked)
+    ranked = with_long_texts(df, ranked) if restore else ranked.drop("is_long")
     listed = F.sort_array(F.collect_list(F.struct("rank", "value", F.col("n").alias("count"))))
     trimmed = F.transform(
         listed, lambda row: F.struct(row["value"].alias("value"), row["count"].alias("count"))
@@ -354,7 +362,11 @@ def profile(
             {c: F.lit(None).cast("double") for c in ("median", "p25", "p75")}
         )
     if other:
-        result = result.join(F.broadcast(_top_values(df, counts, other, k)), "column_name", "left")
+        # structured values have no length of their own here and may be long as well
+        nested = any(schema_info(df)[c] in ("list", "struct", "map") for c in other)
+        restore = nested or not scalars.filter(F.col("longest") > LONG_TEXT).isEmpty()
+        top = _top_values(df, counts, other, k, restore)
+        result = result.join(F.broadcast(top), "column_name", "left")
     else:
         result = result.withColumn(
             "top_values", F.lit(None).cast("array<struct<value:string,count:bigint>>")
