@@ -1,13 +1,12 @@
 """Substring duplicates by content-defined chunking with a gear rolling hash.
 
-A gear hash over the last ``WINDOW`` bytes decides where chunks end, so chunks depend on their own bytes
-only and an insertion shifts no later boundary. Chunks are deduplicated by digest: the first place (least
-id, then position) of a digest keeps it, every later one is a repeat. A run of adjacent repeated chunks of
-``min_words`` words or more is a repeated passage.
-
-Boundaries are taken on words: texts are first put in lower case (A-Z) with single spaces between words, and
-a chunk ends at the end of the word in which the hash asks for it. A shared passage loses at most the
-chunk in which it begins and the one in which it ends.
+A gear hash over the last ``WINDOW`` bytes is taken at the end of every word, and a chunk ends where the
+hash is smaller than at the ``REACH`` words before and after. Boundaries depend on bytes nearby only, so
+an insertion shifts no later boundary. A digest found in two documents marks a repeated chunk; a run of
+adjacent repeated chunks of ``min_words`` words or more is a repeated passage.
+
+A shared passage loses the chunk in which it begins and the one in which it ends, about 17 words together,
+so ``min_words`` lies below the length of the passages that are wanted: 20 finds those of 50 words.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -25,8 +24,9 @@ from plumbline.session import settle
 
 #: Bytes that the rolling hash covers; a power of two.
 WINDOW = 16
-#: A chunk ends where the hash has this many leading zero bits: a place in 2**BITS bytes.
-BITS = 4
+#: Words on either side among which a boundary has the smallest hash; chunks have more words than this.
+REACH = 3
+MIN_WORDS = 20
 GEAR = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -35,24 +35,95 @@ def gear(data: np.ndarray) -> np.ndarray:
     h = GEAR[data]
     width = 1
     while width < WINDOW:
-        nxt = h.copy()
-        nxt[width:] += h[:-width] << np.uint64(width)
-        h, width = nxt, 2 * width
+        wider = h.copy()
+        wider[width:] += h[:-width] << np.uint64(width)
+        h, width = wider, 2 * width
     return h
 
 
 def chunks(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Ends of the chunks as numbers of words (the last is the number of all words), and the chunks."""
+    """Ends of the chunks, as numbers of words, and the chunks. Together they are all words."""
     if not words:
         return np.empty(0, np.int64), []
     data = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    word_ends = np.cumsum(lengths + 1) - 1
-    # The last WINDOW bits of the sum depend on the last WINDOW bytes; the cut looks at the highest of them.
-    cut = (gear(np.frombuffer(data, np.uint8)) >> np.uint64(WINDOW - BITS)) & np.uint64(2 ** BITS - 1)
-    places = np.flatnonzero(cut == 0)
-    # A word boundary is a cut if the hash asks for one in the word's last bytes before it.
-    asked = np.unique(np.searchsorted(word_ends, places[np.isin(places, word_ends - 1)], side="left"))
-    ends = np.append(asked[asked < len(words) - 1] + 1, len(words)).astype(np.int64)
-    at = np.concatenate(([0], word_ends[ends - 1] + 1))
-    return ends, [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    word_ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    at_end = mix(gear(np.frombuffer(data, np.uint8))[word_ends - 1])
+    cut = np.ones(len(words), bool)
+    for away in range(1, min(REACH, len(words) - 1) + 1):
+        cut[away:] &= at_end[away:] < at_end[:-away]
+        cut[:-away] &= at_end[:-away] < at_end[away:]
+    cut[-1] = True
+    ends = np.flatnonzero(cut) + 1
+    stops = word_ends[ends - 1].tolist()
+    starts = [0, *(x + 1 for x in stops[:-1])]
+    return ends, [data[a:b] for a, b in zip(starts, stops)]
+
+
+def _chunked(docs: DataFrame) -> DataFrame:
+    schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()),
+                        ("ends", pa.list_(pa.int32())), ("digests", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            n, all_ends, digests = [], [], []
+            for text in texts_of(batch, "_text"):
+                words = text.lower().split() if text else []
+                ends, parts = chunks(words)
+                n.append(len(words))
+                all_ends.append(ends.astype(np.int32))
+                digests.append(np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts)).view(np.int64))
+            yield batch_of(schema, [batch.column("key"), n, all_ends, digests])
+
+    return docs.mapInArrow(run, "key long, n_words long, ends array<int>, digests array<long>")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id",
+                      text: str = "text") -> DataFrame:
+    """(key, n_words, n_chunks, n_repeated, n_later, passages): one row per row of *docs*.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. ``passages`` lists, by their
+    place, structs (start, end, first_key): words from start to before end occur in other documents too;
+    ``first_key`` is the smallest id that has one of their chunks. ``n_repeated`` counts the words in
+    passages, ``n_later`` those in passages whose ``first_key`` is another document, which deduplication
+    removes. Repeats within one document, and rows of one id, do not count as repeated. Rows with a null
+    id count as one document that comes first. A null or empty text has no words and no passages. Other
+    columns of *docs* are not read.
+    """
+    thin = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_text"))
+    table = settle(_chunked(thin).withColumn("row", F.monotonically_increasing_id()), "chunks")
+    owner = F.coalesce("key", F.lit(-2 ** 63))
+    places = table.select("row", owner.alias("owner"), F.explode(F.arrays_zip(
+        F.col("digests").alias("digest"), F.col("ends").alias("end"),
+        F.expr("transform(ends, (e, i) -> struct(i AS i, coalesce(get(ends, i - 1), 0) AS start))").alias("at"),
+    )).alias("c")).select("row", "owner", F.col("c.digest").alias("digest"), F.col("c.at.i").alias("i"),
+                          F.col("c.at.start").alias("start"), F.col("c.end").alias("end"))
+    shared = settle(places.groupBy("digest").agg(F.min("owner").alias("first_key"), F.max("owner").alias("last"))
+                    .filter("first_key < last").drop("last"), "shared")
+    found = places.drop("owner").join(shared, "digest")
+    order = Window.partitionBy("row").orderBy("i")
+    runs = found.withColumn("run", F.col("i") - F.row_number().over(order)).groupBy("row", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_key").alias("first_key")
+    ).filter(F.col("end") - F.col("start") >= min_words)
+    lists = settle(runs.groupBy("row").agg(F.sort_array(F.collect_list(
+        F.struct("start", "end", "first_key"))).alias("passages")), "passages")
+    length = "aggregate({}, 0L, (n, p) -> n + p.end - p.start)"
+    return table.select("row", "key", "n_words", F.size("digests").cast("long").alias("n_chunks")).join(
+        lists, "row", "left").select(
+        "key", "n_words", "n_chunks",
+        F.coalesce(F.expr(length.format("passages")), F.lit(0)).cast("long").alias("n_repeated"),
+        F.coalesce(F.expr(length.format("filter(passages, p -> NOT p.first_key <=> coalesce(key, -9223372036854775808L))")),
+                   F.lit(0)).cast("long").alias("n_later"),
+        F.coalesce("passages", F.expr("CAST(array() AS array<struct<start:int,end:int,first_key:bigint>>)"))
+        .alias("passages"))
+
+
+def op10_chunk_dedup(docs: DataFrame) -> DataFrame:
+    """Every document with its repeated passages as ``start:end`` in words, and the documents that
+    have them first."""
+    found = repeated_passages(docs)
+    return found.select(
+        F.col("key").alias("doc_id"), "n_words", "n_chunks", F.size("passages").cast("long").alias("n_passages"),
+        "n_repeated", "n_later",
+        F.expr("array_join(transform(passages, p -> concat(p.start, ':', p.end)), ',')").alias("passages"),
+        F.expr("array_sort(array_distinct(transform(passages, p -> p.first_key)))").alias("first_docs"),
+        (F.col("n_repeated") > 0).alias("has_repeats"))
