@@ -13,15 +13,16 @@ from it as a context. Evaluating a byte is then one look-up per order for all la
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import batch_of, remainder, slices, texts_of, unit_hash
-from plumbline.session import settle
 
 ORDER = 3
 #: Training documents per language, in expectation; chosen by a hash of the id. A model parameter.
@@ -30,6 +31,7 @@ SAMPLE = 3000
 LEAST = 3
 #: Every byte that is neither an ASCII letter nor part of a non-ASCII character is this separator.
 SEPARATOR = 0x20
+ASCII_LETTER = re.compile(rb"[A-Za-z]")
 CLASS = np.full(256, SEPARATOR, np.uint8)
 CLASS[0x61:0x7B] = np.arange(0x61, 0x7B)
 CLASS[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -45,6 +47,10 @@ def letters(text: bytes) -> np.ndarray:
     return data[keep]
 
 
+def _has_letter(text: bytes) -> bool:
+    return ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 class Trees:
     """Frozen context trees. Built from rows (language, length, string, count)."""
 
@@ -98,6 +104,15 @@ class Trees:
             costs.append(cost)
         self.cost = np.concatenate(costs)
 
+    def told(self, text: bytes | None) -> tuple[str, float, float | None]:
+        """Predicted language, its posterior probability, and bits per byte."""
+        bits, n = self.bits(text) if text and _has_letter(text) else (np.zeros(0), 0)
+        if n == 0:
+            return "und", 0.0, None
+        best = int(np.argmin(bits))
+        return (self.languages[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()),
+                float(bits[best] / n))
+
     def bits(self, text: bytes) -> tuple[np.ndarray, int]:
         """Code length of the text in bits per language, and its number of coded bytes."""
         data = self.symbol[letters(text)]
@@ -185,30 +200,19 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     bits. Ties go to the first language in order of name.
     """
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
-    rest = [c for c in docs.columns if c not in schema.names]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
+    rest = docs.drop(*schema.names)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
-    known = docs.select(*rest, F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_has_letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in slices(batches, 500):
-            names, scores, rates = [], [], []
-            for data, has_letter in zip(texts_of(batch, text), batch.column("_has_letter").to_pylist()):
-                bits, n = model.bits(data) if has_letter else (np.zeros(0), 0)
-                if n == 0:
-                    names.append("und")
-                    scores.append(0.0)
-                    rates.append(None)
-                    continue
-                best = int(np.argmin(bits))
-                names.append(model.languages[best])
-                scores.append(float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()))
-                rates.append(float(bits[best] / n))
-            out = [batch.column(c) for c in rest] + [pa.array(x, type=f.type) for x, f in zip((names, scores, rates), schema)]
-            yield pa.RecordBatch.from_arrays(out, names=rest + schema.names)
-
-    return known.mapInArrow(run, f"{kinds}, lang_pred string, score double, bits double")
+            found = list(zip(*map(model.told, texts_of(batch, text)))) or [[], [], []]
+            out = [*batch.columns, *(pa.array(x, type=f.type) for x, f in zip(found, schema))]
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names + schema.names)
+
+    kinds = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()),
+                          T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
+    return rest.mapInArrow(run, kinds)
 
 
 def op5_language_id(docs: DataFrame) -> DataFrame:
@@ -224,5 +228,13 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     held_out = remainder("doc_id", 3) == 1
     trees = train(docs, ~held_out)
     most = math.log2(trees.n_symbols)
-    thin = identify(docs.select(F.struct("*").alias("doc"), "text"), trees)
-    return thin.filter((F.col("lang_pred") != "und") & (F.col("bits") < most)).select("doc.*")
+    kept = docs.select(F.struct("*").alias("doc"))
+    sent = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in slices(batches, 500):
+            told = map(model.told, batch.column("doc").field("text").cast(pa.binary()).to_pylist())
+            yield batch.filter(pa.array([lang != "und" and bits < most for lang, _, bits in told], pa.bool_()))
+
+    return kept.mapInArrow(run, kept.schema).select("doc.*")
