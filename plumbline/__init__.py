@@ -1 +1,8 @@
-"""plumbline: data-quality operators on Spark DataFrames and streams."""
+"""Data-quality operators expressed on Spark DataFrames and Structured Streaming."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

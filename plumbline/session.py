@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,43 +26,38 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own; elsewhere a missing setting is an
-    error, because a machine-local folder is lost with its machine.
+    The setting is required: a folder of one machine is lost with that machine. Tests and the tools
+    at the top of the repository set it.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
-    )
-    if configured:
-        return configured
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="plumbline-")
-    context.setCheckpointDir(folder)
-    return folder
+    ) or context.getCheckpointDir()
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path below a folder of this application, which is deleted when the application ends."""
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark).rstrip('/')}/{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """Write *df* to the shared folder once, so that several consumers do not recompute it.
 
-    The copy is reliable storage: it survives lost executors and cuts the lineage.
+    The copy survives lost executors, cuts the lineage, and is read with column pruning.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share out an input of fewer partitions than cores, for work that is dear per row.
-
-    A table of any size already has enough partitions and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal an input out evenly, for work that is dear per row."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
