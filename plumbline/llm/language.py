@@ -188,8 +188,9 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Trees:
         return Trees([])
     share = F.create_map(*[F.lit(x) for pair in ((k, min(1.0, sample / n)) for k, n in sizes.items()) for x in pair])
     chosen = usable.filter(unit_hash(F.lit("language"), F.col("doc_id").cast("string")) < share[F.col("lang")])
-    strings = _strings(chosen.select("text", "lang")).filter(f"length = 1 OR n >= {LEAST}")
-    return Trees([tuple(r) for r in strings.collect()])
+    strings = _strings(chosen.select("text", "lang")).groupBy("length", "string").agg(
+        F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter(f"length = 1 OR all >= {LEAST}")
+    return Trees([(lang, r["length"], r["string"], n) for r in strings.collect() for lang, n in r["by"]])
 
 
 def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:

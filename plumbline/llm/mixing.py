@@ -66,14 +66,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     of *docs* by the names copy_no and mix_order are replaced. An empty table gives an empty mix.
     """
     found = rates(docs, weights, power, scale)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = docs.drop("copy_no", "mix_order")
+    names = kept.columns
+    at = {name: f"c{i}" for i, name in enumerate(names)}  # whatever the columns are called
+    key = F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit(""))
     # One row per source: Spark broadcasts it while it is below its limit, and splits hot sources beyond it.
-    counted = docs.drop("copy_no", "mix_order").alias("d").join(
-        found.select(F.col("source").alias("_source"), "rate").alias("r"), F.col("d.source").eqNullSafe(F.col("_source")))
-    counted = counted.withColumn("_n", poisson(F.col("rate"), unit_hash(F.lit(seed), key))).filter("_n > 0")
-    copies = counted.select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("copy_no"))
+    counted = kept.toDF(*at.values()).join(found, F.col(at["source"]).eqNullSafe(F.col("source")))
+    counted = counted.withColumn("n", poisson(F.col("rate"), unit_hash(F.lit(seed), key))).filter("n > 0")
+    copies = counted.select(*at.values(), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy_no"))
     order = unit_hash(F.lit(seed), F.lit("order"), key, F.col("copy_no").cast("string"))
-    return copies.withColumn("mix_order", order).repartition(F.col("mix_order")).sortWithinPartitions("mix_order")
+    dealt = copies.withColumn("mix_order", order).repartition(F.col("mix_order")).sortWithinPartitions("mix_order")
+    return dealt.toDF(*names, "copy_no", "mix_order")
 
 
 def op4_mix(docs: DataFrame) -> DataFrame:

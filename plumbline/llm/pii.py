@@ -242,12 +242,14 @@ def redact(docs: DataFrame) -> DataFrame:
     anew. A null text stays null. Kinds are replaced one after the other, so what one has replaced is no match
     for the next."""
     model = fit(candidates(docs))
-    out = docs
+    names = docs.columns
+    at = {name: f"c{i}" for i, name in enumerate(names)}  # whatever the columns are called
+    out, text = docs.toDF(*at.values()), F.col(at["text"])
     for kind, expression, needs in KINDS:
-        matches, pieces = _pieces(F.col("text"), expression, needs)
+        matches, pieces = _pieces(text, expression, needs)
         whole = F.concat(F.array_join(F.transform("_m", _replaced(kind, model)), ""), F.element_at("_p", -1))
         out = out.withColumns({"_m": matches, "_p": pieces}).withColumn(
-            "text", F.when(F.size("_m") > 0, whole).otherwise(F.col("text"))).drop("_m", "_p")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+            at["text"], F.when(F.size("_m") > 0, whole).otherwise(text)).drop("_m", "_p")
+    if "n_chars" in names:
+        out = out.withColumn(at["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*names)
