@@ -7,12 +7,16 @@ probability (1 - (1 - s**rows)**side)**2; at the defaults and s = 0.85 that is 0
 
 Candidates are confirmed on their full sets of shingles:
 
-1. Documents of equal sets are one *set* from here on.
-2. In every table key, each set is compared with the smallest one (its centre), and the confirmed links are
-   joined to components. One large group of copies costs one comparison a set.
-3. What is left are keys with several components. There, members outside the key's largest component are
-   compared with all members of other components, in blocks of bounded size, so no link between sets that
-   share a key is lost. Pairs within a component need no comparison and are never looked at.
+1. Documents of equal sets are one *set* from here on. Sets that share a table key, directly or through others,
+   form a family.
+2. In every family each set is compared with the first one (the centre), and the confirmed links are joined to
+   components. One large group of copies costs one comparison a set.
+3. What is left are families of several components. There, members outside the family's largest component are
+   compared with all members of other components, in blocks of bounded size, so no link within a family is
+   lost. Pairs within a component need no comparison and are never looked at.
+
+Chance collisions of table keys join families and cost comparisons, never links. They have probability
+s**(2 * rows) for background similarity s: take more rows where documents are many and alike.
 """
 
 from __future__ import annotations
@@ -122,30 +126,27 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Deal out the members (table, node, component) of keys with several components: rows
-    (table, p, q, side, node, component, found), such that every pair of nodes of two components, of
-    which at least one is outside the key's largest, meets in one block pair (p, q)."""
-    sized = members.join(sets.select("node", F.size("found").alias("size")), "node")
-    sums = settle(sized.groupBy("table", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
-    keys = sums.groupBy("table").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("size").alias("all"),
-        F.max_by("size", F.struct("n", "component")).alias("main_size"), F.count("*").alias("classes"))
-    keys = settle(keys.filter("classes > 1").select(
-        "table", "main",
-        F.ceil((F.col("all") - F.col("main_size")) / BLOCK).cast("int").alias("n_rest"),
-        F.ceil(F.col("main_size") / BLOCK).cast("int").alias("n_main")))
-    dealt = members.join(keys, "table").withColumn("is_main", F.col("component") == F.col("main"))
+    """Deal out the members (node, family, component, size) of families with several components: rows
+    (family, p, q, side, node, component, found), such that every pair of nodes of two components, of
+    which at least one is outside the family's largest, meets in one block pair (p, q)."""
+    sums = settle(members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    families = sums.groupBy("family").agg(
+        F.max(F.struct("n", "component", "size")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("classes"))
+    families = settle(families.filter("classes > 1").select(
+        "family", F.col("main.component").alias("main"),
+        F.ceil((F.col("all") - F.col("main.size")) / BLOCK).cast("int").alias("n_rest"),
+        F.ceil(F.col("main.size") / BLOCK).cast("int").alias("n_main")))
+    dealt = members.join(families, "family")
     spot = F.xxhash64("node", F.lit(17))
-    p = F.pmod(spot, F.col("n_rest")).cast("int")
+    own = F.pmod(spot, F.col("n_rest")).cast("int")
     # Blocks below n_rest hold the rest, those from n_rest on the largest component. A member of the
     # rest meets every block, one of the largest component the blocks of the rest only.
-    rest = dealt.filter("NOT is_main").withColumn("p", p).select(
-        "table", "node", "component",
-        F.explode(F.expr("sequence(0, n_rest + n_main - 1)")).alias("other"), "p").select(
-        "table", "node", "component", F.least("p", "other").alias("p"), F.greatest("p", "other").alias("q"),
-        F.when(F.col("p") <= F.col("other"), 0).otherwise(1).alias("side"))
-    main = dealt.filter("is_main").select(
-        "table", "node", "component", F.explode(F.expr("sequence(0, n_rest - 1)")).alias("p"),
+    rest = dealt.filter("component <> main").select(
+        "family", "node", "component", own.alias("own"), F.explode(F.expr("sequence(0, n_rest + n_main - 1)")).alias("other")
+    ).select("family", "node", "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+             F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    main = dealt.filter("component = main").select(
+        "family", "node", "component", F.explode(F.expr("sequence(0, n_rest - 1)")).alias("p"),
         (F.col("n_rest") + F.pmod(spot, F.col("n_main"))).cast("int").alias("q"), F.lit(1).alias("side"))
     return rest.unionByName(main).join(sets, "node")
 
@@ -179,7 +180,7 @@ def _between(blocks: DataFrame, percent: int) -> DataFrame:
                     label[label == label[j]] = label[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return blocks.groupBy("table", "p", "q").applyInPandas(run, "a long, b long")
+    return blocks.groupBy("family", "p", "q").applyInPandas(run, "a long, b long")
 
 
 def row_digest(key: Column, text: Column) -> Column:
@@ -214,23 +215,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     table = F.expr(f"""flatten(transform(slice(halves, 1, {side}), (x, i) ->
         transform(slice(halves, {side} + 1, {side}), (y, j) -> xxhash64(x, y, i, j))))""")
     keyed = sets.select("node", F.explode(table).alias("table"))
-    shared = settle(keyed.groupBy("table").agg(F.min("node").alias("centre"), F.count("*").alias("n"))
-                    .filter("n > 1").drop("n"), "tables")
-    members = settle(keyed.join(shared, "table"), "members")
-
-    wanted = settle(members.select("node").distinct().join(sets.select("node", "first.row"), "node"))
-    texts = _once(thin.select("row", "_text").join(wanted, "row")).select("node", "_text")
+    # A key holds at most one in side * side of all rows, so its rows may meet in one task.
+    alike = Window.partitionBy("table")
+    members = keyed.select("node", F.min("node").over(alike).alias("centre"), F.count("*").over(alike).alias("n"))
+    members = settle(members.filter("n > 1 AND node <> centre").select(
+        F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "members")
+    families = components(members).withColumnRenamed("component", "family")
+
+    wanted = settle(families.join(sets.select("node", "first.row"), "node"))
+    texts = _once(thin.select("row", "_text").join(wanted.select("row", "node"), "row")).select("node", "_text")
     found = settle(_sets(texts, words), "shingles")
 
-    edges = members.filter("node <> centre").select(
-        F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = edges.join(found.select(F.col("node").alias("a"), F.col("found").alias("left")), "a").join(
-        found.select(F.col("node").alias("b"), F.col("found").alias("right")), "b")
+    inside = wanted.filter("node <> family").select("node", "family")
+    pairs = inside.join(found, "node").select(F.col("family").alias("a"), F.col("node").alias("b"), F.col("found").alias("right"))
+    centres = inside.select(F.col("family").alias("node")).distinct().join(found, "node")
+    pairs = pairs.join(settle(centres.select(F.col("node").alias("a"), F.col("found").alias("left"))), "a")
     links = settle(_confirmed(pairs, percent), "links")
-    labels = components(links)
 
-    labelled = members.select("table", "node").join(labels, "node", "left").select(
-        "table", "node", F.coalesce("component", "node").alias("component"))
+    labels = components(links)
+    sized = wanted.select("node", "family").join(found.select("node", F.size("found").alias("size")), "node")
+    labelled = sized.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = settle(_between(_blocks(settle(labelled), found), percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
