@@ -70,30 +70,34 @@ _ANSWER_SCHEMA = (
 def validate_answers(df: DataFrame, raw: str) -> DataFrame:
     """Check a JSON answer per row and lower its confidence where it is thin.
 
-    The raw text is parsed twice: once as a map, to see which fields are present and of which
-    JSON kind, and once by schema for the values.
+    The raw text is parsed as a variant, which knows the kind of every field, and once by schema
+    for the values.
     """
-    present = F.from_json(F.col(raw), "map<string,string>")
+    parsed = F.try_parse_json(F.col(raw))
     answer = F.from_json(F.col(raw), _ANSWER_SCHEMA)
-    has_all = F.size(F.array_except(
-        F.array(*[F.lit(name) for name in ANSWER_FIELDS]), F.map_keys(F.col("_present"))
-    )) == 0
+
+    def kind(name):
+        return F.schema_of_variant(F.try_variant_get(F.col("_parsed"), f"$.{name}", "variant"))
+
+    def stripped(column):
+        return F.regexp_replace(column, r"^\s+|\s+$", "")
+
+    has_all = F.lit(True)
+    for name in ANSWER_FIELDS:
+        has_all = has_all & kind(name).isNotNull()
 
     def listed(name):
-        kind = F.get_json_object(F.col(raw), f"$.{name}")
-        return F.coalesce(F.trim(kind).startswith("["), F.lit(False))
+        return kind(name).startswith("ARRAY")
 
     summary = F.col("_answer.summary")
-    summary_is_text = F.col(raw).rlike(r'"summary"\s*:\s*"')
     valid = (
-        F.col("_present").isNotNull()
-        & has_all
+        has_all
         & listed("root_causes")
         & listed("suggested_fixes")
-        & summary_is_text
-        & (F.trim(summary) != "")
+        & (kind("summary") == "STRING")
+        & (stripped(summary) != "")
     )
-    stated = F.lower(F.trim(F.col("_answer.confidence")))
+    stated = F.lower(stripped(F.col("_answer.confidence")))
     known = F.when(stated.isin("high", "medium", "low"), stated).otherwise("low")
     no_causes = F.size(F.col("_answer.root_causes")) == 0
     lowered = F.when((known == "high") & no_causes, "medium").otherwise(known)
@@ -101,17 +105,17 @@ def validate_answers(df: DataFrame, raw: str) -> DataFrame:
     empty = F.array().cast("array<string>")
 
     checked = (
-        df.withColumn("_present", present)
+        df.withColumn("_parsed", parsed)
         .withColumn("_answer", answer)
         .withColumn("_valid", F.coalesce(valid, F.lit(False)))
     )
     ok = F.col("_valid")
     return checked.select(
         *[F.col(f"`{name}`") for name in df.columns],
-        F.when(ok, F.trim(summary)).otherwise(FALLBACK_SUMMARY).alias("summary"),
+        F.when(ok, stripped(summary)).otherwise(FALLBACK_SUMMARY).alias("summary"),
         F.when(ok, F.col("_answer.root_causes")).otherwise(empty).alias("root_causes"),
         F.when(ok, F.col("_answer.suggested_fixes")).otherwise(empty).alias("suggested_fixes"),
-        F.when(ok, F.trim(F.col("_answer.business_impact"))).otherwise("").alias("business_impact"),
+        F.when(ok, stripped(F.col("_answer.business_impact"))).otherwise("").alias("business_impact"),
         F.when(ok, confidence).otherwise("low").alias("confidence"),
         (~ok).alias("parsing_failure"),
     )

@@ -85,23 +85,21 @@ def numeric_long(df: DataFrame, columns: list[str], keep: list[str] | None = Non
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, value as text, is_long, n) for all non-null values.
+    """(column_name, digest, n) for all non-null values, by the sha256 of their text.
 
     Partial counts are merged before the shuffle and values hash over all tasks, so neither a
-    frequent value nor a wide table makes a hot task. Texts over LONG_TEXT characters are counted
-    by their sha256, so that whole documents are not shuffled; ``with_long_texts`` brings the few
-    that are shown back.
+    frequent value nor a wide table makes a hot task, and what is shuffled does not grow with the
+    length of the texts. ``with_texts`` brings back the few that are shown.
     """
     return (
         _texts(df, columns or df.columns)
-        .withColumn("is_long", F.length("value") > LONG_TEXT)
-        .withColumn("value", F.when(F.col("is_long"), F.sha2("value", 256)).otherwise(F.col("value")))
-        .groupBy("column_name", "value", "is_long")
+        .groupBy("column_name", _digest("value").alias("digest"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-LONG_TEXT = 200
+def _digest(name: str) -> Column:
+    return F.unhex(F.sha2(name, 256))
 
 
 def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -112,27 +110,19 @@ def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(rows)).filter(F.col("value").isNotNull())
 
 
-def with_long_texts(df: DataFrame, top: DataFrame) -> DataFrame:
-    """Put the texts back in place of digests in *top*, a few rows per column."""
+def with_texts(df: DataFrame, top: DataFrame) -> DataFrame:
+    """Put the texts in place of digests in *top*, a few rows per column, in one pass."""
     top = settle(top)
-    digests = top.filter("is_long").select("column_name", F.col("value").alias("_digest"))
-    named = [r[0] for r in digests.select("column_name").distinct().collect()]
-    if not named:
-        return top.drop("is_long")
+    shown = top.select("column_name", "digest")  # at most k rows per column
+    columns = [r[0] for r in top.select("column_name").distinct().collect()]
     texts = (
-        _texts(df, named)
-        .filter(F.length("value") > LONG_TEXT)
-        .withColumn("_digest", F.sha2("value", 256))
-        .join(F.broadcast(digests), ["column_name", "_digest"])
-        .groupBy("column_name", "_digest")
-        .agg(F.max("value").alias("_text"))
-        .withColumnRenamed("_digest", "value")
-    )
-    return (
-        top.join(texts, ["column_name", "value"], "left")
-        .withColumn("value", F.coalesce("_text", "value"))
-        .drop("_text", "is_long")
+        _texts(df, columns or df.columns)
+        .withColumn("digest", _digest("value"))
+        .join(F.broadcast(shown), ["column_name", "digest"])
+        .groupBy("column_name", "digest")
+        .agg(F.max("value").alias("value"))
     )
+    return top.join(texts, ["column_name", "digest"]).drop("digest")
 
 
 def _all_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -216,11 +206,6 @@ def _scalars(df: DataFrame, numeric: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"k{i}") for i, c in enumerate(df.columns)],
         *_moment_aggregates(df, numeric),
-        *[
-            F.max(F.length(F.col(f"`{c}`").cast("string"))).alias(f"len{i}")
-            for i, c in enumerate(df.columns)
-            if labels[c] == "string"
-        ],
     )
     shown = ("min", "max", "mean", "std")
 
@@ -238,7 +223,6 @@ def _scalars(df: DataFrame, numeric: list[str]) -> DataFrame:
             F.lit(labels[c]).alias("dtype"),
             F.col("rows").alias("row_count"),
             F.col(f"k{i}").alias("null_count"),
-            (F.col(f"len{i}") if labels[c] == "string" else F.lit(None).cast("int")).alias("longest"),
             *stats(c),
         )
         for i, c in enumerate(df.columns)
@@ -301,26 +285,17 @@ def numeric_stats(
 
 
 def top_values_long(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFrame:
-    """(column_name, value, n, rank): the *k* most frequent values, ties by value."""
-    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    top = (
-        value_counts(df, columns)
-        .withColumn("rank", F.row_number().over(by_count))
-        .filter(F.col("rank") <= k)
-    )
-    return with_long_texts(df, top)
+    """(column_name, value, n, rank): the *k* most frequent values, ties by the sha256 of the value."""
+    return with_texts(df, _ranked(value_counts(df, columns), k))
 
 
-def _top_values(
-    df: DataFrame, counts: DataFrame, columns: list[str], k: int, restore: bool
-) -> DataFrame:
-    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    ranked = (
-        counts.filter(F.col("column_name").isin(*columns))
-        .withColumn("rank", F.row_number().over(by_count))
-        .filter(F.col("rank") <= k)
-    )
-    ranked = with_long_texts(df, ranked) if restore else ranked.drop("is_long")
+def _ranked(counts: DataFrame, k: int) -> DataFrame:
+    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), "digest")
+    return counts.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= k)
+
+
+def _top_values(df: DataFrame, counts: DataFrame, columns: list[str], k: int) -> DataFrame:
+    ranked = with_texts(df, _ranked(counts.filter(F.col("column_name").isin(*columns)), k))
     listed = F.sort_array(F.collect_list(F.struct("rank", "value", F.col("n").alias("count"))))
     trimmed = F.transform(
         listed, lambda row: F.struct(row["value"].alias("value"), row["count"].alias("count"))
@@ -346,7 +321,7 @@ def profile(
     columns = df.columns
     numeric = numeric_columns(df, include_decimal)
     other = [c for c in columns if c not in numeric]
-    counts = value_counts(df)
+    counts = settle(value_counts(df))  # one count for distinct and for top values
     distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
 
     scalars = settle(_scalars(df, numeric))
@@ -362,10 +337,7 @@ def profile(
             {c: F.lit(None).cast("double") for c in ("median", "p25", "p75")}
         )
     if other:
-        # structured values have no length of their own here and may be long as well
-        nested = any(schema_info(df)[c] in ("list", "struct", "map") for c in other)
-        restore = nested or not scalars.filter(F.col("longest") > LONG_TEXT).isEmpty()
-        top = _top_values(df, counts, other, k, restore)
+        top = _top_values(df, counts, other, k)
         result = result.join(F.broadcast(top), "column_name", "left")
     else:
         result = result.withColumn(

@@ -56,7 +56,7 @@ def newest_events(
 
 def alert_notifications(shown: DataFrame, deliveries: DataFrame) -> DataFrame:
     """All deliveries of the rules shown, one row each: a rule may have any number of them."""
-    return deliveries.join(F.broadcast(shown.select("rule_id").distinct()), "rule_id", "left_semi")
+    return deliveries.join(shown.select("rule_id").distinct(), "rule_id", "left_semi")
 
 
 def alerts_report(
@@ -187,11 +187,11 @@ def batches_report(
             "token_usage", "parsing_failure",
         ).alias("ai_enrichment"),
     )
-    return batches.join(newest, BATCH_KEY, "left")
+    return batches.join(newest, BATCH_KEY, "left").orderBy(F.desc("last_seen"), "rule_id", "batch_no")
 
 
 def feedback_history(feedback: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Feedback with the summary it is about, oldest first within a batch."""
+    """Feedback with the summary it is about, oldest first."""
     about = summaries.select(
         F.col("id").alias("llm_summary_id"), F.col("summary").alias("_summary"),
         *[F.col(c).alias(f"_{c}") for c in ("suggested_fixes", "effective_confidence", "prompt_version")
@@ -210,7 +210,7 @@ def feedback_history(feedback: DataFrame, summaries: DataFrame) -> DataFrame:
         *[F.col(c) for c in feedback.columns],
         F.coalesce("_summary", F.lit("")).alias("original_summary"),
         *optional,
-    )
+    ).orderBy("created_at", "id")
 
 
 def attach_feedback(feedback: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import predicates as P
 from plumbline.functions.grading import EXACT, EXPECTATION_TYPES, error_type, exact_number, grade
@@ -243,16 +244,17 @@ def run_sql_rule(spark: SparkSession, spec: RuleSpec, sql: str) -> DataFrame:
     if code:
         return outcome(None, None, "ERROR", code)
     body = without_trailing_semicolon_text(spark, sql)
-    try:
+    try:  # a rule that fails while it runs is an ERROR row too, and ends no other rule
         name, kind, problem = _result_shape(spark, body)
         if problem:
             return outcome(None, None, "ERROR", "SQL_RESULT_SHAPE_ERROR")
-        first_rows = spark.sql(body).toDF("raw").limit(2)
+        rows = spark.sql(body).limit(2).collect()
     except PySparkException:
         return outcome(None, None, "ERROR", "SQL_EXECUTION_ERROR")
 
     limit = None if spec.expected_value is None else str(spec.expected_value)
-    one = first_rows.agg(F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
+    shape = T.StructType([T.StructField("n", T.LongType()), T.StructField("raw", kind)])
+    one = spark.createDataFrame([(len(rows), rows[0][0] if rows else None)], shape)
     value = exact_number(F.col("raw"), kind)
     single = F.col("n") == 1
     expected = F.lit(spec.expected_type), F.lit(limit).cast(EXACT)

@@ -63,10 +63,6 @@ def cosine(dot: Column, left_norm: Column, right_norm: Column) -> Column:
     return F.when((left_norm == 0) | (right_norm == 0), 0.0).otherwise(dot / (left_norm * right_norm))
 
 
-# The word lists of the newest incidents are broadcast up to this many (term, incident) pairs.
-BROADCAST_PAIRS = 2_000_000
-
-
 def similar(
     targets: DataFrame,
     history: DataFrame,
@@ -82,9 +78,8 @@ def similar(
 
     Whatever the number of targets, only the newest ``candidates + 1`` incidents can be looked at
     (one of them may be the target itself), so a term meets at most that many counterparts and
-    there is no all-pairs step. The words of those few incidents are settled once and, if few
-    enough, broadcast; a target's words then meet them where they are read, and what is shuffled
-    is one partial sum per (target, incident). Returns (key, match_id, rank, similarity_score in
+    there is no all-pairs step. The words of those few incidents are settled once and joined by
+    term; Spark broadcasts them while they are below its limit. Returns (key, match_id, rank, similarity_score in
     percent, matched_keywords, rationale).
     """
     # which incidents are newest is found without their texts; theirs are then read alone
@@ -112,8 +107,6 @@ def similar(
     per_term = pairs.groupBy("term").agg(
         F.collect_list(F.struct("match_id", F.col("n").alias("m"))).alias("_matches")
     )
-    if pairs.count() <= BROADCAST_PAIRS:
-        per_term = F.broadcast(per_term)
 
     targets = spread(targets)
     read = measured(targets, key, text).select(key, "norm", F.inline_outer("counts"))

@@ -82,8 +82,18 @@ def profile_stats(lake: Lake):
     ))
 
 
+@query("profile_text_values", union(
+    f"SELECT '{c}' AS column_name, md5(value) AS value_md5, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY n DESC, "
+    f"sha256(value)) AS r FROM (SELECT {c} AS value, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY 1)) WHERE r <= 10"
+    for c in ("text", "lang")))
+def profile_text_values(lake: Lake):
+    """Whole texts and short values by one path, ties included."""
+    top = P.top_values_long(lake.table("documents").select("text", "lang"), ["text", "lang"])
+    return top.select("column_name", F.md5("value").alias("value_md5"), "n", "rank")
+
+
 @query("profile_top_values", union(
-    f"SELECT * FROM (SELECT '{c}' AS column_name, value, n, CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS rank "
+    f"SELECT * FROM (SELECT '{c}' AS column_name, value, n, CAST(row_number() OVER (ORDER BY n DESC, sha256(value)) AS INTEGER) AS rank "
     f"FROM (SELECT {c} AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)) WHERE rank <= 10"
     for c, t in (("lang", "documents"), ("source", "documents"))))
 def profile_top_values(lake: Lake):
@@ -104,8 +114,8 @@ def _profile_sql(order: int, column: str, label: str) -> str:
     else:
         body = (
             ", ".join(f"NULL::DOUBLE AS {c}" for c in ("min", "max", "mean", "std", "median", "p25", "p75"))
-            + f", (SELECT string_agg(v || '=' || k, ',' ORDER BY k DESC, v) FROM (SELECT {column} AS v, count(*) AS k FROM {_ORDERS} "
-            f"WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY k DESC, v LIMIT 10)) AS top_values"
+            + f", (SELECT string_agg(v || '=' || k, ',' ORDER BY k DESC, sha256(CAST(v AS VARCHAR))) FROM (SELECT {column} AS v, count(*) AS k FROM {_ORDERS} "
+            f"WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY k DESC, sha256(CAST(v AS VARCHAR)) LIMIT 10)) AS top_values"
         )
     return f"{head}{body} FROM {_ORDERS}"
 
@@ -166,7 +176,7 @@ def suggested_rules(lake: Lake):
 
 @query("suggestion_sql", f"""
 SELECT 'o_orderstatus' AS column_name, 'SELECT COUNT(*) AS violation_count FROM orders WHERE o_orderstatus NOT IN (' ||
-  string_agg('''' || v || '''', ', ' ORDER BY k DESC, v) || ')' AS suggested_sql
+  string_agg('''' || v || '''', ', ' ORDER BY k DESC, sha256(CAST(v AS VARCHAR))) || ')' AS suggested_sql
 FROM (SELECT o_orderstatus AS v, count(*) AS k FROM orders GROUP BY 1)
 UNION ALL SELECT 'o_orderkey', 'SELECT COUNT(*) AS violation_count FROM orders WHERE o_orderkey IS NULL'
 UNION ALL SELECT 'o_orderkey', 'SELECT COUNT(*) - COUNT(DISTINCT o_orderkey) AS violation_count FROM orders'

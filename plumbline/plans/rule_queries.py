@@ -11,7 +11,7 @@ from plumbline.operators.profile import numeric_columns
 from plumbline.operators.rules import RuleSpec, graded, run_rules, run_sql_rules, violation_preview
 from plumbline.plans.catalog import AS_OF, Lake, as_of, number, query, us, with_control
 from plumbline.session import scratch_path
-from plumbline.sources import sinks, synthetic, tables
+from plumbline.sources import sinks, tables
 
 
 def graded_columns(df):
@@ -134,7 +134,10 @@ def pruned_scan(lake: Lake):
     return wide.filter("l_shipdate >= TIMESTAMP '2001-01-01'").drop("l_shipdate")
 
 
-_ALL_TABLES = ("customer", "documents", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+_ALL_TABLES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders",
+    "pages", "part", "region", "supplier",
+)
 
 
 @query("table_sizes", "\nUNION ALL\n".join(
@@ -157,41 +160,6 @@ def numeric_scan(lake: Lake):
     return counts.select(F.inline(rows))
 
 
-@query("planted_defects", """
-WITH e AS (SELECT o_orderkey + 1 AS n FROM orders),
-s AS (SELECT n, CASE WHEN n <= 30 THEN 'active' WHEN n % 997 = 0 THEN 'inactive' WHEN n % 37 = 0 THEN 'leave'
-        WHEN n % 11 = 0 THEN 'inactive' ELSE 'active' END AS status,
-  CASE WHEN n <= 10 THEN CAST(-(750 + n * 137) AS DECIMAL(12,2)) WHEN n <= 30 THEN NULL
-       WHEN n % 997 = 0 THEN CAST(-(300 + n % 700) AS DECIMAL(12,2))
-       ELSE CAST(42000 + (n * 7919) % 148000 + (n % 100) * 0.37 AS DECIMAL(12,2)) END AS salary,
-  DATE '2016-01-01' + CAST((n * 17) % 3400 AS INTEGER) AS hired_at FROM e)
-SELECT status, count(*) AS employees, count(*) FILTER (WHERE salary < 0) AS negative,
-       count(*) FILTER (WHERE salary IS NULL) AS missing, CAST(sum(salary) AS DOUBLE) AS payroll,
-       CAST(max(hired_at) AS DATE) AS last_hired
-FROM s GROUP BY status""")
-def planted_defects(lake: Lake):
-    ids = lake.table("orders").select((F.col("o_orderkey") + 1).alias("id"))
-    return synthetic.employees_from(ids).groupBy("status").agg(
-        F.count(F.lit(1)).alias("employees"),
-        F.count_if(F.col("salary") < 0).alias("negative"),
-        F.count_if(F.col("salary").isNull()).alias("missing"),
-        F.sum("salary").cast("double").alias("payroll"),
-        F.max("hired_at").alias("last_hired"),
-    )
-
-
-@query("enrollment_counts", """
-SELECT CASE WHEN n % 41 = 0 THEN 'waitlisted' WHEN n % 17 = 0 THEN 'cancelled' WHEN n % 13 = 0 THEN 'rejected'
-            WHEN n % 7 = 0 THEN 'applied' ELSE 'enrolled' END AS admission_status,
-       (['Freshman', 'Sophomore', 'Junior', 'Senior'])[(n * 3) % 4 + 1] AS grade_level, count(*) AS students
-FROM (SELECT o_orderkey + 1 AS n FROM orders) GROUP BY 1, 2""")
-def enrollment_counts(lake: Lake):
-    ids = lake.table("orders").select((F.col("o_orderkey") + 1).alias("id"))
-    return synthetic.students_from(ids).groupBy("admission_status", "grade_level").agg(
-        F.count(F.lit(1)).alias("students")
-    )
-
-
 @query("stored_results", with_control("test_results", """
 SELECT CAST(executed_at AS DATE) AS exec_date, status, count(*) AS n, CAST(sum(observed_value) AS DOUBLE) AS total
 FROM test_results WHERE executed_at >= TIMESTAMP '2024-01-10' GROUP BY 1, 2"""))
@@ -244,7 +212,9 @@ UNION ALL SELECT 6, 'text result', 'violation_count', NULL, 'ERROR', 'SQL_RESULT
 UNION ALL SELECT 7, 'missing table', NULL, NULL, 'ERROR', 'SQL_EXECUTION_ERROR'
 UNION ALL SELECT 8, 'write attempt', NULL, NULL, 'ERROR', 'INVALID_SQL'
 UNION ALL SELECT 9, 'hidden write', NULL, NULL, 'ERROR', 'DISALLOWED_SQL'
-UNION ALL SELECT 10, 'null result', 'violation_count', NULL, 'ERROR', 'SQL_RESULT_TYPE_ERROR'""")
+UNION ALL SELECT 10, 'null result', 'violation_count', NULL, 'ERROR', 'SQL_RESULT_TYPE_ERROR'
+UNION ALL SELECT 11, 'divides by zero', NULL, NULL, 'ERROR', 'SQL_EXECUTION_ERROR'
+UNION ALL SELECT 12, 'bad cast', NULL, NULL, 'ERROR', 'SQL_EXECUTION_ERROR'""")
 def sql_rules(lake: Lake):
     for name in ("orders", "lineitem"):
         tables.as_view(lake.table(name), name)
@@ -264,6 +234,8 @@ def sql_rules(lake: Lake):
         (RuleSpec(9, "hidden write"), "SELECT COUNT(*) AS violation_count FROM orders WHERE DELETE = 1"),
         (RuleSpec(10, "null result"),
          "SELECT max(o_totalprice) AS violation_count FROM orders WHERE o_orderkey < 0"),
+        (RuleSpec(11, "divides by zero"), "SELECT max(1 / (o_orderkey - o_orderkey)) AS violation_count FROM orders"),
+        (RuleSpec(12, "bad cast"), "SELECT max(CAST(o_orderstatus AS INT)) AS violation_count FROM orders"),
     ]
     return graded_columns(run_sql_rules(lake.spark, texts))
 

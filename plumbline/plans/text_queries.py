@@ -190,13 +190,6 @@ def similar_sql(src: str, key: str, note: str = "", own: str = "") -> str:
     return f"WITH src AS ({src}), {body}"
 
 
-@query("similar_documents", similar_sql("SELECT doc_id AS id, doc_id AS made, text AS body FROM documents", "doc_id"))
-def similar_documents(lake: Lake):
-    docs = lake.table("documents").select("doc_id", "text", F.col("doc_id").alias("created_at"))
-    found = SIM.similar(docs, docs, "doc_id", "text")
-    return found.withColumn("matched_keywords", F.array_join("matched_keywords", " "))
-
-
 @query("similar_incidents", similar_sql(
     "SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn AS made, role, 'Severity ' || role || '. ' || text AS body FROM conversations",
     "incident_id",

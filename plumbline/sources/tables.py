@@ -5,20 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_ROW_LIMIT = 1_000_000
 
-
-def load(spark: SparkSession, name: str, row_limit: int | None = None) -> DataFrame:
-    """A whole table, from a parquet path or the catalog.
-
-    A cap is applied only when asked for; which rows it keeps is then arbitrary.
-    """
-    df = spark.read.parquet(name) if "/" in name else spark.table(name)
-    if row_limit is None:
-        return df
-    if not 1 <= row_limit <= MAX_ROW_LIMIT:
-        raise ValueError(f"row_limit must be between 1 and {MAX_ROW_LIMIT}")
-    return df.limit(row_limit)
+def load(spark: SparkSession, name: str) -> DataFrame:
+    """A whole table, from a parquet path or the catalog."""
+    return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
 def load_columns(df: DataFrame, columns: list[str]) -> DataFrame:

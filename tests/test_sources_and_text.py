@@ -13,7 +13,7 @@ from plumbline.functions import text as T
 from plumbline.functions import values as V
 from plumbline.operators import similarity as SIM
 from plumbline.session import scratch_path, shared_dir
-from plumbline.sources import sinks, synthetic, tables
+from plumbline.sources import sinks, tables
 
 
 def one(spark, column):
@@ -41,20 +41,6 @@ def test_jdbc_needs_bounds_for_a_partition_column(spark):
         tables.load_jdbc(spark, "jdbc:postgresql://h/d", "t", partition_column="id")
 
 
-def test_demo_tables_have_the_planted_defects(spark):
-    staff = synthetic.make_employees(spark).cache()
-    row = staff.agg(
-        F.count_if(F.col("salary") < 0), F.count_if((F.col("salary") < 0) & (F.col("status") == "active")),
-        F.count_if(F.col("salary").isNull()), F.count_if(F.col("salary") < 10000)).first()
-    assert tuple(row) == (110, 10, 20, 110)
-    status = {r[0]: r[1] for r in staff.groupBy("status").count().collect()}
-    assert status == {"active": 88366, "inactive": 8934, "leave": 2700}
-    students = {r[0]: r[1] for r in synthetic.make_students(spark).groupBy("admission_status").count().collect()}
-    assert students == {"enrolled": 7265, "applied": 1211, "rejected": 707, "cancelled": 574, "waitlisted": 243}
-    first = staff.filter("employee_id = 1").first()
-    assert (first["full_name"], first["salary"], first["department"]) == ("Elena Khan", Decimal("-887.00"), "Legal")
-
-
 def test_sinks(spark, tmp_path):
     results = spark.createDataFrame(
         [(1, datetime(2024, 1, 1, 5)), (2, datetime(2024, 1, 2, 5))], "result_id long, executed_at timestamp")
@@ -198,3 +184,16 @@ def test_term_vectors_and_resolution(spark):
         "match_id long, feedback_type string, edited_summary string, created_at timestamp, id long")
     row = SIM.with_resolution(matches, batches, feedback).first()
     assert (row["historical_resolution"], row["human_validated_interpretation"]) == ("dispatched", "new")
+
+
+def test_answers_that_look_valid_but_are_not(spark):
+    fields = '"root_causes": ["a"], "suggested_fixes": [], "business_impact": "b", '
+    rows = [(r,) for r in (
+        '{"summary": "\\n\\t", ' + fields + '"confidence": "high"}',
+        '{"summary": "long enough to be believed", ' + fields + '"confidence": "high\\n"}',
+        '{"summary": 5, "extra": {"summary": "text"}, ' + fields + '"confidence": "high"}',
+        '{"summary": "long enough to be believed", "root_causes": "a", "suggested_fixes": [], "business_impact": "b", "confidence": "low"}',
+    )]
+    got = T.validate_answers(spark.createDataFrame(rows, "raw string"), "raw").collect()
+    assert [r["parsing_failure"] for r in got] == [True, False, True, True]
+    assert got[1]["confidence"] == "high"
