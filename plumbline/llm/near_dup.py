@@ -35,6 +35,8 @@ from plumbline.llm.common import batch_of, components, mix, slices, texts_of
 from plumbline.session import settle
 
 SIDE, ROWS = 10, 3
+#: Bits of the bitmaps that keep texts out of shuffles; a multiple of Spark's 32768.
+SLOTS = 2 ** 23
 #: Elements of shingle sets that one block of step 3 holds about; a longer set is a block of its own.
 BLOCK = 100_000
 
@@ -195,6 +197,37 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def _slot(row: Column) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(SLOTS)) + 1
+
+
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """Which of SLOTS hash values the ``row`` digests have: a megabyte, however many rows there are."""
+    slot = _slot(F.col("row"))
+    parts = rows.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros(SLOTS, bool)
+    for k, bits in parts:
+        whole = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        out[(k - 1) * len(whole):k * len(whole)] = whole
+    return out
+
+
+def _by_bitmap(docs: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame:
+    """Rows of *docs* (with ``row``) whose slot is in the bitmap, or those whose slot is not. Rows outside are in
+    no set that the bitmap was made of; for rows inside a join must tell. Keeps whole texts out of the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).astype(bool)
+        for batch in slices(batches, 1000):
+            slots = batch.column("_slot").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(bits[slots - 1] == inside))
+
+    slotted = docs.withColumn("_slot", _slot(F.col("row")))
+    return slotted.mapInArrow(run, slotted.schema).drop("_slot")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: int = SIDE,
                     rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, row, n_shingles, component, first_row): one row per row of *docs*.
@@ -223,7 +256,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     families = components(members).withColumnRenamed("component", "family")
 
     wanted = settle(families.join(sets.select("node", "first.row"), "node"))
-    texts = _once(thin.select("row", "_text").join(wanted.select("row", "node"), "row")).select("node", "_text")
+    possible = _by_bitmap(thin.select("row", "_text"), _bitmap(wanted), inside=True)
+    texts = _once(possible.join(wanted.select("row", "node"), "row")).select("node", "_text")
     found = settle(_sets(texts, words), "shingles")
 
     inside = wanted.filter("node <> family").select("node", "family")
@@ -262,7 +296,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     smallest id stays, once. Documents without words are no duplicates, but repeated rows of them stay
     once as well."""
     found = near_duplicates(docs, words, percent)
-    firsts = settle(found.filter(F.col("key").eqNullSafe(F.col("component")) & (F.col("row") == F.col("first_row")))
-                    .select("row").distinct())
+    found = settle(found.select("row", (F.col("key").eqNullSafe(F.col("component")) & (F.col("row") == F.col("first_row")))
+                                .alias("first")))
+    once = found.groupBy("row").agg(F.first("first").alias("first"), F.count("*").alias("n"))
+    doubtful = settle(once.filter("n > 1 OR NOT first"))  # rows that go, and rows that repeat
+    bitmap = _bitmap(doubtful)
     rows = docs.select(F.struct("*").alias("doc"), row_digest(F.col("doc_id").cast("long"), F.col("text")).alias("row"))
-    return _once(rows.join(firsts, "row")).select("doc.*")
+    judged = _by_bitmap(rows, bitmap, inside=True).join(doubtful, "row", "left")
+    kept = _once(judged.filter("coalesce(first, true)"))
+    return _by_bitmap(rows, bitmap, inside=False).select("doc.*").unionByName(kept.select("doc.*"))
