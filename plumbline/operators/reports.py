@@ -210,7 +210,7 @@ def feedback_history(feedback: DataFrame, summaries: DataFrame) -> DataFrame:
         *[F.col(c) for c in feedback.columns],
         F.coalesce("_summary", F.lit("")).alias("original_summary"),
         *optional,
-    ).orderBy("created_at", "id")
+    ).orderBy(*[c for c in ("created_at", "id") if c in feedback.columns])
 
 
 def attach_feedback(feedback: DataFrame, summaries: DataFrame) -> DataFrame:
