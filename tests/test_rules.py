@@ -111,6 +111,7 @@ def test_sql_rules(spark, staff):
     assert run_one(spark, "SELECT active AS observed_value FROM staff LIMIT 1")[1] == "SQL_RESULT_TYPE_ERROR"
     assert run_one(spark, "SELECT double('NaN') AS observed_value")[1] == "SQL_RESULT_TYPE_ERROR"
     assert run_one(spark, "SELECT nothing AS observed_value FROM staff")[1] == "SQL_EXECUTION_ERROR"
+    assert run_one(spark, "SELECT max(1 / (salary - salary)) AS observed_value FROM staff") [:2] == ("ERROR", "SQL_EXECUTION_ERROR")
     assert run_one(spark, "DROP VIEW staff")[1] == "INVALID_SQL"
     assert spark.catalog.tableExists("staff")
 
