@@ -1,6 +1,6 @@
 """Order-dependent building blocks that stay parallel when one key holds most of the rows.
 
-* ``running_total``: a running sum per key, cut into chunks so that no task sees a whole key.
+* ``running_total``: a running sum per key, cut into ranges of rows so that no task sees a whole key.
 * ``order_statistics``: exact values at given ranks, found by narrowing histograms.
 * ``anchors``: the walk "keep a row only if it is more than W after the last kept row".
 """
@@ -17,56 +17,69 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR_US = 3_600_000_000
-
+from plumbline.session import settle
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def deal_in_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``_part``: the number of the range of *columns* that a row is in, ranges of about equal rows.
+
+    Written to the shared folder, because range bounds come from a sample and must be the same for
+    every reader.
+    """
+    return settle(rows.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def running_total(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
     amounts: dict[str, str],
-    position_us: str,
-    chunk_us: int = HOUR_US,
     peers: bool = False,
 ) -> DataFrame:
     """Add ``{out: running sum of column}`` per key, rows ordered by *order*.
 
-    *position_us* is a long that grows with *order*. Rows are summed within (key, chunk); each
-    chunk then adds the total of the key's earlier chunks. A hot key is so spread over as many
-    tasks as it has chunks. With *peers* equal rows share the value after the last of them.
-    Amounts are not NULL. *df* is read twice; ``settle`` it first when it is dear to compute.
+    Rows are dealt out in ranges of (keys, order) of about equal size, so a key is split by its rows
+    however its order values are spread; each range adds the total of the key's earlier ranges. Without
+    *peers* the order should be unique, as equal rows stay in one range. With *peers* equal rows
+    share the value after the last of them: they are summed to one row before they are dealt out.
+    Amounts are not NULL.
     """
+    spots = [f"_o{i}" for i in range(len(order))]
+    placed = df.select("*", *[column.alias(spot) for column, spot in zip(order, spots)])
+    rows = placed
+    if peers:
+        rows = placed.groupBy(*keys, *spots).agg(*[F.sum(source).alias(source) for source in set(amounts.values())])
     # one struct as grouping key: it is never NULL itself, so the plain equality join below keeps
     # NULL keys and shares the window's partitioning (one shuffle of the rows)
-    chunk = F.floor(F.col(position_us) / F.lit(chunk_us)).alias("chunk")
-    grouped = df.withColumn("_group", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk))
+    named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    grouped = deal_in_order(rows, [*keys, *spots]).withColumn("_group", F.struct(*named, F.col("_part").alias("part")))
     totals = grouped.groupBy("_group").agg(
         *[F.sum(source).alias(f"_total_{out}") for out, source in amounts.items()]
     )
     earlier = (
         Window.partitionBy(*[f"_group.k{i}" for i in range(len(keys))])
-        .orderBy("_group.chunk")
+        .orderBy("_group.part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
         "_group", *[F.sum(f"_total_{out}").over(earlier).alias(f"_before_{out}") for out in amounts]
     )
-    inside = Window.partitionBy("_group").orderBy(*order)
-    inside = (inside.rangeBetween if peers else inside.rowsBetween)(
+    inside = Window.partitionBy("_group").orderBy(*spots).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    summed = grouped.join(offsets, "_group", "left").select(
-        *[F.col(name) for name in df.columns if name not in amounts],
-        *[
-            (F.sum(source).over(inside) + F.coalesce(F.col(f"_before_{out}"), F.col(source) * 0)).alias(out)
-            for out, source in amounts.items()
-        ],
-    )
-    return summed
+    sums = [
+        (F.sum(source).over(inside) + F.coalesce(F.col(f"_before_{out}"), F.col(source) * 0)).alias(out)
+        for out, source in amounts.items()
+    ]
+    others = [F.col(name) for name in df.columns if name not in amounts]
+    summed = grouped.join(offsets, "_group", "left")
+    if not peers:
+        return summed.select(*others, *sums)
+    spot = F.struct(*named, *[F.col(s) for s in spots]).alias("_spot")
+    return placed.select(*others, spot).join(summed.select(spot, *sums), "_spot").drop("_spot")
 
 
 @dataclass(frozen=True)

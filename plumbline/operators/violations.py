@@ -140,12 +140,12 @@ def assign_batches(
     df: DataFrame, time: str = "executed_at", row_id: str = "result_id"
 ) -> DataFrame:
     """Add ``batch_no``, counted per rule: a new failure opens a batch, a duplicate joins the
-    rule's latest batch whatever its fingerprint. Reads *df* twice: ``settle`` it first."""
+    rule's latest batch whatever its fingerprint."""
     ready = df.withColumn("_opens", F.col("is_new").cast("long")).withColumn(
         "_us", micros(F.col(time))
     )
     return running_total(
-        ready, ["rule_id"], [F.col("_us"), F.col(row_id)], {"batch_no": "_opens"}, "_us"
+        ready, ["rule_id"], [F.col("_us"), F.col(row_id)], {"batch_no": "_opens"}
     ).drop("_opens", "_us")
 
 
@@ -176,7 +176,6 @@ def attach_to_batches(
         ["rule_id"],
         [F.col("_us"), F.col("_side"), F.col("_id")],
         {"batch_no": "_opens"},
-        "_us",
     )
     found = counted.filter((F.col("_side") == 1) & (F.col("batch_no") > 0)).select(
         F.col("_id").alias(probe_id), "batch_no"
@@ -314,7 +313,6 @@ def alert_context(
         ["rule_id"],
         [F.col("_us"), F.col("_side")],
         {"cum_n": "_n", "cum_v": "_v"},
-        "_us",
         peers=True,
     )
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import Rank, anchors, order_statistics, running_total
+from plumbline.operators.ordering import Rank, anchors, deal_in_order, order_statistics, running_total
 
 
 def sequential_anchors(rows, inclusive):
@@ -63,7 +63,7 @@ def test_running_total_over_chunks(spark):
     rnd = random.Random(5)
     rows = [(i, rnd.choice("aab"), rnd.randrange(1000), rnd.randrange(5)) for i in range(800)]
     df = spark.createDataFrame(rows, "id long, k string, t long, n long")
-    got = running_total(df, ["k"], [F.col("t"), F.col("id")], {"total": "n"}, "t", chunk_us=50)
+    got = running_total(df, ["k"], [F.col("t"), F.col("id")], {"total": "n"})
     expected, sums = {}, {}
     for row_id, key, _, n in sorted(rows, key=lambda r: (r[2], r[0])):
         sums[key] = sums.get(key, 0) + n
@@ -71,9 +71,36 @@ def test_running_total_over_chunks(spark):
     assert {r["id"]: r["total"] for r in got.collect()} == expected
 
 
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("peers", [False, True])
+def test_running_total_with_half_of_the_rows_at_one_time(many_ranges, peers):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["a", "a", None]), 500 if i % 2 else rnd.randrange(1000), rnd.randrange(5)) for i in range(800)]
+    df = many_ranges.createDataFrame(rows, "id long, k string, t long, n long")
+    order = [F.col("t")] if peers else [F.col("t"), F.col("id")]
+    got = running_total(df, ["k"], order, {"total": "n"}, peers=peers)
+    place = (lambda r: r[2]) if peers else (lambda r: (r[2], r[0]))
+    expected = {r[0]: sum(o[3] for o in rows if o[1] == r[1] and place(o) <= place(r)) for r in rows}
+    assert got.columns == ["id", "k", "t", "n", "total"]
+    assert {r["id"]: r["total"] for r in got.collect()} == expected
+
+
+def test_ranges_split_a_key_whose_rows_have_one_time(many_ranges):
+    rows = [(i, "hot" if i % 3 else f"k{i}", 7) for i in range(900)]
+    df = many_ranges.createDataFrame(rows, "id long, k string, t long")
+    parts = deal_in_order(df, ["k", "t", "id"]).groupBy("_part").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 300
+
+
 def test_running_total_keeps_null_keys_apart(spark):
     df = spark.createDataFrame([(1, None, 0, 1), (2, None, 900, 1), (3, "a", 5, 1)], "id long, k string, t long, n long")
-    got = running_total(df, ["k"], [F.col("t")], {"total": "n"}, "t", chunk_us=10)
+    got = running_total(df, ["k"], [F.col("t")], {"total": "n"})
     assert {r["id"]: r["total"] for r in got.collect()} == {1: 1, 2: 2, 3: 1}
 
 
