@@ -1,8 +1,8 @@
 """From rule results to violation events, batches and alert context.
 
 Replaying a history must give the same answer every time, so "now" is always the time of the
-result at hand. Result tables are assumed to hold a hot rule: nothing here puts all rows of one
-rule into one task.
+result at hand. Result tables are assumed to hold a hot rule: running totals split its rows, the
+walks of ``dedup`` and ``hold_batches`` its time, in chunks of many windows.
 """
 
 from __future__ import annotations
