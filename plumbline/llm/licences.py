@@ -1,9 +1,10 @@
 """Licence detection with a positional index of rare words.
 
-Licence notices are templates. For every word of a template the index holds its postings (template, position).
-A file's licence words are looked up in order of rarity (inverse document frequency over all documents, common
-words are no entries), and every posting votes for one relative position of its template in the file.
-Positions with enough votes are verified: the template's key phrases must stand where the position says.
+Licence notices are templates. Their words weigh by rarity (inverse document frequency over all documents, never
+below a floor, so that a notice that many documents have keeps its weight). A template's rarest words are entries
+of the index: as many as it takes for the others to hold less than ``COVERED`` of the weight, so every place that
+reaches it has an entry. An entry found in a file proposes relative positions of its templates; these are verified:
+the template's key phrases must stand where the position says, and all its words are weighed there.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import WORD_BYTES, batch_of, slices, texts_of
 
 FIND_WORDS = re.compile(WORD_BYTES)
-#: Words found in a larger share of all documents are no entries of the index.
-COMMON = 0.1
+#: Least rarity of a word, as a share of that of a word in no document.
+LEAST = 0.25
 #: Share of a template's rarity that must be found at one relative position.
 COVERED = 0.5
 #: Words by which a part of a template may be displaced.
@@ -86,15 +87,19 @@ class Index:
     def __init__(self, seen: dict[bytes, int], n: int, templates: tuple[Template, ...] = TEMPLATES):
         self.templates = templates
         self.words = [words_of(t.text) for t in templates]
-        self.rarity = {w: math.log((n + 1) / (seen.get(w, 0) + 0.5)) for ws in self.words for w in ws
-                       if seen.get(w, 0) <= COMMON * n or n == 0}
+        most = math.log((n + 1) / 0.5)
+        self.rarity = {w: max(LEAST * most, math.log((n + 1) / (seen.get(w, 0) + 0.5))) for ws in self.words for w in ws}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.total = []
         for t, ws in enumerate(self.words):
-            entries = [(p, w) for p, w in enumerate(ws) if w in self.rarity]
-            self.total.append(sum(self.rarity[w] for _, w in entries))
-            for p, w in entries:
-                self.postings.setdefault(w, []).append((t, p))
+            self.total.append(sum(self.rarity[w] for w in ws))
+            left = self.total[t]
+            for word in sorted(set(ws), key=lambda w: (-self.rarity[w], w)):
+                if left < COVERED * self.total[t] * (1 - 1e-9):
+                    break
+                places = [p for p, w in enumerate(ws) if w == word]
+                left -= self.rarity[word] * len(places)
+                self.postings.setdefault(word, []).extend((t, p) for p in places)
         self.keys = []  # per template: (position, words) of each key phrase
         for t, template in enumerate(templates):
             found = []
@@ -112,17 +117,16 @@ class Index:
         present = self.postings.keys() & set(words)
         if not present:
             return []
-        votes: dict[tuple[int, int], dict[int, float]] = {}
-        for i, word in enumerate(words):
-            if word in present:
-                for t, p in self.postings[word]:
-                    for shift in range(-SLACK, SLACK + 1):
-                        votes.setdefault((t, i - p + shift), {})[p] = self.rarity[word]
+        places = {(t, i - p + shift) for i, word in enumerate(words) if word in present
+                  for t, p in self.postings[word] for shift in range(-SLACK, SLACK + 1)}
         found = []
-        for (t, place), positions in votes.items():
-            share = sum(positions.values()) / self.total[t]
-            if share >= COVERED and self._verified(words, t, place):
-                exact = sum(1 for p in positions if 0 <= place + p < len(words) and words[place + p] == self.words[t][p])
+        for t, place in places:
+            if not self._verified(words, t, place):
+                continue
+            share = sum(self.rarity[w] for p, w in enumerate(self.words[t])
+                        if w in words[max(0, place + p - SLACK):max(0, place + p + SLACK + 1)]) / self.total[t]
+            if share >= COVERED:
+                exact = sum(1 for p, w in enumerate(self.words[t]) if 0 <= place + p < len(words) and words[place + p] == w)
                 found.append((t, place, share, exact))
         found.sort(key=lambda x: (x[0], -x[2], -x[3], x[1]))
         out: list[tuple[int, int, float]] = []
