@@ -3,7 +3,8 @@
 A source's rate is the mean number of times each of its documents is to appear, so that the source has its target
 share of all words of the mix. Every document draws its number of copies from a Poisson distribution with that mean:
 a hash of seed and id is a number in [0, 1), and the count is the number of cumulative probabilities that do not
-exceed it. Documents are exploded by their count and dealt out by another hash.
+exceed it. A large mean is drawn as the sum of several independent draws with an equal part of it each, which has the
+same distribution. Documents are exploded by their count and dealt out by another hash.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ SEED = "mix-1"
 #: Target weight of a source without one of its own: its number of characters to this power. Powers below 1
 #: raise small sources above their share.
 POWER = 0.5
-#: Rates above this are no mix; the cumulative probabilities are computed by a product that starts at exp(-rate).
+#: Largest rate of one draw: the cumulative probabilities are computed by a product that starts at exp(-rate). Higher
+#: rates are split over several draws.
 LARGEST_RATE = 500.0
+#: Copies of a document that are listed at once.
+COPIES = 10_000
 
 
 def steps(rate: float) -> int:
@@ -42,7 +46,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     sums = sized.filter("chars > 0").agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     rate = F.lit(float(scale)) * F.col("all_chars") * F.col("weight") / F.col("all_weight") / F.col("chars")
     return settle(sized.join(sums, F.lit(True), "left").select(
-        "source", F.when(F.col("chars") > 0, F.least(rate, F.lit(LARGEST_RATE))).otherwise(0.0).alias("rate")))
+        "source", F.when(F.col("chars") > 0, rate).otherwise(0.0).alias("rate")))
 
 
 def poisson(rate: Column, draw: Column) -> Column:
@@ -56,6 +60,16 @@ def poisson(rate: Column, draw: Column) -> Column:
     return end["n"].cast("long")
 
 
+def copies_of(rate: Column, seed: str, key: Column) -> Column:
+    """A Poisson number with mean *rate*: the sum of as few draws as have at most LARGEST_RATE each. The first is
+    drawn by seed and key, the others by seed, their number and key."""
+    draws = F.greatest(F.ceil(rate / LARGEST_RATE).cast("long"), F.lit(1).cast("long"))
+    part = rate / draws
+    others = F.when(draws > 1, F.sequence(F.lit(2).cast("long"), draws)).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+    return F.aggregate(others, poisson(part, unit_hash(F.lit(seed), key)), lambda n, j: n + poisson(
+        part, unit_hash(F.lit(seed), F.lit("draw"), j.cast("string"), key)))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, scale: float = 1.0,
         seed: str = SEED) -> DataFrame:
     """*docs* with ``copy_no`` (from 1) and ``mix_order``, in random order over all files.
@@ -72,8 +86,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     key = F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit(""))
     # One row per source: Spark broadcasts it while it is below its limit, and splits hot sources beyond it.
     counted = kept.toDF(*at.values()).join(found, F.col(at["source"]).eqNullSafe(F.col("source")))
-    counted = counted.withColumn("n", poisson(F.col("rate"), unit_hash(F.lit(seed), key))).filter("n > 0")
-    copies = counted.select(*at.values(), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy_no"))
+    counted = counted.withColumn("n", copies_of(F.col("rate"), seed, key)).filter("n > 0")
+    # In blocks, so that a document of many copies needs no list of all their numbers.
+    blocks = counted.select(*at.values(), "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(COPIES).cast("long"))).alias("low"))
+    copies = blocks.select(*at.values(), F.explode(F.sequence(F.col("low"), F.least("n", F.col("low") + (COPIES - 1)))).alias("copy_no"))
     order = unit_hash(F.lit(seed), F.lit("order"), key, F.col("copy_no").cast("string"))
     dealt = copies.withColumn("mix_order", order).repartition(F.col("mix_order")).sortWithinPartitions("mix_order")
     return dealt.toDF(*names, "copy_no", "mix_order")
