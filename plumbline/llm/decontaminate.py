@@ -5,7 +5,7 @@ against itself, so one threshold fits units of every length. Every passage of a
 2 * UNIT words, UNIT apart, so each unit that a document has lies whole in one window. Passages whose upper bound
 over rare terms cannot reach the threshold are set aside by one vectorised sum per document; for the others
 block-max WAND retrieves every unit at or above the threshold. Items of retrieved units are verified on the whole
-document: question and answer must both overlap with it.
+document: of the n-grams of question and answer together enough must be in it, or nearly all of the longer one's.
 
 The index is built per shard of ``SHARD`` items, which bounds what is sent to the executors; a larger benchmark
 takes more shards, each of which reads the documents again.
@@ -32,8 +32,11 @@ FIND_WORDS = re.compile(WORD_BYTES)
 UNIT = 50
 #: Share of a unit's own score that a passage must reach.
 THRESHOLD = 0.5
-#: Share of the question's and of the answer's word n-grams that the document must have.
+#: Share of an item's word n-grams, of question and answer together, that the document must have.
 OVERLAP = 0.6
+#: Or the share of those of the longer side, if that has LONG or more.
+WHOLE = 0.9
+LONG = 8
 GRAM = 3
 SHARD = 5000
 K1, B = 1.2, 0.75
@@ -214,13 +217,17 @@ class Index:
         pool: dict[int, set[tuple[bytes, ...]]] = {}
         out = []
         for item, score in sorted(best.items()):
-            shares = []
-            for side in self.sides[item]:
+            sides, shares, hits = self.sides[item], [], 0
+            for side in sides:
                 n = len(next(iter(side), ()))
                 if n and n not in pool:
                     pool[n] = set(zip(*(words[i:] for i in range(n))))
-                shares.append(sum(g in pool[n] for g in side) / len(side) if side else 1.0)
-            if min(shares) >= OVERLAP:
+                own = sum(g in pool[n] for g in side)
+                hits += own
+                shares.append(own / len(side) if side else 1.0)
+            many = sum(map(len, sides))
+            if hits >= OVERLAP * many or any(
+                    share >= WHOLE and len(side) >= max(LONG, many / 2) for side, share in zip(sides, shares)):
                 out.append((self.items[item], score, *shares))
         return out
 
