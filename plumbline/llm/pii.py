@@ -23,7 +23,7 @@ from plumbline.session import settle
 
 BASE = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
-#: kind, expression, what the text must contain. Kinds after the first four are the method's own.
+#: kind, expression, what the text must contain (of several, one). Kinds after the first four are the method's own.
 KINDS = (
     ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     ("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "digit"),
@@ -32,7 +32,7 @@ KINDS = (
     ("email_words", r"(?:\G|(?<![A-Za-z0-9._-]))[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(.](?:dot[\])] ?)?[A-Za-z0-9-]++)++", "at"),
     ("phone_local", r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9.-])", "digit"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digit"),
-    ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?:password|passwd|token|secret|api_key)(?: ?[=:] ?)\"?[0-9A-Za-z]{8,}+\"?", "digit"),
+    ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?:password|passwd|token|secret|api_key)(?: ?[=:] ?)\"?[0-9A-Za-z]{8,}+\"?", ("AKIA", "=", ":")),
 )
 NAMES = tuple(kind for kind, _, _ in KINDS)
 #: Words before a value that announce it. Fixed values.
@@ -142,12 +142,14 @@ def learn(patterns: list[tuple]) -> Labels:
     return Labels(constant, weights)
 
 
-def _pieces(text: Column, expression: str, needs: str) -> tuple[Column, Column]:
+def _pieces(text: Column, expression: str, needs: str | tuple[str, ...]) -> tuple[Column, Column]:
     """Matches, and the pieces around them. Texts without what a match needs are one piece."""
     if needs == "digit":
         possible = text.rlike("[0-9]")
     else:
-        possible = F.contains(text, F.lit(needs))
+        possible = F.lit(False)
+        for part in (needs,) if isinstance(needs, str) else needs:
+            possible = possible | F.contains(text, F.lit(part))
     matches = F.when(possible, F.regexp_extract_all(text, F.lit(f"({expression})"), F.lit(1))).otherwise(F.expr("CAST(array() AS array<string>)"))
     pieces = F.when(possible, F.split(text, expression, -1)).otherwise(F.expr("CAST(array() AS array<string>)"))
     return matches, pieces
