@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chunk_dedup, decontaminate, language, licences, lm_score, mixing, near_dup, pii, topk, toxicity
+from plumbline.llm import (
+    chunk_dedup, decontaminate, hard_negatives, language, licences, lm_score, mixing, near_dup, pii, ranked_search, topk,
+    toxicity, url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +36,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": _over(toxicity.op8_toxicity, "documents", "labels"),
         "op9_lm_score": _over(lm_score.op9_lm_score, "documents"),
         "op10_chunk_dedup": _over(chunk_dedup.op10_chunk_dedup, "documents"),
+        "op11_ranked_search": _over(ranked_search.op11_ranked_search, "documents", "benchmark"),
+        "op12_url_filter": _over(url_filter.op12_url_filter, "pages"),
+        "op13_hard_negatives": _over(hard_negatives.op13_hard_negatives, "embeddings"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries whose whole result SQL can express; the others are tested against brute force."""
-    return {"op4_mix": mixing.OP4_SQL, "op7_top_k": topk.OP7_SQL}
+    return {"op4_mix": mixing.OP4_SQL, "op7_top_k": topk.OP7_SQL, "op11_ranked_search": ranked_search.OP11_SQL,
+            "op13_hard_negatives": hard_negatives.OP13_SQL}

@@ -106,7 +106,7 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, benchmark, tmp_pat
 
 def test_every_operator_is_registered():
     names = registered.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "mixing"]
 
 
