@@ -73,20 +73,21 @@ def drift(
                 raise DriftError(f"{name} has no rows")
     left = _side(reference, common, "ref")
     right = _side(current, common, "cur").drop("position")
+    return drift_scores(left.join(F.broadcast(right), "column_name"))
+
+
+def drift_scores(sides: DataFrame) -> DataFrame:
+    """Scores from the number, mean and sample deviation of both sides, one row per column."""
     pooled = (F.col("ref_std") + F.col("cur_std")) / 2
     pooled = F.when(pooled == 0, 1.0).otherwise(pooled)
     empty = (F.col("ref_n") == 0) | (F.col("cur_n") == 0)
     raw = F.when(empty, 0.0).otherwise(F.abs(F.col("cur_mean") - F.col("ref_mean")) / pooled)
-    return (
-        left.join(F.broadcast(right), "column_name")
-        .withColumn("_raw", raw)
-        .select(
-            "position", "column_name",
-            F.lit("mean_shift").alias("stat_test"),
-            F.round("_raw", 6).alias("drift_score"),
-            F.coalesce(F.col("_raw") > DRIFT_LIMIT, F.lit(False)).alias("is_drifted"),
-            "ref_n", "cur_n", "ref_mean", "cur_mean",
-        )
+    return sides.withColumn("_raw", raw).select(
+        "position", "column_name",
+        F.lit("mean_shift").alias("stat_test"),
+        F.round("_raw", 6).alias("drift_score"),
+        F.coalesce(F.col("_raw") > DRIFT_LIMIT, F.lit(False)).alias("is_drifted"),
+        "ref_n", "cur_n", "ref_mean", "cur_mean",
     )
 
 

@@ -7,7 +7,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -207,15 +206,18 @@ def order_statistics(
 
 # --- anchored walk ---------------------------------------------------------------------------
 #
-# A row is an anchor when its time is after `until`; `until` then becomes its time plus W. The
-# walk is sequential per key, so a key's timeline is cut into chunks of many windows:
-#   1. each chunk is reduced to a step function  until-at-entry -> until-at-exit,
-#   2. the step functions of a key are chained to get the entry value of every chunk,
-#   3. each chunk is walked from its entry value.
-# Steps 1 and 3 run per (key, chunk); step 2 sees one short row per chunk. All three stream over
-# sorted Arrow batches and keep no group in memory.
+# A row is an anchor when its time is more than W after the last anchor of its key; the first row is one. Every row has
+# a successor, the first row more than W after it, and the anchors are what is reached from the first row by
+# successors. A key of up to `limit` rows is walked in one task. A larger key is cut into ranges of rows:
+#   1. inside a range, every row is followed by its successors to the last one; that one's time plus W is where the row
+#      leaves the range,
+#   2. an as-of merge finds the row at which each such value enters a later range,
+#   3. pointer doubling over these jumps marks the entries that are reached from the key's first row: a jump ends in a
+#      later range, so the rounds are the logarithm of the number of ranges,
+#   4. each range is walked from its entry.
 
-NEVER = -(2**62)
+#: Rows of one key that a single task walks; ranges of larger keys have about as many.
+WALK_ROWS = 200_000
 
 
 def _segments(frame: pd.DataFrame, names: list[str]) -> Iterator[tuple[int, int]]:
@@ -231,99 +233,17 @@ def _segments(frame: pd.DataFrame, names: list[str]) -> Iterator[tuple[int, int]
     yield from zip(starts.tolist(), ends.tolist())
 
 
-class _StepFunction:
-    """Follow every walk that can enter a chunk, merging walks once they meet."""
-
-    def __init__(self, entry_limit: int, window: int):
-        self.entry_limit = entry_limit  # no entry value reaches this far into the chunk
-        self.window = window
-        self.walks: deque[tuple[int, int, int]] = deque()  # (from, below, last anchor), by anchor
-        self.previous = NEVER - 1
-
-    def feed(self, times: np.ndarray) -> None:
-        index, size = 0, len(times)
-        while index < size:
-            if self.previous >= self.entry_limit:
-                # no new walks begin here: jump to the next row that moves the earliest walk
-                if not self.walks:
-                    return
-                index = int(np.searchsorted(times, self.walks[0][2] + self.window, side="right"))
-                if index >= size:
-                    return
-            time = int(times[index])
-            moved = []
-            while self.walks and time > self.walks[0][2] + self.window:
-                moved.append(self.walks.popleft())
-            if self.previous < self.entry_limit:
-                moved.append((self.previous, time, time))
-                self.previous = time
-            moved.sort()
-            for start, below, _ in moved:
-                if self.walks and self.walks[-1][2] == time and self.walks[-1][1] == start:
-                    self.walks[-1] = (self.walks[-1][0], below, time)
-                else:
-                    self.walks.append((start, below, time))
-            index += 1
-
-    def steps(self) -> tuple[list[int], list[int]]:
-        ordered = sorted(self.walks)
-        return [below for _, below, _ in ordered], [last + self.window for *_, last in ordered]
-
-
-_STEPS = ["_key", "_chunk", "_window", "_below", "_exit"]
-_STEP_SCHEMA = "_key string, _chunk long, _window long, _below array<long>, _exit array<long>"
-
-
-def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, state, done = None, None, []
-    for frame in batches:
-        keys, chunks, times = (frame[c].to_numpy() for c in ("_key", "_chunk", "_t"))
-        windows, spans = frame["_window"].to_numpy(), frame["_span"].to_numpy()
-        for start, end in _segments(frame, ["_key", "_chunk"]):
-            group = (keys[start], int(chunks[start]))
-            if group != current:
-                if current is not None:
-                    done.append((*current, state.window, *state.steps()))
-                window = int(windows[start])
-                current = group
-                state = _StepFunction(group[1] * int(spans[start]) + window, window)
-            state.feed(times[start:end])
-        if done:
-            yield pd.DataFrame(done, columns=_STEPS)
-            done = []
-    if current is not None:
-        yield pd.DataFrame([(*current, state.window, *state.steps())], columns=_STEPS)
-
-
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, until = None, NEVER
-    for frame in batches:
-        entries = np.empty(len(frame), dtype=np.int64)
-        keys = frame["_key"].to_numpy()
-        for index, (below, exits) in enumerate(zip(frame["_below"], frame["_exit"])):
-            if keys[index] != current:
-                current, until = keys[index], NEVER
-            entries[index] = until
-            step = int(np.searchsorted(below, until, side="right"))
-            if step < len(below):
-                until = int(exits[step])
-        yield pd.DataFrame({
-            "_key": keys, "_chunk": frame["_chunk"], "_entry": entries, "_window": frame["_window"]
-        })
-
-
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, until = None, NEVER
+    """Ids of the anchors in rows sorted by (_key, _t); what is kept between batches is one key and one time."""
+    current, until = None, 0
     for frame in batches:
-        keys, chunks, times, ids, windows = (
-            frame[c].to_numpy() for c in ("_key", "_chunk", "_t", "_id", "_window")
-        )
+        keys, times, ids, windows = (frame[c].to_numpy() for c in ("_key", "_t", "_id", "_window"))
         picked = []
-        for start, end in _segments(frame, ["_key", "_chunk"]):
-            group, window, index = (keys[start], int(chunks[start])), int(windows[start]), start
-            if group != current:
-                # a chunk is opened by a row that has its entry value in place of an id
-                current, until, index = group, int(ids[start]), start + 1
+        for start, end in _segments(frame, ["_key"]):
+            index, window = start, int(windows[start])
+            if keys[start] != current:
+                current, until = keys[start], int(times[start]) + window
+                picked.append(start)
             while True:
                 index += int(np.searchsorted(times[index:end], until, side="right"))
                 if index >= end:
@@ -333,6 +253,70 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_id": ids[picked]})
 
 
+def last_successors(times: np.ndarray, window: int) -> np.ndarray:
+    """For each of the sorted, distinct times the place of the last one reached by successors."""
+    after = np.searchsorted(times, times + window, side="right")
+    reached = np.where(after < len(times), after, np.arange(len(times)))
+    while True:
+        further = reached[reached]
+        if np.array_equal(further, reached):
+            return reached
+        reached = further
+
+
+def _leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one range, sorted by (_key, _t), with ``_until``: where the row's walk leaves the range."""
+    parts = list(batches)  # one range, of about WALK_ROWS rows
+    if not parts:
+        return
+    frame = pd.concat(parts, ignore_index=True)
+    until = np.empty(len(frame), dtype=np.int64)
+    times, windows = frame["_t"].to_numpy(), frame["_window"].to_numpy()
+    for start, end in _segments(frame, ["_key"]):
+        window = int(windows[start])
+        until[start:end] = times[start:end][last_successors(times[start:end], window)] + window
+    yield frame.assign(_until=until)
+
+
+_WALK_KIND = "_id long"
+
+
+def _walk_ranges(rows: DataFrame, limit: int) -> DataFrame:
+    """Anchors of keys that are larger than a task, by the steps above."""
+    ranges = max(1, -(-rows.count() // limit))
+    placed = rows.repartitionByRange(ranges, "_key", "_t").sortWithinPartitions("_key", "_t").withColumn(
+        "_part", F.spark_partition_id())
+    left = settle(placed.mapInPandas(_leave, f"{_KIND}, _part int, _until long"), "ranges")
+
+    # Rows and the values that leave a range, in one order: a value is followed by the row at which it enters.
+    nothing = F.lit(0).cast("long")
+    both = left.select("_key", F.col("_t").alias("_us"), nothing.alias("_side"), F.lit(1).cast("long").alias("_n")).unionByName(
+        left.select("_key", F.col("_until").alias("_us"), (nothing + 1).alias("_side"), nothing.alias("_n")).distinct())
+    counted = settle(running_total(both, ["_key"], [F.col("_us"), F.col("_side")], {"_rank": "_n"}), "ranks")
+    ranked = counted.filter("_side = 0").select("_key", F.col("_us").alias("_t"), "_rank")
+    entered = counted.filter("_side = 1").select("_key", F.col("_us").alias("_until"), (F.col("_rank") + 1).alias("_next"))
+    nodes = settle(left.join(ranked, ["_key", "_t"]).select("_key", "_rank", "_part", "_t", "_until"), "nodes")
+    targets = entered.select("_key", F.col("_next").alias("_rank")).union(
+        nodes.filter("_rank = 1").select("_key", "_rank")).distinct()
+    jumps = nodes.join(targets, ["_key", "_rank"]).join(entered, ["_key", "_until"]).select("_key", "_rank", "_next")
+    ends = jumps.select("_key", F.col("_rank").alias("_next"))
+    jumps = settle(jumps.join(ends, ["_key", "_next"], "left_semi").select("_key", "_rank", "_next"), "jumps")
+    reached = nodes.filter("_rank = 1").select("_key", "_rank")
+    for turn in range(max(1, ranges.bit_length())):
+        ahead = reached.join(jumps, ["_key", "_rank"]).select("_key", F.col("_next").alias("_rank"))
+        reached = settle(reached.unionByName(ahead).distinct(), "reached")
+        far = jumps.select("_key", F.col("_rank").alias("_next"), F.col("_next").alias("_far"))
+        jumps = settle(jumps.join(far, ["_key", "_next"]).select("_key", "_rank", F.col("_far").alias("_next")), "jumps")
+
+    entry = nodes.join(reached, ["_key", "_rank"]).groupBy("_key", "_part").agg(F.min("_t").alias("_entry"))
+    inside = left.join(entry, ["_key", "_part"]).filter("_t >= _entry").select(
+        F.concat_ws(":", "_part", "_key").alias("_key"), "_t", "_id", "_window", "_part")
+    return inside.repartition("_part").sortWithinPartitions("_part", "_key", "_t").drop("_part").mapInPandas(_walk, _WALK_KIND)
+
+
+_KIND = "_key string, _t long, _id long, _window long"
+
+
 def anchors(
     df: DataFrame,
     key: Column,
@@ -340,13 +324,14 @@ def anchors(
     row_id: Column,
     window_us: Column,
     inclusive: bool = False,
-    windows_per_chunk: int = 64,
+    limit: int = WALK_ROWS,
 ) -> DataFrame:
     """Ids of the anchor rows, as one column ``_id``.
 
     *row_id* is a unique long; it also breaks ties in time. A row exactly *window_us* after its
     anchor is a duplicate, or with *inclusive* an anchor itself. A window of zero or less makes
-    every row an anchor; otherwise it must be the same for all rows of a key.
+    every row an anchor; otherwise it must be the same for all rows of a key. No task reads more than
+    about *limit* rows of one key, whatever its window.
     """
     thin = df.select(
         key.cast("string").alias("_key"), time_us.alias("_t"), row_id.cast("long").alias("_id"),
@@ -354,35 +339,17 @@ def anchors(
     )
     free = thin.filter(F.col("_window") <= 0).select("_id")
     # rows of one instant can hold only one anchor: the first
-    distinct = (
+    rows = (
         thin.filter(F.col("_window") > 0)
         .groupBy("_key", "_t")
         .agg(F.min("_id").alias("_id"), F.max("_window").alias("_window"))
     )
     if inclusive:
-        distinct = distinct.withColumn("_window", F.col("_window") - 1)
-    span = F.greatest(F.col("_window"), F.lit(1)) * windows_per_chunk
-    rows = distinct.withColumn("_span", span).withColumn(
-        "_chunk", F.floor(F.col("_t") / F.col("_span"))
-    )
-    steps = (
-        rows.repartition("_key", "_chunk")
-        .sortWithinPartitions("_key", "_chunk", "_t")
-        .mapInPandas(_summarise, _STEP_SCHEMA)
-    )
-    entries = (
-        steps.repartition("_key")
-        .sortWithinPartitions("_key", "_chunk")
-        .mapInPandas(_chain, "_key string, _chunk long, _entry long, _window long")
-    )
-    openings = entries.select(
-        "_key", "_chunk", F.lit(NEVER).alias("_t"), F.col("_entry").alias("_id"), "_window"
-    )
-    walked = (
-        rows.select("_key", "_chunk", "_t", "_id", "_window")
-        .unionByName(openings)
-        .repartition("_key", "_chunk")
-        .sortWithinPartitions("_key", "_chunk", "_t")
-        .mapInPandas(_walk, "_id long")
-    )
-    return walked.unionByName(free)
+        rows = rows.withColumn("_window", F.col("_window") - 1)
+    rows = settle(rows, "instants")
+    large = settle(rows.groupBy("_key").count().filter(F.col("count") > limit).select("_key"), "large")  # at most rows / limit
+    if large.isEmpty():
+        return rows.repartition("_key").sortWithinPartitions("_key", "_t").mapInPandas(_walk, _WALK_KIND).unionByName(free)
+    small = rows.join(large, "_key", "left_anti").repartition("_key").sortWithinPartitions("_key", "_t").mapInPandas(
+        _walk, _WALK_KIND)
+    return small.unionByName(_walk_ranges(rows.join(large, "_key", "left_semi"), limit)).unionByName(free)

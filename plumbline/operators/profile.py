@@ -1,11 +1,16 @@
 """Column profiles over whole tables.
 
-One aggregate gives all scalar statistics, one count per (column, value) gives distinct counts
-and top values, and a few narrowing counts over the numeric columns give the exact quartiles.
+One aggregate gives all scalar statistics, one count per value of each column gives distinct counts
+and top values, and a few narrowing counts over the numeric columns give the exact quartiles. With
+``approx=True`` one scan with mergeable sketches takes the place of the counts (see ``sketches``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,45 +89,74 @@ def numeric_long(df: DataFrame, columns: list[str], keep: list[str] | None = Non
     return df.select(*(keep or []), F.inline(rows)).filter(F.col("value").isNotNull())
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, digest, n) for all non-null values, by the sha256 of their text.
+#: Texts longer than this are counted by their sha256; only the few that are shown are fetched whole.
+SHORT = 48
+#: Stands before a digest, in place of a text.
+_LONG = "\u0001sha256:"
+
+
+def _value_key(df: DataFrame, name: str) -> Column:
+    """What the values of a column are counted by: numbers, dates and booleans by themselves, texts by themselves or, when
+    long, by their digest, so that what is shuffled does not grow with the texts."""
+    kind = df.schema[name].dataType
+    value = F.col(f"`{name}`")
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return value
+    return _text_key(value.cast("string"))
+
+
+def _text_key(text: Column) -> Column:
+    long = (F.length(text) > SHORT) | text.startswith(_LONG)
+    return F.when(long, F.concat(F.lit(_LONG), F.sha2(text, 256))).otherwise(text)
+
+
+def _is_long(key: Column) -> Column:
+    return key.startswith(_LONG)
 
-    Partial counts are merged before the shuffle and values hash over all tasks, so neither a
-    frequent value nor a wide table makes a hot task, and what is shuffled does not grow with the
-    length of the texts. ``with_texts`` brings back the few that are shown.
+
+def _digest(key: Column) -> Column:
+    """The sha256 of the text that a key stands for."""
+    return F.unhex(F.when(_is_long(key), F.substr(key, F.lit(len(_LONG) + 1))).otherwise(F.sha2(key, 256)))
+
+
+def value_counts(df: DataFrame, name: str) -> DataFrame:
+    """(key, n) of the non-null values of a column, from a scan of that column alone.
+
+    Partial counts are merged before the shuffle and values hash over all tasks, so a frequent value makes no hot task.
     """
-    return (
-        _texts(df, columns or df.columns)
-        .groupBy("column_name", _digest("value").alias("digest"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return df.select(_value_key(df, name).alias("key")).filter(F.col("key").isNotNull()).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
-def _digest(name: str) -> Column:
-    return F.unhex(F.sha2(name, 256))
+def _distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, unique_count)."""
+    counts = [value_counts(df, c).agg(F.count("n").alias("unique_count")).select(F.lit(c).alias("column_name"), "unique_count")
+              for c in columns]
+    return reduce(DataFrame.unionByName, counts)
 
 
-def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-        for c in columns
-    ])
-    return df.select(F.inline(rows)).filter(F.col("value").isNotNull())
+def _ranked(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(column_name, key, n, rank) of the *k* most frequent values, ties by the sha256 of their text. Tasks keep their
+    first *k* before the counts meet."""
+    counts = [value_counts(df, c).select(F.lit(c).alias("column_name"), F.col("key").cast("string").alias("key"), "n") for c in columns]
+    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), _digest(F.col("key")))
+    return reduce(DataFrame.unionByName, counts).withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= k)
 
 
 def with_texts(df: DataFrame, top: DataFrame) -> DataFrame:
-    """Put the texts in place of digests in *top*, a few rows per column, in one pass."""
-    top = settle(top)
-    shown = top.select("column_name", "digest")  # at most k rows per column
-    columns = [r[0] for r in top.select("column_name").distinct().collect()]
-    texts = (
-        _texts(df, columns or df.columns)
-        .withColumn("digest", _digest("value"))
-        .join(F.broadcast(shown), ["column_name", "digest"])
-        .groupBy("column_name", "digest")
-        .agg(F.max("value").alias("value"))
-    )
-    return top.join(texts, ["column_name", "digest"]).drop("digest")
+    """(column_name, value, n, rank) for the keys in *top*, a few rows per column. Long texts are fetched in one pass over
+    the columns that have any; without one there is no such pass."""
+    rows = top.collect()  # k rows a column
+    columns = sorted({r["column_name"] for r in rows if r["key"].startswith(_LONG)})
+    top = df.sparkSession.createDataFrame(rows, top.schema)
+    if not columns:
+        return top.withColumnRenamed("key", "value").select("column_name", "value", "n", "rank")
+    texts = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("text")) for c in columns])
+    long = df.select(F.inline(texts)).filter(F.length("text") > SHORT).withColumn("key", _text_key(F.col("text")))
+    found = long.join(F.broadcast(top.select("column_name", "key")), ["column_name", "key"]).groupBy("column_name", "key").agg(
+        F.max("text").alias("text"))
+    return top.join(F.broadcast(found), ["column_name", "key"], "left").select(
+        "column_name", F.coalesce("text", "key").alias("value"), "n", "rank")
 
 
 def _all_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -167,11 +201,9 @@ def uniqueness(df: DataFrame, columns: list[str] | None = None, approx: bool = F
             for i, c in enumerate(columns)
         ])
         return _with_uniqueness(counts.select(F.inline(rows)))
-    distinct = value_counts(df, columns).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("unique_count")
-    )
+    distinct = _distinct_counts(df, columns)  # a row a column
     return _with_uniqueness(
-        _all_columns(df, columns).join(distinct, "column_name", "left")
+        _all_columns(df, columns).join(F.broadcast(distinct), "column_name", "left")
     ).select("column_name", "row_count", "unique_count", "unique_pct", "is_unique")
 
 
@@ -284,23 +316,76 @@ def numeric_stats(
     return stats.join(F.broadcast(_quartile_rows(df, columns, stats)), "column_name", "left")
 
 
-def top_values_long(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFrame:
-    """(column_name, value, n, rank): the *k* most frequent values, ties by the sha256 of the value."""
-    return with_texts(df, _ranked(value_counts(df, columns), k))
-
-
-def _ranked(counts: DataFrame, k: int) -> DataFrame:
-    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), "digest")
-    return counts.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= k)
+#: Counters that a task keeps of a column's values, and values a wanted one that are counted in the second pass.
+COUNTERS, SPARE = 4096, 4
+
+
+def _frequent(df: DataFrame, name: str) -> DataFrame:
+    """(key, low, missed) from one pass: *low* counts of every task's most frequent keys, which are too small by *missed*, given
+    in a row without a key, at most (Misra and Gries). A task keeps COUNTERS keys whatever the column holds."""
+    schema = pa.schema([("key", pa.string()), ("low", pa.int64()), ("missed", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, int] = {}
+        missed = 0
+        for batch in batches:
+            for pair in batch.column("key").drop_null().value_counts().to_pylist():
+                kept[pair["values"]] = kept.get(pair["values"], 0) + pair["counts"]
+            if len(kept) > COUNTERS:
+                cut = sorted(kept.values(), reverse=True)[COUNTERS]
+                kept = {key: n - cut for key, n in kept.items() if n > cut}
+                missed += cut
+        columns = [None, *kept], [None, *kept.values()], [missed, *[None] * len(kept)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    keys = df.select(_value_key(df, name).cast("string").alias("key"))
+    return keys.mapInArrow(run, "key string, low long, missed long").groupBy("key").agg(
+        F.sum("low").alias("low"), F.sum("missed").alias("missed"))
+
+
+def heavy_values(df: DataFrame, name: str, k: int = TOP_VALUES) -> DataFrame | None:
+    """(column_name, key, n, rank) of the *k* most frequent values in two passes without a shuffle of all values, or None if
+    those do not decide. The first pass finds candidates and how often any other value can occur at most, the second
+    counts the candidates. Their order is certain if the k-th of them occurs oftener than that."""
+    chosen = SPARE * k
+    best = _frequent(df, name).orderBy(F.col("key").isNull().desc(), F.desc("low"), "key").limit(chosen + 2).collect()
+    missed, found = best[0]["missed"] or 0, best[1:]
+    most_of_others = missed + (found[chosen]["low"] if len(found) > chosen else 0)
+    keys = [r["key"] for r in found[:chosen]]
+    counts = value_counts(df.filter(_value_key(df, name).cast("string").isin(keys)), name)
+    rows = counts.select(F.col("key").cast("string").alias("key"), "n", _digest(F.col("key").cast("string")).alias("d")).collect()
+    ranked = sorted(rows, key=lambda r: (-r["n"], bytes(r["d"])))[:k]
+    if most_of_others and (len(ranked) < k or ranked[-1]["n"] <= most_of_others):
+        return None
+    return df.sparkSession.createDataFrame(
+        [(name, r["key"], r["n"], i) for i, r in enumerate(ranked, 1)], "column_name string, key string, n long, rank int")
 
 
-def _top_values(df: DataFrame, counts: DataFrame, columns: list[str], k: int) -> DataFrame:
-    ranked = with_texts(df, _ranked(counts.filter(F.col("column_name").isin(*columns)), k))
-    listed = F.sort_array(F.collect_list(F.struct("rank", "value", F.col("n").alias("count"))))
-    trimmed = F.transform(
-        listed, lambda row: F.struct(row["value"].alias("value"), row["count"].alias("count"))
-    )
-    return ranked.groupBy("column_name").agg(trimmed.alias("top_values"))
+def top_values_long(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFrame:
+    """(column_name, value, n, rank): the *k* most frequent values, ties by the sha256 of the value. Only columns whose
+    candidates do not decide (``heavy_values``) are counted whole."""
+    found = {c: heavy_values(df, c, k) for c in columns}
+    parts = [part for part in found.values() if part is not None]
+    open_ = [c for c, part in found.items() if part is None]
+    if open_:
+        parts.append(_ranked(df, open_, k))
+    return with_texts(df, reduce(DataFrame.unionByName, parts))
+
+
+def _distinct_and_top(df: DataFrame, columns: list[str], listed: list[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """(column_name, unique_count) and (column_name, top_values of the *listed* columns), from one job: both read the same
+    counts, which are shuffled once and written nowhere. A row a column and k rows a listed column reach the driver."""
+    nothing = F.lit(None)
+    distinct = _distinct_counts(df, columns).select(
+        "column_name", nothing.cast("string").alias("key"), F.col("unique_count").alias("n"), nothing.cast("int").alias("rank"))
+    both = distinct.unionByName(_ranked(df, listed, k)) if listed else distinct
+    rows = both.collect()
+    spark = df.sparkSession
+    unique = spark.createDataFrame([(r["column_name"], r["n"]) for r in rows if r["rank"] is None], "column_name string, unique_count long")
+    top = with_texts(df, spark.createDataFrame([r for r in rows if r["rank"] is not None], both.schema))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "value", F.col("n").alias("count"))))
+    trimmed = F.transform(ordered, lambda row: F.struct(row["value"].alias("value"), row["count"].alias("count")))
+    return unique, top.groupBy("column_name").agg(trimmed.alias("top_values"))
 
 
 class EmptyTable(ValueError):
@@ -314,16 +399,20 @@ def profile(
     include_decimal: bool = False,
     profiled_at: Column | None = None,
     require_rows: bool = False,
+    approx: bool = False,
 ) -> DataFrame:
-    """The full profile, one row per column."""
+    """The full profile, one row per column. With *approx* distinct counts, quartiles and top values are estimates
+    from one scan without a shuffle of values; all else is exact."""
     if require_rows and df.isEmpty():
         raise EmptyTable(f"{table_name} has no rows to profile")
+    if approx:
+        from plumbline.operators.sketches import profile_of_sketches, sketch
+
+        return profile_of_sketches(sketch(df, include_decimal=include_decimal), table_name, k, profiled_at)
     columns = df.columns
     numeric = numeric_columns(df, include_decimal)
     other = [c for c in columns if c not in numeric]
-    counts = settle(value_counts(df))  # one count for distinct and for top values
-    distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-
+    distinct, top = _distinct_and_top(df, columns, other, k)
     scalars = settle(_scalars(df, numeric))
     result = _with_uniqueness(scalars.join(F.broadcast(distinct), "column_name", "left"))
     if numeric:
@@ -337,7 +426,6 @@ def profile(
             {c: F.lit(None).cast("double") for c in ("median", "p25", "p75")}
         )
     if other:
-        top = _top_values(df, counts, other, k)
         result = result.join(F.broadcast(top), "column_name", "left")
     else:
         result = result.withColumn(

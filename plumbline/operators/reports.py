@@ -76,7 +76,7 @@ def alerts_report(
     )
     return named.join(per_rule, "rule_id", "left").withColumn(
         "notifications", F.coalesce("notifications", F.lit(0).cast("long"))
-    )
+    ).orderBy(F.desc(time), F.desc(row_id))
 
 
 def last_delivery(deliveries: DataFrame) -> DataFrame:
@@ -175,18 +175,25 @@ def latest_summaries(summaries: DataFrame, keys: list[str] = BATCH_KEY) -> DataF
 def batches_report(
     batches: DataFrame, summaries: DataFrame, status: str | None = None, n: int | None = 50
 ) -> DataFrame:
-    """Batches by last activity with their latest summary nested (NULL without one)."""
+    """Batches by last activity with their latest summary nested: NULL without one, and for one that has neither a text nor
+    a parsing failure. Columns that *summaries* lack are NULL, lists empty."""
     if status is not None:
         batches = batches.filter(F.col("status") == status)
     if n is not None:
         batches = batches.orderBy(F.desc("last_seen"), "rule_id", "batch_no").limit(n)
-    newest = latest_summaries(summaries).select(
-        *BATCH_KEY,
-        F.struct(
-            F.col("id").alias("summary_id"), F.col("summary").alias("ai_summary"),
-            "token_usage", "parsing_failure",
-        ).alias("ai_enrichment"),
+    def given(name: str) -> Column:
+        return F.col(name) if name in summaries.columns else F.lit(None).cast("string")
+
+    def listed(name: str) -> Column:
+        return json_list(given(name), []).cast("array<string>").alias(name)
+
+    enrichment = F.struct(
+        F.col("id").alias("summary_id"), F.col("summary").alias("ai_summary"), listed("root_causes"), listed("suggested_fixes"),
+        given("effective_confidence").alias("confidence_score"), given("prompt_version").alias("prompt_version"),
+        given("provider_name").alias("provider_name"), given("model_name").alias("model_name"), "token_usage", "parsing_failure",
     )
+    newest = latest_summaries(summaries).select(
+        *BATCH_KEY, F.when((F.coalesce("summary", F.lit("")) != "") | F.col("parsing_failure"), enrichment).alias("ai_enrichment"))
     return batches.join(newest, BATCH_KEY, "left").orderBy(F.desc("last_seen"), "rule_id", "batch_no")
 
 

@@ -65,8 +65,8 @@ def score_rules(rules: DataFrame, results: DataFrame, feedback: DataFrame, as_of
 def improvement_evidence(
     rules: DataFrame, results: DataFrame, feedback: DataFrame, as_of: Column
 ) -> DataFrame:
-    """Per rule: executions and fails, and from its five newest feedback rows the rejects and
-    the texts of edits."""
+    """Per rule: its text, executions and fails, and from its five newest feedback rows the rejects and
+    the texts of edits. *rules* have a false_positive_rate, as ``score_rules`` gives it."""
     newest = Window.partitionBy("rule_id").orderBy(F.desc("created_at"), F.desc("id"))
     edited = F.col("feedback_type").isin("edit", "annotate") & (F.col("edited_summary") != "")
     line = F.concat(F.lit("- "), F.col("edited_summary"))
@@ -86,7 +86,7 @@ def improvement_evidence(
         rules.join(execution_stats(results, as_of), "rule_id", "left")
         .join(last_five, "rule_id", "left")
         .select(
-            "rule_id", "rule_name", "false_positive_rate",
+            "rule_id", "rule_name", "sql_text", "false_positive_rate",
             F.coalesce("executions", zero).alias("executions"),
             F.coalesce("fails", zero).alias("failures"),
             F.coalesce("rejections", zero).alias("rejections"),

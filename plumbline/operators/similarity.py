@@ -152,9 +152,9 @@ def similar(
 
 
 def with_resolution(matches: DataFrame, batches: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Add the matched batch's status and its newest human-edited text.
+    """Add the matched batch's status, time of creation and newest human-edited text.
 
-    *batches* has (match_id, status); *feedback* has (match_id, feedback_type, edited_summary,
+    *batches* has (match_id, status, created_at); *feedback* has (match_id, feedback_type, edited_summary,
     created_at, id). The newest row per batch is taken first, so a match never repeats.
     """
     edits = (
@@ -163,5 +163,6 @@ def with_resolution(matches: DataFrame, batches: DataFrame, feedback: DataFrame)
         .agg(F.max_by("edited_summary", F.struct("created_at", "id")).alias("human_validated_interpretation"))
     )
     return matches.join(
-        batches.select("match_id", F.col("status").alias("historical_resolution")), "match_id", "left"
+        batches.select("match_id", F.col("status").alias("historical_resolution"), F.col("created_at").alias("historical_created_at")),
+        "match_id", "left",
     ).join(edits, "match_id", "left")

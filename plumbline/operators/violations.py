@@ -1,8 +1,8 @@
 """From rule results to violation events, batches and alert context.
 
 Replaying a history must give the same answer every time, so "now" is always the time of the
-result at hand. Result tables are assumed to hold a hot rule: running totals split its rows, the
-walks of ``dedup`` and ``hold_batches`` its time, in chunks of many windows.
+result at hand. Result tables are assumed to hold a hot rule: running totals and the walks of ``dedup`` and
+``hold_batches`` split its rows, whatever its windows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordering import anchors, micros, running_total
+from plumbline.session import settle
 
 MINUTE_US = 60_000_000
 
@@ -22,12 +23,8 @@ DEFAULT_CHANNELS = ("slack", "email")
 SEVERITY_MINUTES = {"critical": 0, "high": 15, "medium": 60, "low": 360}
 OTHER_SEVERITY_MINUTES = 60
 
-# The trend sentence around its two numbers.
-TREND = (
-    "This rule has triggered ",
-    " time(s) in this batch with a total of ",
-    " cumulative violations.",
-)
+# Fixed value: the trend sentence around its two numbers.
+TREND = "This rule has triggered %s time(s) in this batch with a total of %s cumulative violations."
 
 
 def failures(results: DataFrame) -> DataFrame:
@@ -183,6 +180,38 @@ def attach_to_batches(
     return probes.join(found, probe_id)
 
 
+def number_rows(
+    events: DataFrame,
+    probes: dict[str, tuple[DataFrame, str, str]],
+    event_time: str = "executed_at",
+    row_id: str = "result_id",
+) -> dict[str, DataFrame]:
+    """``batch_no`` for the failures (as ``assign_batches``) and for any number of other tables (as ``attach_to_batches``)
+    from one running total: all rows of a rule stand in one order of time, failures first, and each takes the
+    number of batches opened so far. *probes* has for each name a table with a rule_id, its time column and its id column.
+    Returned under the same names, the failures as "events"; written once, since several results are read off.
+    """
+    def rows(kind: str, df: DataFrame, time: str, key: str, side: int, opens: Column) -> DataFrame:
+        return df.select(
+            F.lit(kind).alias("_kind"), F.col("rule_id").alias("_rule"), micros(F.col(time)).alias("_us"), F.lit(side).alias("_side"),
+            F.col(key).cast("long").alias("_id"), opens.cast("long").alias("_opens"), F.struct("*").alias(kind))
+
+    swept = rows("events", events, event_time, row_id, 0, F.col("is_new"))
+    for place, (kind, (df, time, key)) in enumerate(probes.items(), start=1):
+        swept = swept.unionByName(rows(kind, df, time, key, place, F.lit(0)), allowMissingColumns=True)
+    counted = settle(running_total(
+        swept, ["_rule"], [F.col("_us"), F.col("_side"), F.col("_id")], {"batch_no": "_opens"}), "numbered")
+    return {kind: counted.filter((F.col("_kind") == kind) & (F.col("batch_no") > 0)).select(f"{kind}.*", "batch_no")
+            for kind in ("events", *probes)}
+
+
+def in_some_batch(events: DataFrame, probes: DataFrame, probe_time: str, event_time: str = "executed_at") -> DataFrame:
+    """The *probes* that have a batch at all: a rule's first failure opens its first batch, so those at or after it. One
+    aggregate of the failures, for callers that do not ask which batch it is."""
+    first = events.groupBy("rule_id").agg(F.min(event_time).alias("_first"))
+    return probes.join(first, "rule_id").filter(F.col(probe_time) >= F.col("_first")).drop("_first")
+
+
 def batch_summary(
     df: DataFrame, time: str = "executed_at", value: str = "observed_value"
 ) -> DataFrame:
@@ -288,8 +317,8 @@ def alert_context(
     row_id: str = "result_id",
     value: str = "observed_value",
 ) -> DataFrame:
-    """(row id, recent_failure_count, recent_observed_total): the rule's failures from W minutes
-    before each failure up to it, both ends included.
+    """(row id, recent_failure_count, recent_observed_total, window_started_at, window_ended_at): the rule's failures from
+    W minutes before each failure up to it, both ends included.
 
     Each failure enters a running total twice: as itself, and as a question at the start of its
     window. The difference of the two totals is the window's content, so the cost does not grow
@@ -322,9 +351,22 @@ def alert_context(
     return totals.groupBy("rule_id", row_id).agg(
         (at_side(1, "cum_n") - at_side(0, "cum_n")).alias("recent_failure_count"),
         (at_side(1, "cum_v") - at_side(0, "cum_v")).alias("recent_observed_total"),
+        F.timestamp_micros(F.min("_us")).alias("window_started_at"),
+        F.timestamp_micros(F.max("_us")).alias("window_ended_at"),
     )
 
 
+def with_batch_totals(context: DataFrame, events: DataFrame, row_id: str = "result_id") -> DataFrame:
+    """Add batch_no, batch_occurrences, batch_violation_count, batch_first_seen and batch_last_seen of the batch that each
+    failure is in; *events* are the failures with their batch_no."""
+    totals = batch_summary(events).select(
+        "rule_id", "batch_no", F.col("total_occurrences").alias("batch_occurrences"),
+        F.col("total_violation_count").alias("batch_violation_count"), F.col("first_seen").alias("batch_first_seen"),
+        F.col("last_seen").alias("batch_last_seen"))
+    numbers = events.select("rule_id", row_id, "batch_no")
+    return context.join(numbers, ["rule_id", row_id]).join(totals, ["rule_id", "batch_no"])
+
+
 def latest_sample(events: DataFrame, time: str = "executed_at", row_id: str = "result_id") -> DataFrame:
     """The newest event's sample rows per rule."""
     newest = F.max_by("sample_rows", F.struct(F.col(time), F.col(row_id)))
@@ -356,8 +398,7 @@ def batch_context(
     shown = F.when(total == F.floor(total), total.cast("decimal(38,0)").cast("string")).otherwise(
         total.cast("double").cast("string")
     )
-    opening, middle, closing = (F.lit(part) for part in TREND)
-    trend = F.concat(opening, F.col("total_occurrences").cast("string"), middle, shown, closing)
+    trend = F.format_string(TREND, F.col("total_occurrences").cast("string"), shown)
     names = rules.select("rule_id", "rule_name")
     return (
         batches.join(names, "rule_id")

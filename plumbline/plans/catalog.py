@@ -161,6 +161,18 @@ class Lake:
             F.col("ts").alias("created_at"),
         )
 
+    def full_summaries(self) -> DataFrame:
+        """Summaries with all that a model's answer brings along."""
+        key = F.col("id")
+        return self.raw_summaries().withColumns({
+            "summary": F.when(key % 5 == 0, "").otherwise(F.col("summary")),
+            "root_causes": F.when(key % 3 == 0, '["late load","bad key"]').when(key % 3 == 1, "[]"),
+            "suggested_fixes": F.concat(F.lit('["rerun '), key.cast("string"), F.lit('"]')),
+            "effective_confidence": _choice(key % 3, ("high", "medium", "low")),
+            "prompt_version": F.concat(F.lit("v"), (key % 4).cast("string")),
+            "provider_name": F.when(key % 2 == 0, "local"), "model_name": F.lit("m"),
+        })
+
     def failures(self) -> DataFrame:
         """Failures with severity, policy and fingerprint, before dedup."""
         failed = V.failures(self.results())
@@ -180,8 +192,9 @@ class Lake:
         """All failures with is_new and batch_no."""
         return V.assign_batches(self.recorded() if recorded is None else recorded)
 
-    def attached(self, recorded: DataFrame, probes: DataFrame, time: str) -> DataFrame:
-        return V.attach_to_batches(recorded, probes, time, "id")
+    def numbered(self, recorded: DataFrame, **probes: tuple[DataFrame, str]) -> dict[str, DataFrame]:
+        """Failures ("events") and other tables, each with its time column, with their batch_no, from one sweep."""
+        return V.number_rows(recorded, {name: (df, time, "id") for name, (df, time) in probes.items()})
 
 
 def results_from(events: DataFrame) -> DataFrame:
@@ -274,6 +287,12 @@ CONTROL_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "summaries": (("raw_summaries", "batches"), """
         SELECT f.*, b.batch_no FROM raw_summaries f ASOF JOIN batches b
           ON f.rule_id = b.rule_id AND f.created_at >= b.first_seen"""),
+    "full_summaries": (("summaries",), f"""
+        SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN '' ELSE summary END AS summary),
+               CASE id % 3 WHEN 0 THEN 'late load|bad key' ELSE '' END AS root_causes, 'rerun ' || id AS suggested_fixes,
+               {_sql_case("id % 3", ("high", "medium", "low"))} AS effective_confidence, 'v' || (id % 4) AS prompt_version,
+               CASE WHEN id % 2 = 0 THEN 'local' END AS provider_name, 'm' AS model_name
+        FROM summaries"""),
     "sent_batches": (("deliveries", "batches"), """
         SELECT d.*, b.batch_no FROM deliveries d ASOF JOIN batches b
           ON d.rule_id = b.rule_id AND d.sent_at >= b.first_seen"""),

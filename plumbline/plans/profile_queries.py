@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from plumbline.operators import anomaly as A
 from plumbline.operators import drift as D
 from plumbline.operators import profile as P
+from plumbline.operators import sketches as SK
 from plumbline.operators import suggest as S
 from plumbline.operators.rule_table import list_rows
 from plumbline.plans.catalog import AS_OF, Lake, number, query
+from plumbline.session import settle
 
 # The driver's tables hold no NULLs; these views plant some.
 _LINES = "(SELECT *, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount END AS discount FROM lineitem)"
@@ -23,9 +25,9 @@ def lines(lake: Lake):
     )
 
 
-def orders(lake: Lake):
+def orders(lake: Lake, *more):
     return lake.table("orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus",
+        *more, "o_orderkey", "o_custkey", "o_orderstatus",
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("price"),
         F.when(F.col("o_custkey") % 50 != 7, F.col("o_orderpriority")).alias("priority"),
     )
@@ -134,6 +136,54 @@ def profile_orders(lake: Lake):
     )
 
 
+def _merged_sql(source: str) -> str:
+    """What sketches give exactly, and TRUE for the estimates that are within their stated errors."""
+    return union(
+        f"SELECT {i} AS position, '{c}' AS column_name, '{label}' AS dtype, 5 AS column_count, count(*) AS row_count, "
+        f"count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(DISTINCT {c}) = count(*) AS is_unique, "
+        + (f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, TRUE AS quartiles_within, "
+           if label != "string" else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::BOOLEAN AS quartiles_within, ")
+        + "TRUE AS distinct_within, "
+        + (f"(SELECT string_agg(k, ',' ORDER BY k DESC) FROM (SELECT count(*) AS k FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY k DESC LIMIT 3))"
+           if label == "string" else "''")
+        + f" AS top_counts FROM {source}"
+        for i, (c, label) in enumerate(zip(_ORDER_COLUMNS, ("integer", "integer", "string", "float", "string"))))
+
+
+def _judged(df, estimated):
+    """The estimates of a profile against the table: exact distinct counts, and the ranks of the quartiles."""
+    exact = P.uniqueness(df).select("column_name", F.col("unique_count").alias("d"))
+    numeric = P.numeric_columns(df)
+    cuts = F.broadcast(estimated.select("column_name", "p25", "median", "p75"))  # a row a column
+    value = F.col("value")
+    ranks = P.numeric_long(df, numeric).join(cuts, "column_name").groupBy("column_name").agg(*[
+        x.alias(f"{name}_{side}") for name in ("p25", "median", "p75")
+        for side, x in (("low", F.avg((value < F.col(name)).cast("double"))), ("high", F.avg((value <= F.col(name)).cast("double"))))])
+    near = F.lit(True)
+    for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):
+        near = near & (F.col(f"{name}_low") <= q + 0.01) & (F.col(f"{name}_high") >= q - 0.01)
+    counts = F.array_join(F.transform(F.slice("top_values", 1, 3), lambda v: v["count"].cast("string")), ",")
+    joined = estimated.join(F.broadcast(exact), "column_name").join(F.broadcast(ranks), "column_name", "left")
+    return _rounded(joined).select(
+        "position", "column_name", "dtype", "column_count", "row_count", "null_count", "is_unique", "min", "max", "mean", "std",
+        near.alias("quartiles_within"), (F.abs(F.col("unique_count") - F.col("d")) <= 0.04 * F.col("d") + 1).alias("distinct_within"),
+        F.coalesce(counts, F.lit("")).alias("top_counts"))
+
+
+@query("profile_approx", _merged_sql(_ORDERS))
+def profile_approx(lake: Lake):
+    df = orders(lake)
+    return _judged(df, settle(P.profile(df, "orders", approx=True), "approx"))
+
+
+@query("profile_merged", _merged_sql(_ORDERS))
+def profile_merged(lake: Lake):
+    """Sketches of every year of orders, stored, then read back and merged."""
+    df = orders(lake, F.year("o_orderdate").alias("order_year"))
+    stored = settle(SK.sketch(df, ["order_year"]), "sketches")
+    return _judged(df.drop("order_year"), settle(SK.profile_of_sketches(stored, "orders"), "merged"))
+
+
 @query("latest_profile", union(
     f"SELECT '{c}' AS column_name, count(*) AS row_count, round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 4)::DOUBLE AS null_pct FROM {_ORDERS}"
     for c in _ORDER_COLUMNS))
@@ -187,6 +237,38 @@ def suggestion_sql(lake: Lake):
     return suggestions.filter(F.col("rule_kind") != "range").select("column_name", "suggested_sql")
 
 
+@query("suggested_ranges", union(
+    f"SELECT '{c}' AS column_name, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, 'SELECT COUNT(*) AS violation_count FROM orders WHERE {c} < # OR {c} > #' AS shape FROM orders"
+    for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+def suggested_ranges(lake: Lake):
+    """The limits in the texts of range rules, as numbers, and the texts around them."""
+    df = lake.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    found = S.suggest_rules(P.profile(df, "orders", k=S.MAX_CATEGORIES)).filter("rule_kind = 'range'")
+    limit = lambda mark: F.regexp_extract("suggested_sql", rf"{mark} (-?[0-9.]+(?:E-?[0-9]+)?)", 1).cast("double")
+    return found.select("column_name", limit("<").alias("low"), limit(">").alias("high"),
+                        F.regexp_replace("suggested_sql", r"([<>]) -?[0-9.]+(?:E-?[0-9]+)?", "$1 #").alias("shape"))
+
+
+@query("profile_notes", """
+SELECT 'part' AS table_name, 'p_size' AS column_name, 0.0::DOUBLE AS null_pct, count(DISTINCT p_size) AS unique_count, NULL AS note FROM part
+UNION ALL SELECT 'part', 'nothing', 100.0, 0, 'all_null'
+UNION ALL SELECT 'part', 'no_text', 100.0, 0, 'all_null'""")
+def profile_notes(lake: Lake):
+    df = lake.table("part").select("p_size", F.lit(None).cast("double").alias("nothing"), F.lit(None).cast("string").alias("no_text"))
+    return P.profile(df, "part").select("table_name", "column_name", "null_pct", "unique_count", "note")
+
+
+@query("drift_one_value", """
+SELECT 0 AS position, 'c_acctbal' AS column_name, 'mean_shift' AS stat_test, NULL::DOUBLE AS drift_score, FALSE AS is_drifted, 1::BIGINT AS ref_n, count(*) - 1 AS cur_n FROM customer""")
+def drift_one_value(lake: Lake):
+    """A side with a single number has no deviation: no score, and no drift."""
+    customer = lake.table("customer").select("c_custkey", "c_acctbal")
+    first = customer.agg(F.min("c_custkey").alias("k"))
+    one = customer.join(F.broadcast(first), F.col("c_custkey") == F.col("k"))
+    return D.drift(one, customer.join(F.broadcast(first), F.col("c_custkey") != F.col("k")), ["c_acctbal"]).select(
+        "position", "column_name", "stat_test", "drift_score", "is_drifted", "ref_n", "cur_n")
+
+
 @query("verified_suggestions", _suggest_sql(
     "SELECT rule_kind, count(*) AS rules, count(*) AS passed FROM s GROUP BY rule_kind"))
 def verified_suggestions(lake: Lake):
@@ -340,6 +422,16 @@ def drift_orders(lake: Lake):
     )
 
 
+@query("drift_sketched", union(
+    _drift_sql(i, c, _REF, _CUR) for i, c in enumerate(("o_orderkey", "o_custkey", "o_totalprice"))))
+def drift_sketched(lake: Lake):
+    """Drift between two spans of months from stored sketches alone."""
+    months = lake.table("orders").select(F.trunc("o_orderdate", "month").alias("month"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    stored = settle(SK.sketch(months, ["month"]), "sketches")
+    return SK.drift_of_sketches(stored.filter("month < '1998-01-01'"), stored.filter("month >= '1998-01-01'")).select(
+        "position", "column_name", "stat_test", "drift_score", "is_drifted")
+
+
 @query("drift_coerced", union([
     _drift_sql(0, "k", "(SELECT TRY_CAST(props->>'$.k' AS DOUBLE) AS k FROM events WHERE event_type = 'view')",
                "(SELECT TRY_CAST(props->>'$.k' AS DOUBLE) + 500 AS k FROM events WHERE event_type = 'error' AND event_id % 3 <> 0)"),

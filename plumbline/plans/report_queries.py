@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import reports as R
 from plumbline.operators import rule_table as RT
 from plumbline.operators import scoring as S
+from plumbline.operators.drift import drift
+from plumbline.operators.violations import failures, in_some_batch
 from plumbline.plans.catalog import AS_OF, Lake, as_of, number, query, us, with_control
+from plumbline.plans.profile_queries import _CUR, _REF, _drift_pair, _drift_sql, union
 from plumbline.plans.violation_queries import status_batches_of
+from plumbline.session import scratch_path
+from plumbline.sources import sinks
 
 _CRON_STATUS = """CASE WHEN NOT is_enabled THEN 'disabled' WHEN schedule_cron IS NULL OR trim(schedule_cron) = '' THEN 'missing_schedule'
   WHEN schedule_cron IN ('every day', '61 * * * *') THEN 'invalid_cron' ELSE 'schedulable' END"""
@@ -56,8 +62,8 @@ def jobs_report(lake: Lake):
 @query("alerts_report", with_control("vevents rules deliveries", """
 SELECT v.result_id, v.rule_id, r.rule_name, r.table_name, v.severity, CAST(v.observed_value AS DOUBLE) AS violation_count,
        count(d.id) AS notifications, arg_max(d.id, (d.sent_at, d.id)) AS latest_notification,
-       arg_max(d.status, (d.sent_at, d.id)) AS latest_status
-FROM (SELECT * FROM vevents WHERE is_new ORDER BY executed_at DESC, result_id DESC LIMIT 50) v
+       arg_max(d.status, (d.sent_at, d.id)) AS latest_status, v.place
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY executed_at DESC, result_id DESC) AS BIGINT) AS place FROM vevents WHERE is_new QUALIFY place <= 50) v
 LEFT JOIN rules r USING (rule_id) LEFT JOIN deliveries d ON d.rule_id = v.rule_id
 GROUP BY ALL"""))
 def alerts_report(lake: Lake):
@@ -66,8 +72,10 @@ def alerts_report(lake: Lake):
     recorded = dedup(lake.failures()).filter("is_new")
     alerts = R.alerts_report(recorded, lake.rules(), lake.deliveries())
     latest = F.col("latest_notification")
-    return alerts.select(
-        "result_id", "rule_id", "rule_name", "table_name", "severity",
+    rows = alerts.collect()  # 50 rows: their places are those of the list as it comes
+    listed = lake.spark.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], alerts.schema.add("place", "long"))
+    return listed.select(
+        "place", "result_id", "rule_id", "rule_name", "table_name", "severity",
         number("observed_value", "violation_count"), "notifications",
         latest["id"].alias("latest_notification"), latest["status"].alias("latest_status"),
     )
@@ -138,24 +146,28 @@ FROM (SELECT count(*) AS total_events FROM vevents WHERE is_new) e,
           count(*) FILTER (WHERE status = 'dispatched') AS dispatched_batches, count(*) FILTER (WHERE status = 'failed') AS failed_batches FROM status_batches) b,
   (SELECT count(*) AS made, count(*) FILTER (WHERE parsing_failure) AS broken, avg(token_usage) AS tokens FROM summaries) s"""))
 def system_metrics(lake: Lake):
-    recorded = lake.recorded()
-    summaries = lake.attached(recorded, lake.raw_summaries(), "created_at")
-    return R.system_metrics(status_batches_of(lake, recorded), summaries, recorded.filter("is_new"))
+    numbered = lake.numbered(
+        lake.recorded(), deliveries=(lake.deliveries(), "sent_at"), summaries=(lake.raw_summaries(), "created_at"))
+    return R.system_metrics(status_batches_of(lake, numbered), numbered["summaries"], numbered["events"].filter("is_new"))
 
 
-@query("batches_report", with_control("status_batches summaries", """
-SELECT b.rule_id, CAST(b.batch_no AS BIGINT) AS batch_no, epoch_us(b.last_seen) AS last_seen, s.id AS summary_id,
-       s.summary AS ai_summary, s.parsing_failure
+@query("batches_report", with_control("status_batches full_summaries", """
+SELECT b.rule_id, CAST(b.batch_no AS BIGINT) AS batch_no, b.severity, epoch_us(b.last_seen) AS last_seen, b.total_occurrences, b.status,
+       s.id AS summary_id, s.summary AS ai_summary, s.root_causes, s.suggested_fixes, s.effective_confidence AS confidence_score,
+       s.prompt_version, s.provider_name, s.model_name, s.token_usage, s.parsing_failure
 FROM (SELECT * FROM status_batches WHERE status = 'dispatched' ORDER BY last_seen DESC, rule_id, batch_no LIMIT 50) b
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rule_id, batch_no ORDER BY created_at DESC, id DESC) AS n FROM summaries) s
-  ON s.rule_id = b.rule_id AND s.batch_no = b.batch_no AND s.n = 1"""))
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rule_id, batch_no ORDER BY created_at DESC, id DESC) AS n FROM full_summaries) s
+  ON s.rule_id = b.rule_id AND s.batch_no = b.batch_no AND s.n = 1 AND (s.summary <> '' OR s.parsing_failure)"""))
 def batches_report(lake: Lake):
-    recorded = lake.recorded()
-    summaries = lake.attached(recorded, lake.raw_summaries(), "created_at")
-    report = R.batches_report(status_batches_of(lake, recorded), summaries, status="dispatched")
+    numbered = lake.numbered(
+        lake.recorded(), deliveries=(lake.deliveries(), "sent_at"), summaries=(lake.full_summaries(), "created_at"))
+    report = R.batches_report(status_batches_of(lake, numbered), numbered["summaries"], status="dispatched")
+    told = F.col("ai_enrichment")
     return report.select(
-        "rule_id", "batch_no", us("last_seen"), "ai_enrichment.summary_id", "ai_enrichment.ai_summary",
-        "ai_enrichment.parsing_failure",
+        "rule_id", "batch_no", "severity", us("last_seen"), "total_occurrences", "status",
+        *[told[c].alias(c) for c in ("summary_id", "ai_summary", "confidence_score", "prompt_version", "provider_name", "model_name",
+                                     "token_usage", "parsing_failure")],
+        *[F.array_join(told[c], "|").alias(c) for c in ("root_causes", "suggested_fixes")],
     )
 
 
@@ -169,9 +181,8 @@ def linked_sql(body: str, extra: str = "") -> str:
 
 
 def linked_feedback(lake: Lake, events):
-    summaries = lake.attached(events, lake.raw_summaries(), "created_at")
-    feedback = lake.attached(events, lake.raw_feedback(), "created_at")
-    return R.attach_feedback(feedback, summaries), summaries
+    numbered = lake.numbered(events, summaries=(lake.raw_summaries(), "created_at"), feedback=(lake.raw_feedback(), "created_at"))
+    return R.attach_feedback(numbered["feedback"], numbered["summaries"]), numbered["summaries"]
 
 
 @query("attached_feedback", linked_sql("""
@@ -204,36 +215,43 @@ FROM (SELECT *, greatest(0.0, least(100.0, 100.0::DOUBLE - CASE WHEN fails / gre
                    WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY rule_id) f USING (rule_id)
         WHERE r.is_enabled))"""))
 def score_rules(lake: Lake):
-    feedback = lake.attached(lake.recorded(), lake.raw_feedback(), "created_at")
-    return S.score_rules(lake.rules(), lake.results(), feedback, as_of())
+    return _scores(lake)
+
+
+def _feedback_in_batches(lake: Lake):
+    return in_some_batch(failures(lake.results()), lake.raw_feedback(), "created_at")
+
+
+def _scores(lake: Lake):
+    return S.score_rules(lake.rules(), lake.results(), _feedback_in_batches(lake), as_of())
 
 
 def _evidence_sql(columns: str) -> str:
     return with_control("rules test_results feedback", f"""
 SELECT rule_id, {columns} FROM (
-SELECT r.rule_id, coalesce(x.executions, 0) AS executions, coalesce(x.fails, 0) AS failures, coalesce(f.rejects, 0) AS rejections,
+SELECT r.rule_id, r.sql_text, CASE WHEN r.is_enabled THEN round(least(100.0, coalesce(f.all_rejects, 0) / greatest(1, coalesce(x.fails, 0))::DOUBLE * 100), 2) END AS false_positive_rate,
+       coalesce(x.executions, 0) AS executions, coalesce(x.fails, 0) AS failures, coalesce(f.rejects, 0) AS rejections,
        coalesce(f.texts, 'None recorded.') AS human_corrections
 FROM rules r
 LEFT JOIN (SELECT rule_id, count(*) AS executions, count(*) FILTER (WHERE status = 'FAIL') AS fails FROM test_results
            WHERE executed_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY rule_id) x USING (rule_id)
-LEFT JOIN (SELECT rule_id, count(*) FILTER (WHERE feedback_type = 'reject') AS rejects,
-                  string_agg('- ' || edited_summary, chr(10) ORDER BY n) FILTER (WHERE feedback_type IN ('edit', 'annotate') AND edited_summary <> '') AS texts
+LEFT JOIN (SELECT rule_id, count(*) FILTER (WHERE feedback_type = 'reject' AND n <= 5) AS rejects, count(*) FILTER (WHERE feedback_type = 'reject') AS all_rejects,
+                  string_agg('- ' || edited_summary, chr(10) ORDER BY n) FILTER (WHERE n <= 5 AND feedback_type IN ('edit', 'annotate') AND edited_summary <> '') AS texts
            FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY created_at DESC, id DESC) AS n FROM feedback
-                 WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) WHERE n <= 5 GROUP BY rule_id) f USING (rule_id))""")
+                 WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) GROUP BY rule_id) f USING (rule_id))""")
 
 
 def _evidence(lake: Lake):
-    feedback = lake.attached(lake.recorded(), lake.raw_feedback(), "created_at")
-    rules = lake.rules().withColumn("false_positive_rate", F.lit(0.0))
-    return S.improvement_evidence(rules, lake.results(), feedback, as_of())
+    rules = lake.rules().join(_scores(lake).select("rule_id", "false_positive_rate"), "rule_id", "left")
+    return S.improvement_evidence(rules, lake.results(), _feedback_in_batches(lake), as_of())
 
 
-@query("improvement_evidence", _evidence_sql("executions, failures, rejections, human_corrections"))
+@query("improvement_evidence", _evidence_sql("md5(sql_text) AS sql_md5, false_positive_rate, executions, failures, rejections, human_corrections"))
 def improvement_evidence(lake: Lake):
-    return _evidence(lake).drop("rule_name", "false_positive_rate")
+    return _evidence(lake).withColumn("sql_md5", F.md5("sql_text")).drop("rule_name", "sql_text")
 
 
-@query("needs_review", _evidence_sql("CASE WHEN failures < 5 AND rejections = 0 THEN 'none' ELSE 'review' END AS review"))
+@query("needs_review", _evidence_sql("CASE WHEN failures < 5 AND rejections = 0 AND coalesce(false_positive_rate, 0) < 5 THEN 'none' ELSE 'review' END AS review"))
 def needs_review(lake: Lake):
     return S.needs_review(_evidence(lake)).select("rule_id", "review")
 
@@ -309,3 +327,41 @@ def export_lines(lake: Lake):
     from plumbline.sources.sinks import export_lines as lines
 
     return lines(generations(lake)).select("id", "value")
+
+
+@query("exported_file", with_control("rules", r"""
+SELECT row_number() OVER (ORDER BY rule_id) AS line, CAST(to_json({'id': 'gen_' || rule_id, 'prompt': 'check ' || rule_name || ' write to [EMAIL_REDACTED] or [SSN_REDACTED]',
+  'generated_sql': sql_text, 'reviewed_sql': sql_text, 'edited_after_generation': false,
+  'metadata': {'confidence': severity, 'model_name': 'm', 'prompt_version': 'v1', 'parsing_failure': false}}) AS VARCHAR) AS value
+FROM rules WHERE rule_id % 6 = 0"""))
+def exported_file(lake: Lake):
+    """The lines as they stand in the written files, taken in order of name."""
+    path = scratch_path(lake.spark, "export")
+    sinks.export_jsonl(generations(lake), path)
+    lines = lake.spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    return lines.select(F.row_number().over(Window.orderBy("file", "at")).cast("long").alias("line"), "value")
+
+
+@query("violations_csv", with_control("fails", """
+SELECT CAST(result_id AS VARCHAR) AS result_id, status, CAST(observed_value AS DOUBLE) AS observed_value, '[{"k":"' || (props->>'$.k') || '"}]' AS sample_rows, NULL::VARCHAR AS c_name FROM fails
+UNION ALL SELECT NULL, NULL, NULL, NULL, c_name FROM customer WHERE c_acctbal < 0"""))
+def violations_csv(lake: Lake):
+    """Rows of two shapes in one CSV, read back under its header."""
+    path = scratch_path(lake.spark, "csv")
+    failed = lake.failures().select("result_id", "status", "observed_value", "sample_rows")
+    sinks.write_violations_csv([failed, lake.table("customer").filter("c_acctbal < 0").select("c_name")], path)
+    return lake.spark.read.option("header", True).csv(path).withColumn("observed_value", F.col("observed_value").cast("double"))
+
+
+@query("stored_metrics", f"""
+SELECT column_name, position, drift_score, '{{"column_name":"' || column_name || '"}}' AS about, n FROM (
+  SELECT column_name, position, drift_score, 2::BIGINT AS n FROM ({union(_drift_sql(i, c, _REF, _CUR) for i, c in enumerate(("o_totalprice", "o_custkey")))}))""")
+def stored_metrics(lake: Lake):
+    """Two appends of the same drift rows, read back."""
+    path = scratch_path(lake.spark, "metrics")
+    rows = drift(*_drift_pair(lake), ["o_totalprice", "o_custkey"]).select(
+        "column_name", "position", "drift_score", F.struct("column_name").alias("about"))
+    for _ in range(2):
+        sinks.append_metrics(rows, path, ["about"])
+    return lake.spark.read.parquet(path).groupBy("column_name", "position", "drift_score", "about").agg(F.count(F.lit(1)).alias("n"))

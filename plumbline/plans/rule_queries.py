@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.grading import EXACT
 from plumbline.functions.values import json_safe
 from plumbline.operators import rule_table as RT
 from plumbline.operators.profile import numeric_columns
-from plumbline.operators.rules import RuleSpec, graded, run_rules, run_sql_rules, violation_preview
+from plumbline.operators import violations as V
+from plumbline.operators.rules import (
+    RuleSpec, check_contract, dry_run, graded, run_rules, run_sql_rules, violation_preview, violation_samples, with_samples,
+)
 from plumbline.plans.catalog import AS_OF, Lake, as_of, number, query, us, with_control
-from plumbline.session import scratch_path
+from plumbline.session import scratch_path, settle
 from plumbline.sources import sinks, tables
 
 
+def union_sql(branches) -> str:
+    return "\nUNION ALL\n".join(branches)
+
+
 def graded_columns(df):
     return df.select(
         "rule_id", "rule_name", "observed_key", number("observed_value"), "status",
@@ -138,6 +148,12 @@ _ALL_TABLES = (
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders",
     "pages", "part", "region", "supplier",
 )
+#: For each table the number column whose limits are probed.
+_PROBED = {
+    "benchmark": "item_id", "conversations": "conv_id", "customer": "c_acctbal", "documents": "doc_id", "embeddings": "vec_id",
+    "events": "value", "labels": "doc_id", "lineitem": "l_quantity", "nation": "n_nationkey", "orders": "o_totalprice",
+    "pages": "page_id", "part": "p_size", "region": "r_regionkey", "supplier": "s_acctbal",
+}
 
 
 @query("table_sizes", "\nUNION ALL\n".join(
@@ -147,6 +163,27 @@ def table_sizes(lake: Lake):
     return tables.table_sizes({t: lake.table(t) for t in _ALL_TABLES})
 
 
+@query("table_probe", union_sql(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM (DESCRIBE {t})) AS columns, count(*) AS row_count, "
+    f"'{c}' AS column_name, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM {t}"
+    for t, c in _PROBED.items()))
+def table_probe(lake: Lake):
+    """Row counts and limits of all tables from the footers of their files."""
+    return reduce(DataFrame.unionByName, [
+        tables.footer_probe(lake.spark, f"{lake.sf_dir}/{t}.parquet", t, [c]) for t, c in _PROBED.items()])
+
+
+@query("schema_catalog", union_sql(
+    f"SELECT '{t}' AS table_name, column_name AS name, row_number() OVER () AS position, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
+    f"WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'timestamp' END AS type FROM (DESCRIBE {t})"
+    for t in _ALL_TABLES))
+def schema_catalog(lake: Lake):
+    listed = tables.schema_catalog(lake.spark, {t: lake.table(t) for t in _ALL_TABLES})
+    return listed.select("table_name", F.posexplode("columns").alias("i", "c")).select(
+        "table_name", F.col("c")["name"].alias("name"), (F.col("i") + 1).cast("long").alias("position"),
+        F.regexp_replace(F.col("c")["type"], "_ntz", "").alias("type"))
+
+
 @query("numeric_scan", """
 SELECT * FROM (
   SELECT 'c_custkey' AS column_name, count(c_custkey) AS n FROM customer UNION ALL
@@ -214,7 +251,9 @@ UNION ALL SELECT 8, 'write attempt', NULL, NULL, 'ERROR', 'INVALID_SQL'
 UNION ALL SELECT 9, 'hidden write', NULL, NULL, 'ERROR', 'DISALLOWED_SQL'
 UNION ALL SELECT 10, 'null result', 'violation_count', NULL, 'ERROR', 'SQL_RESULT_TYPE_ERROR'
 UNION ALL SELECT 11, 'divides by zero', NULL, NULL, 'ERROR', 'SQL_EXECUTION_ERROR'
-UNION ALL SELECT 12, 'bad cast', NULL, NULL, 'ERROR', 'SQL_EXECUTION_ERROR'""")
+UNION ALL SELECT 12, 'bad cast', NULL, NULL, 'ERROR', 'SQL_EXECUTION_ERROR'
+UNION ALL SELECT 13, 'takes too long', NULL, NULL, 'ERROR', 'SQL_TIMEOUT'
+UNION ALL SELECT 14, 'fails in foreign code', NULL, NULL, 'ERROR', 'UNKNOWN_ERROR'""")
 def sql_rules(lake: Lake):
     for name in ("orders", "lineitem"):
         tables.as_view(lake.table(name), name)
@@ -236,10 +275,122 @@ def sql_rules(lake: Lake):
          "SELECT max(o_totalprice) AS violation_count FROM orders WHERE o_orderkey < 0"),
         (RuleSpec(11, "divides by zero"), "SELECT max(1 / (o_orderkey - o_orderkey)) AS violation_count FROM orders"),
         (RuleSpec(12, "bad cast"), "SELECT max(CAST(o_orderstatus AS INT)) AS violation_count FROM orders"),
+        (RuleSpec(13, "takes too long", params={"timeout_s": 1.0}),
+         "SELECT sum(o_orderkey + id % 7) AS violation_count FROM range(4000000000000000) LEFT JOIN orders ON o_orderkey = id"),
+        (RuleSpec(14, "fails in foreign code"),
+         "SELECT CAST(java_method('java.lang.Integer', 'parseInt', m) AS INT) AS violation_count FROM (SELECT max(o_orderstatus) AS m FROM orders)"),
     ]
     return graded_columns(run_sql_rules(lake.spark, texts))
 
 
+_ISOLATED = [
+    (1, "price present", "violation_count", "count(*) FILTER (WHERE o_totalprice IS NULL)", "= 0"),
+    (2, "urgent and dear", "violation_count", "count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000)", "= 0"),
+    (5, "unique key", "violation_count", "(count(*) - count(DISTINCT o_orderkey))", "= 0"),
+    (6, "enough rows", "observed_value", "count(*)", ">= 100"),
+] + [(10 + k, f"customer {k}", "violation_count", f"count(*) FILTER (WHERE o_custkey % 43 = {k})", ">= 1") for k in range(43)]
+
+
+@query("rules_isolated", rules_sql(_ISOLATED, "orders") + """
+UNION ALL SELECT 3, 'bad cast', NULL, NULL, 'ERROR', 'SQL_EXECUTION_ERROR'
+UNION ALL SELECT 4, 'no such column', NULL, NULL, 'ERROR', 'SQL_EXECUTION_ERROR'""")
+def rules_isolated(lake: Lake):
+    """Two rules that cannot be evaluated among 49 leave the other 47 their results."""
+    return graded_columns(run_rules(lake.table("orders"), [
+        RuleSpec(1, "price present", "null_check", "o_totalprice"),
+        RuleSpec(2, "urgent and dear", predicate="o_orderpriority = '1-URGENT' AND o_totalprice > 300000"),
+        RuleSpec(3, "bad cast", predicate="CAST(o_orderstatus AS INT) > 0"),
+        RuleSpec(4, "no such column", "null_check", "o_nothing"),
+        RuleSpec(5, "unique key", "uniqueness_check", "o_orderkey"),
+        RuleSpec(6, "enough rows", "row_count_min", expected_type="min_threshold", expected_value=100),
+        *(RuleSpec(10 + k, f"customer {k}", predicate=f"o_custkey % 43 = {k}", expected_type="min_threshold", expected_value=1)
+          for k in range(43)),
+    ]))
+
+
+_SAMPLED = """
+WITH hits AS (
+  SELECT CAST(1 AS BIGINT) AS rule_id, * FROM orders WHERE o_totalprice < 0 OR o_totalprice > 300000
+  UNION ALL SELECT 2, * FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+  UNION ALL SELECT 4, * FROM orders WHERE o_custkey % 11 = 3 AND o_orderpriority = '5-LOW'),
+sampled AS (
+  SELECT rule_id, CAST(row_number() OVER (PARTITION BY rule_id ORDER BY o_orderkey) AS INTEGER) AS place, o_orderkey, o_custkey, o_orderpriority
+  FROM hits QUALIFY place <= 50)
+"""
+
+
+def _sampled_rules(lake: Lake):
+    specs = [
+        RuleSpec(1, "price range", "range_check", "o_totalprice", {"min_value": 0, "max_value": 300000}),
+        RuleSpec(2, "known status", "category_check", "o_orderstatus", {"values": ["F", "O"]}),
+        RuleSpec(3, "key present", "null_check", "o_orderkey"),
+        RuleSpec(4, "low priority", predicate="o_custkey % 11 = 3 AND o_orderpriority = '5-LOW'"),
+        RuleSpec(5, "few rows", "row_count_max", expected_type="max_threshold", expected_value=1),
+    ]
+    orders = lake.table("orders")
+    results = settle(run_rules(orders, specs, executed_at=as_of()))
+    failed = {r[0] for r in results.filter("status = 'FAIL'").select("rule_id").collect()}  # a number a rule
+    shown = ["o_orderkey", "o_custkey", "o_orderpriority"]
+    samples = violation_samples(orders, [s for s in specs if s.rule_id in failed], ["o_orderkey"])
+    return results, samples.select("rule_id", "place", F.struct(*[F.col("row")[c].alias(c) for c in shown]).alias("row"))
+
+
+@query("failed_rule_samples", _SAMPLED + "SELECT * FROM sampled")
+def failed_rule_samples(lake: Lake):
+    return _sampled_rules(lake)[1].select("rule_id", "place", "row.*")
+
+
+@query("sampled_failures", _SAMPLED + """
+, texts AS (
+  SELECT rule_id, '[' || string_agg('{"o_custkey":"' || o_custkey || '","o_orderkey":"' || o_orderkey || '","o_orderpriority":"' || o_orderpriority || '"}', ',' ORDER BY place) || ']' AS shown,
+         count(*) AS n FROM sampled GROUP BY rule_id
+  UNION ALL SELECT 5, '', 0)
+SELECT rule_id, 'FAIL' AS status, n AS samples, sha256(CAST(rule_id AS VARCHAR) || ':FAIL:' || shown) AS fingerprint, TRUE AS is_new,
+       epoch_us(TIMESTAMP '2024-01-31 00:00:00') AS executed_at FROM texts""")
+def sampled_failures(lake: Lake):
+    """Results of a run as the violations they become: sample rows give the fingerprint, and dedup takes it."""
+    results, samples = _sampled_rules(lake)
+    failed = V.with_policy(V.failures(with_samples(results, samples)), lake.policies().limit(0)).withColumn("result_id", F.col("rule_id"))
+    ready = failed.withColumn("fingerprint", V.fingerprint(F.col("rule_id"), F.col("status"), F.col("sample_rows")))
+    return V.dedup(ready).select(
+        "rule_id", "status", F.size("sample_rows").cast("long").alias("samples"), "fingerprint", "is_new", us("executed_at"))
+
+
+@query("dry_run_rows", """
+SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 LIMIT 3""")
+def dry_run_rows(lake: Lake):
+    tables.as_view(lake.table("orders"), "orders")
+    rows, _ = dry_run(lake.spark, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1;", 3)
+    return rows
+
+
+_CONTRACTS = (
+    ("SELECT COUNT(*) AS violation_count FROM orders WHERE o_orderkey > 5", "kept"),
+    ("SELECT COUNT(*) AS n FROM orders", "name"),
+    ("SELECT COUNT(*) AS violation_count, 1 AS more FROM orders", "columns"),
+    ("SELECT COUNT(*) AS violation_count FROM no_such_table", "analysis"),
+    ("DELETE FROM orders", "INVALID_SQL"),
+    ("SELECT pg_sleep(1) AS violation_count", "DISALLOWED_SQL_FUNCTION"),
+)
+
+
+@query("rule_contracts", " UNION ALL ".join(
+    f"SELECT '{sql}' AS sql_text, '{outcome}' AS outcome, (SELECT count(*) FROM orders) AS orders" for sql, outcome in _CONTRACTS))
+def rule_contracts(lake: Lake):
+    """What a rule's text breaks, found without running it."""
+    tables.as_view(lake.table("orders"), "orders")
+
+    def outcome(sql: str) -> str:
+        found = check_contract(lake.spark, sql)
+        if found is None:
+            return "kept"
+        kinds = {"SQL_EXECUTION_ERROR": "analysis", "Expected exactly one result column": "columns", "The column must be named": "name"}
+        return next((kind for start, kind in kinds.items() if found.startswith(start)), found)
+
+    told = lake.spark.createDataFrame([(sql, outcome(sql)) for sql, _ in _CONTRACTS], "sql_text string, outcome string")
+    return told.join(F.broadcast(lake.table("orders").agg(F.count(F.lit(1)).alias("orders"))))
+
+
 @query("graded_results", with_control("test_results rules", """
 SELECT r.result_id, r.rule_id, u.expected_result_type AS expected_type,
   CASE WHEN r.observed_value IS NULL THEN 'ERROR'

@@ -9,15 +9,19 @@ from plumbline.operators import violations as V
 from plumbline.operators.rules import RuleSpec
 from plumbline.plans.catalog import Lake, number, query, results_from, us, with_control
 from plumbline.session import scratch_path
+from plumbline.sources.tables import stream_files
 from plumbline.streaming import rules as SR
 from plumbline.streaming import violations as SV
 
 
+#: What a micro-batch of the streams below reads at most.
+MICRO_BATCH_BYTES = 1 << 30
+
+
 def event_stream(lake: Lake) -> DataFrame:
     events = lake.table("events")
-    return lake.spark.readStream.schema(events.schema).parquet(f"{lake.sf_dir}/event[s].parquet").withColumn(
-        "ts", F.col("ts").cast("timestamp")
-    )
+    stream = stream_files(lake.spark, f"{lake.sf_dir}/event[s].parquet", events.schema, MICRO_BATCH_BYTES)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(lake: Lake, stream: DataFrame, label: str) -> DataFrame:

@@ -206,6 +206,30 @@ def similar_incidents(lake: Lake):
     return found.withColumn("matched_keywords", F.array_join("matched_keywords", " "))
 
 
+@query("similar_resolved", "WITH found AS (" + similar_sql(
+    "SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn AS made, role, 'Severity ' || role || '. ' || text AS body FROM conversations",
+    "incident_id") + """),
+source AS (SELECT conv_id * 1000 + turn AS match_id, role, text FROM conversations),
+edits AS (SELECT match_id, CASE WHEN role = 'user' THEN md5(text) ELSE 'first' END AS text FROM source)
+SELECT f.incident_id, f.match_id, f.rank, f.similarity_score, s.role AS historical_resolution, f.match_id * 10 AS historical_created_at,
+       e.text AS human_validated_interpretation
+FROM found f LEFT JOIN source s USING (match_id) LEFT JOIN edits e USING (match_id)""")
+def similar_resolved(lake: Lake):
+    """Matches with what became of them; of several edits of a batch the newest counts."""
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    turns = lake.table("conversations").select(key.alias("incident_id"), key.alias("created_at"), "role", "text")
+    incidents = turns.withColumn("incident_text", SIM.incident_text(F.col("role"), F.col("text")))
+    batches = turns.select(F.col("incident_id").alias("match_id"), F.col("role").alias("status"), (F.col("created_at") * 10).alias("created_at"))
+    row = lambda kind, text, at: F.struct(
+        F.lit(kind).alias("feedback_type"), text.alias("edited_summary"), F.lit(at).alias("created_at"), F.lit(at).alias("id"))
+    later = F.when(F.col("role") == "user", F.lit("edit")).otherwise("reject")
+    rows = F.array(row("edit", F.lit("first"), 1), row("edit", F.md5("text"), 2).withField("feedback_type", later))
+    feedback = turns.select(F.col("incident_id").alias("match_id"), F.inline(rows))
+    found = SIM.similar(incidents, incidents)
+    return SIM.with_resolution(found, batches, feedback).select(
+        "incident_id", "match_id", "rank", "similarity_score", "historical_resolution", "historical_created_at", "human_validated_interpretation")
+
+
 @query("embedded_json", """
 SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, event_type AS kind FROM events""")
 def embedded_json(lake: Lake):

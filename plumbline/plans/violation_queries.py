@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import violations as V
+from plumbline.operators.rule_table import list_rows
 from plumbline.plans.catalog import Lake, number, query, us, with_control
 from plumbline.session import settle
 
@@ -126,16 +127,19 @@ def missing_channels(lake: Lake):
 @query("batch_status", with_control("status_batches", """
 SELECT rule_id, CAST(batch_no AS BIGINT) AS batch_no, status FROM status_batches"""))
 def batch_status(lake: Lake):
-    return status_batches_of(lake, lake.recorded()).select("rule_id", "batch_no", "status")
+    return status_batches_of(lake, _with_deliveries(lake)).select("rule_id", "batch_no", "status")
 
 
 def known_rules_of(lake: Lake):
     return lake.rules().filter(F.col("table_name") != "sales.furniture")
 
 
-def status_batches_of(lake: Lake, events):
-    sent = lake.attached(events, lake.deliveries(), "sent_at")
-    return V.batch_status(V.batch_summary(lake.events(events)), sent, known_rules_of(lake))
+def _with_deliveries(lake: Lake):
+    return lake.numbered(lake.recorded(), deliveries=(lake.deliveries(), "sent_at"))
+
+
+def status_batches_of(lake: Lake, numbered):
+    return V.batch_status(V.batch_summary(numbered["events"]), numbered["deliveries"], known_rules_of(lake))
 
 
 @query("event_status", with_control("vevents status_batches", """
@@ -145,11 +149,23 @@ FROM vevents v LEFT JOIN (SELECT rule_id, max(batch_no) AS reached FROM status_b
                           WHERE status = 'dispatched' GROUP BY rule_id) m USING (rule_id)
 WHERE v.is_new"""))
 def event_status(lake: Lake):
-    recorded = lake.recorded()
-    numbered = lake.events(recorded).filter("is_new")
-    return V.event_status(numbered, status_batches_of(lake, recorded)).select(
-        "result_id", "rule_id", "event_status"
-    )
+    return event_status_of(lake).select("result_id", "rule_id", "event_status")
+
+
+def event_status_of(lake: Lake):
+    numbered = _with_deliveries(lake)
+    return V.event_status(numbered["events"].filter("is_new"), status_batches_of(lake, numbered))
+
+
+@query("listed_events", with_control("vevents status_batches", """
+SELECT v.result_id, v.rule_id, epoch_us(v.executed_at) AS executed_at
+FROM vevents v LEFT JOIN (SELECT rule_id, max(batch_no) AS reached FROM status_batches
+                          WHERE status = 'dispatched' GROUP BY rule_id) m USING (rule_id)
+WHERE v.is_new AND NOT coalesce(v.batch_no <= m.reached, FALSE) ORDER BY v.executed_at DESC, v.result_id DESC LIMIT 100"""))
+def listed_events(lake: Lake):
+    """The newest events that are still open."""
+    return list_rows(event_status_of(lake), [F.desc("executed_at"), F.desc("result_id")], 100, event_status="open").select(
+        "result_id", "rule_id", us("executed_at"))
 
 
 @query("delivery_outcome", with_control("sent_batches", """
@@ -158,23 +174,36 @@ SELECT rule_id, CAST(batch_no AS BIGINT) AS batch_no, count(*) FILTER (WHERE sta
        count(*) FILTER (WHERE status = 'skipped') AS skipped
 FROM sent_batches GROUP BY rule_id, batch_no"""))
 def delivery_outcome(lake: Lake):
-    return V.delivery_outcome(
-        lake.attached(lake.recorded(), lake.deliveries(), "sent_at")
-    )
+    return V.delivery_outcome(_with_deliveries(lake)["deliveries"])
 
 
 @query("alert_context", with_control("fails", """
 SELECT f.result_id, f.rule_id, count(*) AS recent_failure_count,
-       CAST(sum(coalesce(g.observed_value, 0)) AS DOUBLE) AS recent_observed_total
+       CAST(sum(coalesce(g.observed_value, 0)) AS DOUBLE) AS recent_observed_total,
+       epoch_us(any_value(f.executed_at) - any_value(f.w) * INTERVAL 1 MINUTE) AS window_started_at, epoch_us(any_value(f.executed_at)) AS window_ended_at
 FROM fails f JOIN fails g ON g.rule_id = f.rule_id AND g.executed_at <= f.executed_at
   AND g.executed_at >= f.executed_at - f.w * INTERVAL 1 MINUTE
 GROUP BY f.result_id, f.rule_id"""))
 def alert_context(lake: Lake):
     return V.alert_context(lake.failures()).select(
-        "result_id", "rule_id", "recent_failure_count", number("recent_observed_total")
+        "result_id", "rule_id", "recent_failure_count", number("recent_observed_total"), us("window_started_at"), us("window_ended_at")
     )
 
 
+@query("alert_context_batches", with_control("vevents batches", """
+SELECT f.result_id, f.rule_id, n.recent_failure_count, CAST(f.batch_no AS BIGINT) AS batch_no, b.total_occurrences AS batch_occurrences,
+       CAST(b.total_violation_count AS DOUBLE) AS batch_violation_count, epoch_us(b.first_seen) AS batch_first_seen, epoch_us(b.last_seen) AS batch_last_seen
+FROM vevents f JOIN batches b USING (rule_id, batch_no)
+JOIN (SELECT f.result_id, count(*) AS recent_failure_count FROM fails f JOIN fails g ON g.rule_id = f.rule_id AND g.executed_at <= f.executed_at
+        AND g.executed_at >= f.executed_at - f.w * INTERVAL 1 MINUTE GROUP BY f.result_id) n USING (result_id)"""))
+def alert_context_batches(lake: Lake):
+    """The context of every failure with the totals of the batch it is in."""
+    events = settle(lake.events())
+    return V.with_batch_totals(V.alert_context(events), events).select(
+        "result_id", "rule_id", "recent_failure_count", "batch_no", "batch_occurrences", number("batch_violation_count"),
+        us("batch_first_seen"), us("batch_last_seen"))
+
+
 @query("latest_sample", with_control("vevents", """
 SELECT rule_id, arg_max(props->>'$.k', (executed_at, result_id)) AS sample_k FROM vevents WHERE is_new GROUP BY rule_id"""))
 def latest_sample(lake: Lake):

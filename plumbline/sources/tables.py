@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, name: str) -> DataFrame:
@@ -59,6 +60,24 @@ def probe_table(spark: SparkSession, name: str) -> dict:
     return {"exists": True, "columns": columns, "row_count": df.count()}
 
 
+def footer_probe(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
+    """(table_name, columns, row_count, column_name, low, high) of a parquet table, a row for each of the number *columns*.
+
+    The aggregate is pushed down to the files' footers, so no column is read. This needs Spark's second parquet reader, which a
+    session of its own is set to; one row comes back from it.
+    """
+    side = spark.newSession()
+    side.conf.set("spark.sql.sources.useV1SourceList", "")
+    side.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    table = side.read.parquet(path)
+    limits = [x for i, c in enumerate(columns) for x in (F.min(c).alias(f"low{i}"), F.max(c).alias(f"high{i}"))]
+    row = table.agg(F.count(F.lit(1)).alias("n"), *limits).first()
+    number = lambda x: None if x is None else float(x)
+    return spark.createDataFrame(
+        [(name, len(table.columns), row["n"], c, number(row[f"low{i}"]), number(row[f"high{i}"])) for i, c in enumerate(columns)],
+        "table_name string, columns long, row_count long, column_name string, low double, high double")
+
+
 def schema_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, columns array<struct<name,type,nullable>>), in column order."""
     rows = [
@@ -98,6 +117,12 @@ def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, max_bytes: int | None = None) -> DataFrame:
+    """A folder of parquet files as a stream; a micro-batch takes about *max_bytes* at most, and one file at least."""
+    reader = spark.readStream.schema(schema)
+    return (reader if max_bytes is None else reader.option("maxBytesPerTrigger", max_bytes)).parquet(path)
+
+
 def as_view(df: DataFrame, name: str) -> DataFrame:
     """Make a table visible to SQL rules under *name*."""
     df.createOrReplaceTempView(name)

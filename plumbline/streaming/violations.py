@@ -1,13 +1,19 @@
 """Stateful violation streams: dedup, held batches, sliding alert context.
 
-State per key is a few numbers. Rows of a key inside one micro-batch arrive in no stated order
-and are sorted by (time, id) first; the size of a micro-batch bounds that sort.
+Rows go through two levels. In the first, without state, what a task of a micro-batch holds of one key becomes one row of
+arrays in order of time, so a hot key reaches its state as one short row per task. In the second, arrays are merged
+and walked from anchor to anchor. State is a few numbers per key and ends with the event time: a window whose end the
+watermark has passed decides nothing any more. How much a micro-batch holds is limited at the source
+(``sources.tables.stream_files``).
+
+Rows that come later than the watermark are left out: the state that they would be compared with may be gone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,29 +23,58 @@ from plumbline.operators.ordering import micros
 from plumbline.operators.violations import MINUTE_US, failures, severity_minutes
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(frames), ignore_index=True)
-    return rows.sort_values(["us", "row_id"], kind="stable")
+def packed(rows: DataFrame, keys: list[str], each: list[str], values: list[str]) -> DataFrame:
+    """One row per key and Arrow batch: *keys*, the columns *each* that are the same for all rows of a key, and the
+    columns *values* as arrays in order of ``us`` and ``row_id``. ``last_at`` is the newest time, for the watermark."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            ordered = frame.sort_values([*keys, "us", "row_id"], kind="stable")
+            out = [(*(key if isinstance(key, tuple) else (key,)), *(part[c].iloc[0] for c in each),
+                    *(part[c].to_list() for c in values), pd.Timestamp(part["us"].iloc[-1], unit="us"))
+                   for key, part in ordered.groupby(keys, sort=False, dropna=False)]
+            yield pd.DataFrame(out, columns=[*keys, *each, *values, "last_at"])
+
+    fields = [f"{c} {kinds[c]}" for c in [*keys, *each]] + [f"{c} array<{kinds[c]}>" for c in values] + ["last_at timestamp"]
+    return rows.mapInPandas(run, ", ".join(fields))
+
+
+def _merged(frames: Iterator[pd.DataFrame], values: list[str], since: int) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
+    """The last pack, and the arrays of all packs in order of time without what is older than *since*."""
+    packs = pd.concat(list(frames), ignore_index=True)  # a row per task
+    arrays = {c: np.concatenate([np.asarray(x) for x in packs[c]]) for c in values}
+    kept = np.flatnonzero(arrays["us"] >= since)
+    order = kept[np.lexsort((arrays["row_id"][kept], arrays["us"][kept]))]
+    return packs.iloc[-1], {c: x[order] for c, x in arrays.items()}
+
+
+def _since(state: GroupState) -> int:
+    """Microseconds before which rows are late."""
+    return state.getCurrentWatermarkMs() * 1000
 
 
 def _dedup_rows(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    until = state.get[0] if state.exists else None
-    rows = _ordered(frames)
-    new = []
-    for time, window in zip(rows["us"].tolist(), rows["window_us"].tolist()):
-        if window <= 0:
-            new.append(True)
-            continue
-        is_new = until is None or time > until
-        if is_new:
-            until = time + window
-        new.append(is_new)
-    if until is not None:
-        state.update((until,))
-    yield pd.DataFrame({
-        "row_id": rows["row_id"], "rule_id": rows["rule_id"], "fingerprint": rows["fingerprint"],
-        "us": rows["us"], "is_new": new,
-    })
+    if state.hasTimedOut:
+        state.remove()
+        return
+    pack, rows = _merged(frames, ["us", "row_id"], _since(state))
+    us, window = rows["us"], int(pack["window_us"])
+    new = np.full(len(us), window <= 0)
+    if window > 0:
+        until = state.get[0] if state.exists else None
+        at = 0 if until is None else int(np.searchsorted(us, until, side="right"))
+        while at < len(us):
+            new[at] = True
+            until = int(us[at]) + window
+            at = int(np.searchsorted(us, until, side="right"))
+        ends_ms = None if until is None else until // 1000 + 1
+        if ends_ms is not None and ends_ms > state.getCurrentWatermarkMs():
+            state.update((until,))
+            state.setTimeoutTimestamp(ends_ms)
+        elif state.exists:
+            state.remove()
+    yield pd.DataFrame({"row_id": rows["row_id"], "rule_id": key[0], "fingerprint": key[1], "us": us, "is_new": new})
 
 
 def stream_dedup(
@@ -47,23 +82,25 @@ def stream_dedup(
     time: str = "executed_at",
     row_id: str = "result_id",
     window_minutes: str = "deduplication_window_minutes",
+    delay: str = "10 minutes",
 ) -> DataFrame:
     """Anchored dedup as a stream: (row_id, rule_id, fingerprint, us, is_new).
 
-    State is the end of the current window. A late row from before it counts as a duplicate and
-    does not move it.
+    State is the end of the current window, and is dropped once the watermark has passed it. Rows later than the
+    watermark (*delay* behind the newest row) are left out; others from before the end of the window are duplicates.
     """
     rows = failures(stream).select(
         F.col(row_id).cast("long").alias("row_id"), "rule_id", "fingerprint",
         micros(F.col(time)).alias("us"),
         (F.col(window_minutes).cast("long") * MINUTE_US).alias("window_us"),
     )
-    return rows.groupBy("rule_id", "fingerprint").applyInPandasWithState(
+    packs = packed(rows, ["rule_id", "fingerprint"], ["window_us"], ["us", "row_id"]).withWatermark("last_at", delay)
+    return packs.groupBy("rule_id", "fingerprint").applyInPandasWithState(
         _dedup_rows,
         "row_id long, rule_id long, fingerprint string, us long, is_new boolean",
         "until long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -72,33 +109,35 @@ _BATCH = ["rule_id", "severity", "first_us", "last_us", "occurrences", "violatio
 
 def _held_rows(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
-        severity, window, first, last, count, total = state.get
+        severity, _, first, last, count, total = state.get
         state.remove()
         yield pd.DataFrame([(key[0], severity, first, last, count, total)], columns=_BATCH)
         return
     held = list(state.get) if state.exists else None
-    closed = []
-    rows = _ordered(frames)
-    for time, severity, window, value in zip(
-        rows["us"].tolist(), rows["severity"], rows["window_us"].tolist(), rows["value"].tolist()
-    ):
-        amount = 0.0 if value is None or value != value else value
-        if held is not None and time < held[2] + held[1]:
-            held[3] = max(held[3], time)
-            held[4] += 1
-            held[5] += amount
-            continue
-        if held is not None:
-            closed.append((key[0], held[0], held[2], held[3], held[4], held[5]))
-        held = [severity, window, time, time, 1, amount]
-    due_ms = (held[2] + held[1]) // 1000 + 1
-    if due_ms <= state.getCurrentWatermarkMs():
-        closed.append((key[0], held[0], held[2], held[3], held[4], held[5]))
-        if state.exists:
-            state.remove()
-    else:
-        state.update(tuple(held))
-        state.setTimeoutTimestamp(due_ms)
+    pack, rows = _merged(frames, ["us", "row_id", "value"], _since(state))
+    us, amounts, closed = rows["us"], np.nan_to_num(rows["value"].astype(float)), []
+    at = 0
+    while at < len(us):
+        if held is None or us[at] >= held[2] + held[1]:
+            if held is not None:
+                closed.append((key[0], held[0], *held[2:]))
+            held = [pack["severity"], int(pack["window_us"]), int(us[at]), int(us[at]), 0, 0.0]
+            end = max(at + 1, int(np.searchsorted(us, held[2] + held[1], side="left")))
+        else:
+            end = int(np.searchsorted(us, held[2] + held[1], side="left"))
+        held[3] = max(held[3], int(us[end - 1]))
+        held[4] += end - at
+        held[5] += float(amounts[at:end].sum())
+        at = end
+    if held is not None:
+        due_ms = (held[2] + held[1]) // 1000 + 1
+        if due_ms <= state.getCurrentWatermarkMs():
+            closed.append((key[0], held[0], *held[2:]))
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(held))
+            state.setTimeoutTimestamp(due_ms)
     yield pd.DataFrame(closed, columns=_BATCH)
 
 
@@ -110,19 +149,16 @@ def stream_batches(
     delay: str = "10 minutes",
 ) -> DataFrame:
     """Held batches as a stream, emitted once when the severity's window has passed: by a later
-    failure of the rule or by the watermark. Columns as in ``_BATCH``, times in microseconds."""
-    rows = (
-        failures(stream)
-        .withWatermark(time, delay)
-        .select(
-            F.col(row_id).cast("long").alias("row_id"), "rule_id", "severity",
-            F.col(time).alias("event_time"),
-            micros(F.col(time)).alias("us"),
-            (severity_minutes(F.col("severity")).cast("long") * MINUTE_US).alias("window_us"),
-            F.col(value).cast("double").alias("value"),
-        )
+    failure of the rule or by the watermark. Columns as in ``_BATCH``, times in microseconds. Rows later
+    than the watermark are left out."""
+    rows = failures(stream).select(
+        F.col(row_id).cast("long").alias("row_id"), "rule_id", "severity",
+        micros(F.col(time)).alias("us"),
+        (severity_minutes(F.col("severity")).cast("long") * MINUTE_US).alias("window_us"),
+        F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"),
     )
-    return rows.groupBy("rule_id").applyInPandasWithState(
+    packs = packed(rows, ["rule_id"], ["severity", "window_us"], ["us", "row_id", "value"]).withWatermark("last_at", delay)
+    return packs.groupBy("rule_id").applyInPandasWithState(
         _held_rows,
         "rule_id long, severity string, first_us long, last_us long, occurrences long, "
         "violation_total double",

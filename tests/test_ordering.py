@@ -6,7 +6,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import Rank, anchors, deal_in_order, order_statistics, running_total
+from plumbline.operators import ordering
+from plumbline.operators.ordering import Rank, anchors, deal_in_order, last_successors, order_statistics, running_total
+from plumbline.session import settle
+
+
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def sequential_anchors(rows, inclusive):
@@ -25,16 +34,17 @@ def sequential_anchors(rows, inclusive):
 
 @pytest.mark.parametrize("inclusive", [False, True])
 @pytest.mark.parametrize(
-    "size, span, window, per_chunk",
-    [(2000, 20_000, 100, 2), (2000, 3_000, 40, 1), (1500, 100_000, 7, 256), (500, 400, 0, 8)],
+    "size, span, window, limit",
+    [(2000, 20_000, 100, 90), (2000, 3_000, 40, 10_000), (1500, 100_000, 7, 300), (500, 400, 0, 8), (900, 5_000, 1, 100),
+     (900, 5_000, 4_000, 60), (900, 5_000, 9_000, 60)],
 )
-def test_anchors_match_the_sequential_walk(spark, size, span, window, per_chunk, inclusive):
+def test_anchors_match_the_sequential_walk(spark, size, span, window, limit, inclusive):
     rnd = random.Random(size + span)
     # half of all rows share one key
     rows = [(i, rnd.choice("aaabcd"), rnd.randrange(span), window) for i in range(size)]
     df = spark.createDataFrame(rows, "id long, k string, t long, w long")
     found = anchors(
-        df, F.col("k"), F.col("t"), F.col("id"), F.col("w"), inclusive, windows_per_chunk=per_chunk
+        df, F.col("k"), F.col("t"), F.col("id"), F.col("w"), inclusive, limit=limit
     )
     assert {r[0] for r in found.collect()} == sequential_anchors(rows, inclusive)
 
@@ -43,7 +53,7 @@ def test_anchors_when_walks_never_meet(spark):
     # one row per tick: walks with different starts stay apart over many chunks
     rows = [(i, "k", i, 10) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, k string, t long, w long")
-    found = anchors(df, F.col("k"), F.col("t"), F.col("id"), F.col("w"), windows_per_chunk=3)
+    found = anchors(df, F.col("k"), F.col("t"), F.col("id"), F.col("w"), limit=200)
     assert {r[0] for r in found.collect()} == set(range(0, 3000, 11))
 
 
@@ -53,12 +63,32 @@ def test_anchors_with_windows_longer_than_arrow_batches(spark):
         rnd = random.Random(3)
         rows = [(i, "hot", rnd.randrange(50_000), 700) for i in range(4000)]
         df = spark.createDataFrame(rows, "id long, k string, t long, w long")
-        found = anchors(df, F.col("k"), F.col("t"), F.col("id"), F.col("w"), windows_per_chunk=4)
+        found = anchors(df, F.col("k"), F.col("t"), F.col("id"), F.col("w"), limit=500)
         assert {r[0] for r in found.collect()} == sequential_anchors(rows, False)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_no_task_reads_a_hot_key_whose_window_is_longer_than_its_history(many_ranges, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 40}", rnd.randrange(10 ** 6), 10 ** 7 if i % 3 == 0 else 50) for i in range(3000)]
+    df = many_ranges.createDataFrame(rows, "id long, k string, t long, w long")
+    settled = {}
+    monkeypatch.setattr(ordering, "settle", lambda frame, label="step": settled.setdefault(f"{label}-{len(settled)}", settle(frame, label)))
+    found = anchors(df, F.col("k"), F.col("t"), F.col("id"), F.col("w"), limit=100)
+    assert {r[0] for r in found.collect()} == sequential_anchors(rows, False)
+    ranges = next(frame for name, frame in settled.items() if name.startswith("ranges") and "_until" in frame.columns)
+    sizes = [r["count"] for r in ranges.groupBy("_part").count().collect()]
+    assert sum(sizes) >= 990 and len(sizes) > 5 and max(sizes) <= 250
+
+
+def test_last_successors():
+    times = np.array([0, 1, 5, 6, 11, 12, 30])
+    assert last_successors(times, 5).tolist() == [6, 6, 6, 6, 6, 6, 6]
+    assert last_successors(times, 100).tolist() == list(range(7))
+    assert last_successors(np.arange(10), 3).tolist() == [8, 9, 6, 7, 8, 9, 6, 7, 8, 9]
+
+
 def test_running_total_over_chunks(spark):
     rnd = random.Random(5)
     rows = [(i, rnd.choice("aab"), rnd.randrange(1000), rnd.randrange(5)) for i in range(800)]
@@ -71,13 +101,6 @@ def test_running_total_over_chunks(spark):
     assert {r["id"]: r["total"] for r in got.collect()} == expected
 
 
-@pytest.fixture
-def many_ranges(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield spark
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
 @pytest.mark.parametrize("peers", [False, True])
 def test_running_total_with_half_of_the_rows_at_one_time(many_ranges, peers):
     rnd = random.Random(6)

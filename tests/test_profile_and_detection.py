@@ -1,3 +1,6 @@
+import collections
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -5,6 +8,7 @@ from plumbline.operators import anomaly as A
 from plumbline.operators import drift as D
 from plumbline.operators import profile as P
 from plumbline.operators import suggest as S
+from plumbline.operators.sketches import drift_of_sketches, profile_of_sketches, sketch
 from tests.test_rules import ROWS
 
 
@@ -169,3 +173,55 @@ def test_drift(spark):
     assert flat["drift_score"] == 2.0
     verdict = D.dataset_drift(D.drift(same, far, ["id", "x"])).first()
     assert verdict["share_drifted"] == 0.5 and not verdict["dataset_drift"]
+
+
+def test_heavy_values_decide_without_a_full_count(spark, monkeypatch):
+    monkeypatch.setattr(P, "COUNTERS", 20)
+    rng = np.random.default_rng(4)
+    values = [f"often{i}" for i in range(5) for _ in range(400 - 10 * i)] + [f"rare{x}" for x in rng.integers(0, 10 ** 6, 3000)]
+    values += ["long " * 20] * 500 + [None] * 50
+    rng.shuffle(values)
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v string, few int").repartition(4)
+    exact = sorted(collections.Counter(v for v in values if v is not None).items(), key=lambda x: (-x[1], hashlib.sha256(x[0].encode()).digest()))
+    found = P.heavy_values(df, "v", 3)
+    assert found is not None and "Exchange hashpartitioning(key" not in found._jdf.queryExecution().toString()
+    for k in (3, 12):  # twelve are not decided: the rare values tie
+        got = sorted(((r["rank"], r["value"], r["n"]) for r in P.top_values_long(df, ["v"], k).collect()))
+        assert got == [(i, v, n) for i, (v, n) in enumerate(exact[:k], 1)]
+    assert P.heavy_values(df, "v", 12) is None
+    assert sorted((r["value"], r["n"]) for r in P.top_values_long(df, ["few"], 10).collect()) == [
+        (str(j), sum(i % 3 == j for i in range(len(values)))) for j in range(3)]
+    assert P.top_values_long(df.filter("v IS NULL"), ["v"], 3).collect() == []
+
+
+def test_sketches_merge_to_the_profile_of_the_whole(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), float(x), None if i % 10 == 0 else f"c{int(i) % 7}", None, i // 1000) for i, x in enumerate(rng.normal(1e6, 3, 5000))]
+    df = spark.createDataFrame(rows, "k long, x double, c string, nothing double, day long")
+    exact = {r["column_name"]: r for r in P.profile(df.drop("day"), "t").collect()}
+    for approx in (profile_of_sketches(sketch(df, ["day"]), "t"), P.profile(df.drop("day"), "t", approx=True)):
+        assert approx.columns == P.profile(df.drop("day"), "t").columns
+        for r in approx.collect():
+            e = exact[r["column_name"]]
+            assert all(r[c] == e[c] for c in ("position", "dtype", "row_count", "column_count", "null_count", "null_pct", "min", "max", "note", "is_unique"))
+            assert abs(r["unique_count"] - e["unique_count"]) <= 0.04 * e["unique_count"]
+            if e["mean"] is not None:
+                assert r["mean"] == pytest.approx(e["mean"], rel=1e-12) and r["std"] == pytest.approx(e["std"], rel=1e-9)
+                ordered = sorted(x[0 if r["column_name"] == "k" else 1] for x in rows)
+                for q, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")):
+                    assert abs(np.searchsorted(ordered, r[name]) / len(ordered) - q) < 0.012
+            if r["column_name"] == "c":
+                assert {(v["value"], v["count"]) for v in r["top_values"]} == {(v["value"], v["count"]) for v in e["top_values"]}
+    none = profile_of_sketches(sketch(df.limit(0)), "t").collect()
+    assert [r["row_count"] for r in none] == [0] * 5 and all(r["is_unique"] and r["median"] is None for r in none)
+    numbers = profile_of_sketches(sketch(df.select("k", "x")), "t").collect()
+    assert [r["top_values"] for r in numbers] == [None, None]
+
+
+def test_drift_of_sketches(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(float(x + 3 * (i >= 600)), i // 200) for i, x in enumerate(rng.normal(0, 1, 1000))], "x double, day long")
+    stored = sketch(df, ["day"])
+    got = drift_of_sketches(stored.filter("day < 3"), stored.filter("day >= 3")).first()
+    expected = D.drift(df.filter("day < 3"), df.filter("day >= 3"), ["x"]).first()
+    assert got["drift_score"] == pytest.approx(expected["drift_score"], abs=1e-6) and got["is_drifted"]

@@ -1,3 +1,4 @@
+import time
 from decimal import Decimal
 
 import pytest
@@ -7,7 +8,8 @@ from plumbline.functions import predicates as P
 from plumbline.functions.grading import exact_number, grade
 from plumbline.operators import rule_table as RT
 from plumbline.operators.rules import (
-    RuleError, RuleSpec, check_contract, dry_run, run_rules, run_sql_rule, violation_preview,
+    RuleError, RuleSpec, RuleTimeout, check_contract, dry_run, error_code, run_rules, run_sql_rule, run_sql_rules, violation_preview,
+    violation_samples, with_samples, within,
 )
 
 ROWS = [
@@ -116,6 +118,54 @@ def test_sql_rules(spark, staff):
     assert spark.catalog.tableExists("staff")
 
 
+def test_rules_that_fail_leave_the_others_their_results(staff):
+    specs = [RuleSpec(i, f"r{i}", predicate=f"employee_id > {i}") for i in range(48)]
+    specs[17] = RuleSpec(17, "r17", predicate="CAST(name AS INT) > 0")
+    specs[30] = RuleSpec(30, "r30", "null_check", "no_such_column")
+    rows = {r["rule_id"]: r for r in run_rules(staff, specs).collect()}
+    assert len(rows) == 48 and {i for i, r in rows.items() if r["status"] == "ERROR"} == {17, 30}
+    assert all(rows[i]["error_type"] == "SQL_EXECUTION_ERROR" and rows[i]["error_message"] for i in (17, 30))
+    assert all(rows[i]["observed_value"] == max(0, 5 - i) and rows[i]["error_type"] is None for i in rows if i not in (17, 30))
+    assert all(r["executed_at"] is not None for r in rows.values())
+
+
+def test_a_rule_that_takes_too_long_is_cancelled_and_the_others_go_on(spark, staff):
+    staff.createOrReplaceTempView("staff")
+    endless = "SELECT sum(id % 7) AS violation_count FROM range(4000000000000000)"
+    rules = [(RuleSpec(i, "r"), "SELECT COUNT(*) AS violation_count FROM staff WHERE salary < 0") for i in range(6)]
+    rules.insert(1, (RuleSpec(99, "endless"), endless))
+    started = time.monotonic()
+    rows = {r["rule_id"]: r for r in run_sql_rules(spark, rules, timeout=4, at_once=2).collect()}
+    assert time.monotonic() - started < 60
+    assert (rows[99]["status"], rows[99]["error_type"]) == ("ERROR", "SQL_TIMEOUT") and "4 seconds" in rows[99]["error_message"]
+    assert all(rows[i]["status"] == "PASS" for i in range(6))
+    started = time.monotonic()
+    assert spark.range(10).count() == 10 and time.monotonic() - started < 20  # nothing is left running
+    with pytest.raises(RuleTimeout):
+        within(spark, 1, lambda: spark.range(4 * 10 ** 15).selectExpr("sum(id % 7)").collect())
+    slow = run_rules(spark.range(4 * 10 ** 15), [RuleSpec(1, "slow", predicate="id % 7 = 8")], timeout=1).first()
+    assert slow["error_type"] == "SQL_TIMEOUT"
+
+
+def test_errors_of_unknown_kind(spark, staff):
+    staff.createOrReplaceTempView("staff")
+    assert run_one(spark, "SELECT CAST(java_method('java.lang.Integer', 'parseInt', n) AS INT) AS violation_count FROM (SELECT max(name) AS n FROM staff)")[1] == "UNKNOWN_ERROR"
+    assert error_code(ValueError("x")) == "UNKNOWN_ERROR"
+
+
+def test_samples_of_failed_rules(spark, staff):
+    specs = [RuleSpec(1, "a", "min_value", "salary", {"min_value": 70000}), RuleSpec(2, "b", "null_check", "salary"),
+             RuleSpec(3, "c", "uniqueness_check", "department"), RuleSpec(4, "d", "null_check", "employee_id")]
+    samples = violation_samples(staff, specs, ["employee_id"], 1)
+    assert [(r["rule_id"], r["place"], r["row"]["name"]) for r in samples.orderBy("rule_id").collect()] == [(1, 1, "Alice"), (2, 1, "Carol")]
+    plan = samples._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan  # rows beyond the limit stay in their task
+    full = with_samples(run_rules(staff, specs), violation_samples(staff, specs, ["employee_id"]))
+    rows = {r["rule_id"]: r["sample_rows"] for r in full.collect()}
+    assert [x["name"] for x in rows[1]] == ["Alice", None] and rows[1][0]["salary"] == "50000.0" and rows[3] == rows[4] == []
+    assert violation_samples(staff, specs[2:3], ["employee_id"]).collect() == []
+
+
 def test_contract_and_dry_run(spark, staff):
     staff.createOrReplaceTempView("staff")
     assert check_contract(spark, "SELECT COUNT(*) AS violation_count FROM staff") is None

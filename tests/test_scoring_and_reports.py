@@ -41,12 +41,14 @@ def test_scores(spark):
 
 
 def test_evidence_and_gate(spark):
-    rules = spark.createDataFrame([(1, "a", 0.0), (2, "b", 9.0), (3, "c", None)], "rule_id long, rule_name string, false_positive_rate double")
+    rules = spark.createDataFrame([(1, "a", "s1", 0.0), (2, "b", "s2", 9.0), (3, "c", "s3", None)],
+                                  "rule_id long, rule_name string, sql_text string, false_positive_rate double")
     results = results_of(spark, [(1, "FAIL", 4, 1), (3, "FAIL", 5, 1)])
     feedback = feedback_of(spark, [(1, "reject", None, 9)] + [(1, "edit", f"e{i}", i) for i in range(1, 7)])
     rows = {r["rule_id"]: r for r in S.needs_review(S.improvement_evidence(rules, results, feedback, as_of())).collect()}
     assert rows[1]["human_corrections"] == "- e1\n- e2\n- e3\n- e4\n- e5" and rows[1]["rejections"] == 0
     assert rows[2]["human_corrections"] == "None recorded."
+    assert rows[3]["sql_text"] == "s3"
     assert {k: r["review"] for k, r in rows.items()} == {1: "none", 2: "review", 3: "review"}
 
 

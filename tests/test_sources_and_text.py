@@ -174,13 +174,14 @@ def test_term_vectors_and_resolution(spark):
     vectors = {r["id"]: r["embedding"] for r in SIM.term_vectors(df, "id", "t").collect()}
     assert vectors == {1: {"a": 2, "b": 1, "c": 1}, 2: {}}
     matches = spark.createDataFrame([(1, 5)], "incident_id long, match_id long")
-    batches = spark.createDataFrame([(5, "dispatched")], "match_id long, status string")
+    batches = spark.createDataFrame([(5, "dispatched", datetime(2023, 5, 1))], "match_id long, status string, created_at timestamp")
     at = datetime(2024, 1, 1)
     feedback = spark.createDataFrame(
         [(5, "edit", "old", at, 1), (5, "edit", "new", at + timedelta(1), 2), (5, "reject", "no", at + timedelta(2), 3)],
         "match_id long, feedback_type string, edited_summary string, created_at timestamp, id long")
     row = SIM.with_resolution(matches, batches, feedback).first()
     assert (row["historical_resolution"], row["human_validated_interpretation"]) == ("dispatched", "new")
+    assert row["historical_created_at"] == datetime(2023, 5, 1)
 
 
 def test_answers_that_look_valid_but_are_not(spark):
@@ -194,3 +195,16 @@ def test_answers_that_look_valid_but_are_not(spark):
     got = T.validate_answers(spark.createDataFrame(rows, "raw string"), "raw").collect()
     assert [r["parsing_failure"] for r in got] == [True, False, True, True]
     assert got[1]["confidence"] == "high"
+
+
+def test_footer_probe_reads_no_column(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id * 0.5D AS half", "'x' AS text").repartition(3).write.parquet(path)
+    rows = tables.footer_probe(spark, path, "t", ["id", "half"]).collect()
+    assert [tuple(r) for r in rows] == [("t", 3, 1000, "id", 0.0, 999.0), ("t", 3, 1000, "half", 0.0, 499.5)]
+    side = spark.newSession()
+    side.conf.set("spark.sql.sources.useV1SourceList", "")
+    side.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    plan = side.read.parquet(path).agg(F.count(F.lit(1)), F.min("id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RelationV2[count(*)" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"  # the caller's session is left alone

@@ -116,6 +116,34 @@ def test_attach_to_batches(spark, rows, events):
     assert got == expected
 
 
+def test_one_sweep_numbers_all_tables(spark, rows, df, events):
+    recorded = settle(V.dedup(df))
+    rnd = random.Random(12)
+    schema = "id long, rule_id long, at timestamp"
+    tables = {name: spark.createDataFrame(
+        [(i, rnd.choice([1, 2, 3, 4, 77]), START + timedelta(seconds=rnd.randrange(-5000, 200_000))) for i in range(120)], schema)
+        for name in ("sent", "notes")}
+    numbered = V.number_rows(recorded, {name: (table, "at", "id") for name, table in tables.items()})
+    assert numbered["events"].columns == events.columns
+    assert {r["result_id"]: r["batch_no"] for r in numbered["events"].collect()} == {r["result_id"]: r["batch_no"] for r in events.collect()}
+    for name, table in tables.items():
+        expected = {r["id"]: r["batch_no"] for r in V.attach_to_batches(recorded, table, "at", "id").collect()}
+        assert {r["id"]: r["batch_no"] for r in numbered[name].collect()} == expected
+        some = V.in_some_batch(recorded, table, "at")
+        assert some.columns and {r["id"] for r in some.collect()} == set(expected)
+
+
+def test_context_has_the_totals_of_its_batch(events):
+    full = V.with_batch_totals(V.alert_context(events), events)
+    sums = {(r["rule_id"], r["batch_no"]): r for r in V.batch_summary(events).collect()}
+    found = full.collect()
+    assert len(found) == events.count()
+    for r in found:
+        batch = sums[r["rule_id"], r["batch_no"]]
+        assert (r["batch_occurrences"], r["batch_violation_count"]) == (batch["total_occurrences"], batch["total_violation_count"])
+        assert batch["first_seen"] <= r["window_ended_at"] <= batch["last_seen"] and r["window_started_at"] <= r["window_ended_at"]
+
+
 def test_failures_policy_and_severity(spark):
     results = spark.createDataFrame(
         [(1, 1, "FAIL"), (2, None, "FAIL"), (3, 2, "ERROR"), (4, 1, "PASS")], "result_id long, rule_id long, status string")
@@ -182,6 +210,32 @@ def test_stream_dedup_equals_batch(spark, rows, tmp_path):
     assert {r["row_id"]: r["is_new"] for r in got.collect()} == expected
 
 
+def test_dedup_state_ends_with_its_window(spark, rows, tmp_path):
+    """A far later row moves the watermark past all windows: no key but its own keeps state, and late rows are left out."""
+    far = [(9000 + i, 99, "FAIL", "critical", None, START + timedelta(days=30 + i), "p", 5) for i in range(3)]
+    stream = SV.stream_dedup(stream_of(spark, tmp_path, rows + far[:1], files=5))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    totals = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(totals) > 3 and totals[-1] <= 1
+    late = [(9500, 1, "FAIL", "critical", None, START, "p", 5)]
+    spark.createDataFrame(late + far[1:], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    drain(spark, SV.stream_dedup(spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).parquet(str(tmp_path / "in"))), tmp_path)
+    got = {r["row_id"]: r["is_new"] for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
+    expected = {i: new for i, (new, _) in replay(rows).items()}
+    assert got == expected | {9000: True, 9001: True, 9002: True}
+
+
+def test_a_hot_key_reaches_its_state_as_a_row_per_task(spark):
+    hot = [(i, 1, "p", i * 1000, 5) for i in range(900)] + [(1000 + i, 2 + i % 3, "q", i, 5) for i in range(100)]
+    df = spark.createDataFrame(hot, "row_id long, rule_id long, fingerprint string, us long, window_us long").repartition(3)
+    packs = SV.packed(df, ["rule_id", "fingerprint"], ["window_us"], ["us", "row_id"]).collect()
+    mine = [p for p in packs if p["rule_id"] == 1]
+    assert len(mine) == 3 and sum(len(p["us"]) for p in mine) == 900
+    assert all(p["us"] == sorted(p["us"]) and p["last_at"].timestamp() >= 0 for p in mine)
+
+
 def test_stream_batches_equal_batch(spark, rows, df, tmp_path):
     held = settle(V.hold_batches(df))
     expected = {
