@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import settle
@@ -27,6 +28,19 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def ship(spark: SparkSession, model: object) -> Broadcast:
+    """A broadcast model that workers can read without a copy of this package: a broadcast pickles classes by name, so the
+    model travels as bytes that hold its class too. Read it with ``shipped``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def shipped(sent: Broadcast) -> object:
+    """The model of a broadcast made by ``ship``, unpickled once a worker."""
+    if getattr(sent, "_model", None) is None:
+        sent._model = cloudpickle.loads(sent.value)
+    return sent._model
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; -1 for a null id, so that such a row is in no part that is
     defined by a remainder."""

@@ -3,12 +3,13 @@
 Test items are cut into units of at most ``UNIT`` words, indexed with BM25 impacts divided by the unit's score
 against itself, so one threshold fits units of every length. Every passage of a document is a query: windows of
 2 * UNIT words, UNIT apart, so each unit that a document has lies whole in one window. Passages whose upper bound
-over rare terms cannot reach the threshold are set aside by one vectorised sum per document; for the others
+over rare terms cannot reach the threshold are set aside by one vectorised sum per document; for all others
 block-max WAND retrieves every unit at or above the threshold. Items of retrieved units are verified on the whole
 document: of the n-grams of question and answer together enough must be in it, or nearly all of the longer one's.
 
-The index is built per shard of ``SHARD`` items, which bounds what is sent to the executors; a larger benchmark
-takes more shards, each of which reads the documents again.
+The index is built per shard of ``SHARD`` distinct items, which bounds what is sent to the executors; a larger benchmark
+takes more shards, each of which reads the documents again. Unit frequencies and the mean length are counted over all
+items first, so scores and results are those of one index.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD_BYTES, batch_of, slices, texts_of
+from plumbline.llm.common import WORD_BYTES, batch_of, ship, shipped, slices, texts_of
 from plumbline.session import settle
 
 FIND_WORDS = re.compile(WORD_BYTES)
@@ -39,6 +42,7 @@ WHOLE = 0.9
 LONG = 8
 GRAM = 3
 SHARD = 5000
+SHARD_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 #: Share of a unit's score that may come from terms outside the first bound.
 COMMON = 0.15
@@ -64,10 +68,34 @@ def grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(n)))) if n else set()
 
 
+def units_of(text: bytes) -> list[list[bytes]]:
+    """The words of an item in parts of at most UNIT, of about equal length."""
+    question, answer = question_and_answer(text)
+    words = question + answer
+    parts = max(1, math.ceil(len(words) / UNIT))
+    cut = [words[len(words) * k // parts:len(words) * (k + 1) // parts] for k in range(parts)]
+    return [part for part in cut if part]
+
+
+@dataclass
+class Statistics:
+    """Of the units of all items, whatever the shard: their number and mean length, and the number with each term."""
+
+    units: int
+    mean: float
+    frequency: dict[bytes, int]
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Statistics:
+        units = [unit for text in texts for unit in units_of(text)]
+        return cls(len(units), sum(map(len, units)) / max(1, len(units)), Counter(t for unit in units for t in set(unit)))
+
+
 class Index:
     """Impacts of terms in units, in order of units, with the largest impact of each block."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], known: Statistics | None = None):
+        known = known or Statistics.of([text for _, text in items])
         self.items = [i for i, _ in items]
         self.sides = []
         self.unit_item: list[int] = []
@@ -75,19 +103,10 @@ class Index:
         for place, (_, text) in enumerate(items):
             question, answer = question_and_answer(text)
             self.sides.append((grams(question), grams(answer)))
-            words = question + answer
-            parts = max(1, math.ceil(len(words) / UNIT))
-            for k in range(parts):
-                part = words[len(words) * k // parts:len(words) * (k + 1) // parts]
-                if part:
-                    units.append(part)
-                    self.unit_item.append(place)
-        n = len(units)
-        mean = sum(map(len, units)) / max(1, n)
-        frequency: dict[bytes, int] = {}
-        for unit in units:
-            for term in set(unit):
-                frequency[term] = frequency.get(term, 0) + 1
+            for part in units_of(text):
+                units.append(part)
+                self.unit_item.append(place)
+        n, mean, frequency = known.units, known.mean, known.frequency
         postings: dict[bytes, list[tuple[int, float]]] = {}
         for u, unit in enumerate(units):
             weights = {}
@@ -110,16 +129,12 @@ class Index:
         # from them; the bound of a unit has that share as a constant.
         length = np.array([len(p) for p in self.units]) if ordered else np.zeros(0, int)
         self.essential = np.ones(len(ordered), bool)
-        self.common = np.zeros(n)
+        self.common = np.zeros(len(units))
         for term in np.argsort(-length, kind="stable").tolist():
             share = self.common[self.units[term]] + self.impacts[term]
             if length[term] > 1 and share.max() <= COMMON:
                 self.essential[term] = False
                 self.common[self.units[term]] = share
-        self.weights = [dict() for _ in range(n)]
-        for term, i in self.terms.items():
-            for u, w in zip(self.units[i].tolist(), self.impacts[i].tolist()):
-                self.weights[u][term] = w
         # Flat postings of the essential terms.
         self.start = np.concatenate(([0], np.cumsum(np.where(self.essential, length, 0)))).astype(np.int64)
         keep = [i for i in range(len(ordered)) if self.essential[i]]
@@ -128,7 +143,8 @@ class Index:
         self.essential_terms = {t: i for t, i in self.terms.items() if self.essential[i]}
 
     def passages(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """Passages (from, to) that may reach the threshold for some unit."""
+        """Passages (from, to) that may reach the threshold for some unit, by a bound: what a unit's essential terms in them
+        give, and all of its other terms. Which units do is found by ``wand``."""
         ids = np.fromiter(map(self.essential_terms.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(ids >= 0)
         if not len(at):
@@ -155,14 +171,7 @@ class Index:
             high = THRESHOLD - self.common[key // many] - 1e-9
             good = np.unique(np.concatenate((key[score + follow >= high], key[score + before >= high] - 1)))
             units, stretches = np.divmod(good, many)
-        out = set()
-        for unit, place in zip(units.tolist(), stretches.tolist()):  # the unit's own terms tell how far it gets
-            low = place * UNIT
-            if place not in out:
-                weights = self.weights[unit]
-                if sum(weights[t] for t in weights.keys() & set(words[low:low + 2 * UNIT])) >= THRESHOLD - 1e-9:
-                    out.add(place)
-        return [(place * UNIT, (place + 2) * UNIT) for place in sorted(out)]
+        return [(place * UNIT, (place + 2) * UNIT) for place in np.unique(stretches).tolist()]
 
     def _high(self, many: int) -> np.ndarray:
         return np.repeat(THRESHOLD - self.common - 1e-9, many)
@@ -205,7 +214,7 @@ class Index:
                 at[t] = bisect_left(self.posted[t], goal, at[t])
 
     def find(self, text: bytes) -> list[tuple[int, float, float, float]]:
-        """(item, best score, question overlap, answer overlap) of the verified items."""
+        """(place of the item, best score, question overlap, answer overlap) of the verified items."""
         words = FIND_WORDS.findall(text.lower())
         best: dict[int, float] = {}
         for low, high in self.passages(words):
@@ -228,20 +237,40 @@ class Index:
             many = sum(map(len, sides))
             if hits >= OVERLAP * many or any(
                     share >= WHOLE and len(side) >= max(LONG, many / 2) for side, share in zip(sides, shares)):
-                out.append((self.items[item], score, *shares))
+                out.append((item, round(score, 9), *shares))
         return out
 
 
-def _indexes(benchmark: DataFrame, shard: int) -> Iterator[Index]:
-    """Indexes of the items (item_id, text), at most about *shard* in each; one at a time on the driver."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
-                             F.col("text").cast("binary").alias("text")).filter("text IS NOT NULL")
-    shards = max(1, math.ceil(items.count() / shard))
-    if shards > 1:
-        items = settle(items)
+def _unit_counts(items: DataFrame) -> DataFrame:
+    """(term, n): units with a term; with a null term, the units and (m) all their words."""
+    schema = pa.schema([("term", pa.binary()), ("n", pa.int64()), ("m", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000):
+            found = Statistics.of(batch.column("text").to_pylist())
+            terms = list(found.frequency)
+            yield batch_of(schema, [[None, *terms], [found.units, *(found.frequency[t] for t in terms)],
+                                    [round(found.units * found.mean), *[0] * len(terms)]])
+
+    return items.mapInArrow(run, "term binary, n long, m long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _indexes(benchmark: DataFrame, shard: int) -> Iterator[tuple[Index, list[int]]]:
+    """Indexes of the distinct items (item_id, text), of about *shard* items and SHARD_BYTES of text at most, one at a time on
+    the driver, and how often each item is repeated. Scores do not depend on the shards: statistics are of all items."""
+    items = settle(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).filter(
+        "text IS NOT NULL").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times")), "items")
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards = max(1, math.ceil(n / shard), math.ceil(size / SHARD_BYTES))
+    counts = settle(_unit_counts(items), "units")
+    total = counts.filter("term IS NULL").first() or {"n": 0, "m": 0}
     for k in range(shards):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text")
-        yield Index([(r["item_id"], bytes(r["text"])) for r in part.collect()])
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        own = _unit_counts(part).select("term").filter("term IS NOT NULL")
+        frequency = {bytes(r["term"]): r["n"] for r in counts.join(own, "term").select("term", "n").collect()}
+        rows = part.orderBy("item_id", "text").collect()
+        known = Statistics(total["n"], total["m"] / max(1, total["n"]), frequency)
+        yield Index([(r["item_id"], bytes(r["text"])) for r in rows], known), [r["times"] for r in rows]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -257,14 +286,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     kinds = "key long, item_id long, score double, question_overlap double, answer_overlap double"
     thin = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_text"))
     out = None
-    for built in _indexes(benchmark, shard):
-        index = docs.sparkSession.sparkContext.broadcast(built)
+    for built, times in _indexes(benchmark, shard):
+        index = ship(docs.sparkSession, built)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            test = index.value
+        def run(batches: Iterator[pa.RecordBatch], index=index, times=times) -> Iterator[pa.RecordBatch]:
+            test = shipped(index)
             for batch in slices(batches, 500):
-                rows = [(i, *hit) for i, t in zip(batch.column("key").to_pylist(), texts_of(batch, "_text"))
-                        if t for hit in test.find(t)]
+                rows = [(i, test.items[place], *told) for i, t in zip(batch.column("key").to_pylist(), texts_of(batch, "_text"))
+                        if t for place, *told in test.find(t) for _ in range(times[place])]
                 yield batch_of(schema, [list(c) for c in zip(*rows)] if rows else [[]] * 5)
 
         found = thin.mapInArrow(run, kinds)
@@ -277,14 +306,15 @@ def op3_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The rows of *docs* without a test item in their text. Every shard of the index filters what the one
+    """The rows of *docs* without a test item in their text; null and empty texts hold none and stay, rows that repeat are
+    judged each, an empty benchmark keeps all. Every shard of the index filters what the one
     before it kept, in one pass and without a shuffle."""
     kept = docs.select(F.struct("*").alias("doc"))
-    for built in _indexes(benchmark, shard):
-        index = docs.sparkSession.sparkContext.broadcast(built)
+    for built, _ in _indexes(benchmark, shard):
+        index = ship(docs.sparkSession, built)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            test = index.value
+            test = shipped(index)
             for batch in slices(batches, 500):
                 texts = batch.column("doc").field("text").cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([not (t and test.find(t)) for t in texts], pa.bool_()))

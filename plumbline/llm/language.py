@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import batch_of, remainder, slices, texts_of, unit_hash
+from plumbline.llm.common import batch_of, remainder, ship, shipped, slices, texts_of, unit_hash
 
 ORDER = 3
 #: Training documents per language, in expectation; chosen by a hash of the id. A model parameter.
@@ -202,10 +202,10 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
     rest = docs.drop(*schema.names)
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
+    sent = ship(docs.sparkSession, trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = shipped(sent)
         for batch in slices(batches, 500):
             found = list(zip(*map(model.told, texts_of(batch, text)))) or [[], [], []]
             out = [*batch.columns, *(pa.array(x, type=f.type) for x, f in zip(found, schema))]
@@ -225,15 +225,16 @@ def op5_language_id(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language was told: not ``und``, and with a code shorter than the uniform one over
-    the bytes of the training texts, which text of none of the languages exceeds."""
+    the bytes of the training texts, which text of none of the languages exceeds. Null and empty texts, and those without a
+    letter, go; rows that repeat are judged each; an empty table stays empty."""
     held_out = remainder("doc_id", 3) == 1
     trees = train(docs, ~held_out)
     most = math.log2(trees.n_symbols)
     kept = docs.select(F.struct("*").alias("doc"))
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
+    sent = ship(docs.sparkSession, trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = shipped(sent)
         for batch in slices(batches, 500):
             told = map(model.told, batch.column("doc").field("text").cast(pa.binary()).to_pylist())
             yield batch.filter(pa.array([lang != "und" and bits < most for lang, _, bits in told], pa.bool_()))

@@ -105,18 +105,24 @@ WITH sized AS (
 sums AS (SELECT sum(chars) AS all_chars, sum(pow(chars, {POWER})) AS all_weight FROM sized WHERE chars > 0),
 rates AS (
     SELECT source, CASE WHEN chars > 0
-        THEN least(all_chars * pow(chars, {POWER}) / all_weight / chars, {LARGEST_RATE}) ELSE 0.0 END AS rate
+        THEN all_chars * pow(chars, {POWER}) / all_weight / chars ELSE 0.0 END AS rate
     FROM sized CROSS JOIN sums),
+parts AS (
+    SELECT source, CAST(greatest(1, ceil(rate / {LARGEST_RATE})) AS BIGINT) AS draws, rate / greatest(1, ceil(rate / {LARGEST_RATE})) AS part FROM rates),
 cumulative AS (
-    SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
-    FROM rates, range(0, 2000) AS t(k) WHERE rate > 0 AND k < ceil(rate + 10 * sqrt(rate) + 30)),
+    SELECT source, k, sum(exp(k * ln(part) - part - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+    FROM parts, range(0, 2000) AS t(k) WHERE part > 0 AND k < ceil(part + 10 * sqrt(part) + 30)),
+listed AS (
+    SELECT row_number() OVER () AS doc_row, d.doc_id, d.source, d.text, r.draws
+    FROM documents d JOIN parts r ON r.source IS NOT DISTINCT FROM d.source),
 draws AS (
-    SELECT doc_id, source, text,
-        CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
-    FROM documents),
-counted AS (
-    SELECT d.doc_id, d.source, d.text, (SELECT count(*) FROM cumulative c WHERE c.source IS NOT DISTINCT FROM d.source AND c.p <= d.u) AS n
-    FROM draws d)
+    SELECT doc_row, source, CAST('0x' || substr(md5('{SEED}:' || CASE WHEN j > 1 THEN 'draw:' || CAST(j AS VARCHAR) || ':' ELSE '' END
+        || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+    FROM (SELECT *, unnest(range(1, draws + 1)) AS j FROM listed)),
+times AS (
+    SELECT doc_row, CAST(sum((SELECT count(*) FROM cumulative c WHERE c.source IS NOT DISTINCT FROM d.source AND c.p <= d.u)) AS BIGINT) AS n
+    FROM draws d GROUP BY doc_row),
+counted AS (SELECT doc_id, source, text, n FROM listed JOIN times USING (doc_row))
 SELECT doc_id, source, copy_no,
     CAST('0x' || substr(md5('{SEED}:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy_no AS VARCHAR)), 1, 13) AS BIGINT)
         / 4503599627370496.0 AS mix_order,

@@ -15,8 +15,11 @@ Candidates are confirmed on their full sets of shingles:
    compared with all members of other components, in blocks of bounded size, so no link within a family is
    lost. Pairs within a component need no comparison and are never looked at.
 
-Chance collisions of table keys join families and cost comparisons, never links. They have probability
-s**(2 * rows) for background similarity s: take more rows where documents are many and alike.
+Documents that share boilerplate make large families without links, in which step 3 alone would be quadratic. A family
+of more than a few blocks is therefore cut by its rare shingles first: two sets that are similar enough must share one of
+the first |x| - least overlap + 1 of their shingles, rarest first (the prefix filter, which loses no pair). Members then meet
+by such a shingle. Documents that have as many shingles of their own meet nobody. Of both ways the one that moves less is
+taken for each family.
 """
 
 from __future__ import annotations
@@ -35,10 +38,12 @@ from plumbline.llm.common import batch_of, components, mix, slices, texts_of
 from plumbline.session import settle
 
 SIDE, ROWS = 10, 3
-#: Bits of the bitmaps that keep texts out of shuffles; a multiple of Spark's 32768.
-SLOTS = 2 ** 23
+#: Bits of the bitmaps that keep texts out of shuffles: so many a row, within these bounds; multiples of Spark's 32768.
+SLOTS_A_ROW, FEWEST_SLOTS, MOST_SLOTS = 16, 2 ** 20, 2 ** 28
 #: Elements of shingle sets that one block of step 3 holds about; a longer set is a block of its own.
 BLOCK = 100_000
+#: Pairs of blocks up to which a family is not cut by shingles.
+FEW_PAIRS = 8
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -127,18 +132,58 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _plans(members: DataFrame) -> DataFrame:
+    """(family, main, n_rest, n_main, pairs, moved) of families with several components: the largest component, the number of
+    blocks of the others and of it, the pairs of blocks, and the shingles that they move."""
+    sums = members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    families = sums.groupBy("family").agg(
+        F.max(F.struct("n", "component", "size")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("classes"))
+    rest = F.col("all") - F.col("main.size")
+    counted = families.filter("classes > 1").select(
+        "family", F.col("main.component").alias("main"), rest.alias("rest_size"), F.col("main.size").alias("main_size"),
+        F.ceil(rest / BLOCK).cast("int").alias("n_rest"), F.ceil(F.col("main.size") / BLOCK).cast("int").alias("n_main"))
+    blocks = F.col("n_rest") + F.col("n_main")
+    return counted.select("family", "main", "n_rest", "n_main", (F.col("n_rest").cast("long") * blocks).alias("pairs"),
+                          (F.col("rest_size") * blocks + F.col("main_size") * F.col("n_rest")).alias("moved"))
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, family, component, size, whole) with a family for each old one and rare shingle: all pairs of an old family
+    (``whole``) whose sets are similar enough are in a new one together."""
+    held = members.join(sets, "node").select("node", F.explode("found").alias("token"))
+    counts = held.groupBy("token").count().filter("count > 1")  # a shingle of one member brings nobody together
+    shared = settle(held.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("shared")))
+    # The first shingles in order of (count, token); those that only this member has come before all shared ones.
+    first = F.col("size") - F.expr(f"(size * {percent} + 99) DIV 100") + 1 - (F.col("size") - F.size("shared"))
+    met = members.join(shared, "node").withColumn("first", first.cast("int")).filter("first > 0").select(
+        "node", "component", "size", F.col("family").alias("whole"), F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("s"))
+    return met.select("node", F.xxhash64("whole", "s.token").alias("family"), "component", "size", "whole")
+
+
+def _meetings(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (node, family, component, size) and plans of the families in which step 3 compares: those of few pairs of
+    blocks as they are, larger ones cut by rare shingles where that moves less."""
+    plans = settle(_plans(members), "plans")
+    large = plans.filter(F.col("pairs") > FEW_PAIRS)
+    if large.isEmpty():
+        return members, plans
+    cut = settle(_by_rare_shingles(members.join(large.select("family"), "family", "left_semi"), sets, percent), "cut")
+    parts = settle(_plans(cut.drop("whole")), "plans")
+    wholes = cut.select("family", "whole").distinct()
+    moved = parts.join(wholes, "family").groupBy("whole").agg(F.sum("moved").alias("cut_moved"))
+    chosen = settle(large.join(moved, F.col("family") == F.col("whole"), "left").filter(
+        F.coalesce("cut_moved", F.lit(0)) < F.col("moved")).select("family"), "chosen")
+    into = parts.join(wholes.join(chosen.withColumnRenamed("family", "whole"), "whole", "left_semi").select("family"), "family", "left_semi")
+    kept = plans.join(chosen, "family", "left_anti")
+    return members.unionByName(cut.drop("whole")), settle(kept.unionByName(into), "plans")
+
+
+def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Deal out the members (node, family, component, size) of families with several components: rows
     (family, p, q, side, node, component, found), such that every pair of nodes of two components, of
     which at least one is outside the family's largest, meets in one block pair (p, q)."""
-    sums = settle(members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
-    families = sums.groupBy("family").agg(
-        F.max(F.struct("n", "component", "size")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("classes"))
-    families = settle(families.filter("classes > 1").select(
-        "family", F.col("main.component").alias("main"),
-        F.ceil((F.col("all") - F.col("main.size")) / BLOCK).cast("int").alias("n_rest"),
-        F.ceil(F.col("main.size") / BLOCK).cast("int").alias("n_main")))
-    dealt = members.join(families, "family")
+    members, families = _meetings(members, sets, percent)
+    dealt = members.join(families.drop("pairs", "moved"), "family")
     spot = F.xxhash64("node", F.lit(17))
     own = F.pmod(spot, F.col("n_rest")).cast("int")
     # Blocks below n_rest hold the rest, those from n_rest on the largest component. A member of the
@@ -197,16 +242,18 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def _slot(row: Column) -> Column:
-    return F.pmod(F.xxhash64(row), F.lit(SLOTS)) + 1
+def _slot(row: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(slots)) + 1
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
-    """Which of SLOTS hash values the ``row`` digests have: a megabyte, however many rows there are."""
-    slot = _slot(F.col("row"))
+    """Which hash values the ``row`` digests have, of about SLOTS_A_ROW for each row: 32 megabytes at most. Beyond that more
+    texts pass, and the join that follows drops them."""
+    slots = min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (SLOTS_A_ROW * rows.count()).bit_length()))
+    slot = _slot(F.col("row"), slots)
     parts = rows.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    out = np.zeros(SLOTS, bool)
+    out = np.zeros(slots, bool)
     for k, bits in parts:
         whole = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
         out[(k - 1) * len(whole):k * len(whole)] = whole
@@ -224,7 +271,7 @@ def _by_bitmap(docs: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame:
             slots = batch.column("_slot").to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(bits[slots - 1] == inside))
 
-    slotted = docs.withColumn("_slot", _slot(F.col("row")))
+    slotted = docs.withColumn("_slot", _slot(F.col("row"), len(bitmap)))
     return slotted.mapInArrow(run, slotted.schema).drop("_slot")
 
 
@@ -248,10 +295,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     table = F.expr(f"""flatten(transform(slice(halves, 1, {side}), (x, i) ->
         transform(slice(halves, {side} + 1, {side}), (y, j) -> xxhash64(x, y, i, j))))""")
     keyed = sets.select("node", F.explode(table).alias("table"))
-    # A key holds at most one in side * side of all rows, so its rows may meet in one task.
-    alike = Window.partitionBy("table")
-    members = keyed.select("node", F.min("node").over(alike).alias("centre"), F.count("*").over(alike).alias("n"))
-    members = settle(members.filter("n > 1 AND node <> centre").select(
+    # A group of copies has all its keys in common: counted before the shuffle, and joined back, so that it can be split.
+    centres = keyed.groupBy("table").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    members = settle(keyed.join(centres, "table").filter("node <> centre").select(
         F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "members")
     families = components(members).withColumnRenamed("component", "family")
 
@@ -269,7 +315,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     labels = components(links)
     sized = wanted.select("node", "family").join(found.select("node", F.size("found").alias("size")), "node")
     labelled = sized.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = settle(_between(_blocks(settle(labelled), found), percent), "links")
+    more = settle(_between(_blocks(settle(labelled), found, percent), percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters say toxic (1), clean (-1) or nothing (0) about a document: a fixed word list, lists mined from labelled
-documents (words and beginnings of words, by length), and patterns of spelling. A generative label model gives
-every voter its accuracies on either class; as voters are not independent, a voter's evidence is divided by one
-plus its correlations with the other voters within the classes. The posterior labels train a linear classifier on
-the voters' strengths, which scores whole texts.
+Many voters say toxic (1), clean (-1) or nothing (0) about a document: lexicons of known words, lexicons mined from labelled
+documents (one for each kind of entry, a word or a beginning of 4 to 7 bytes, and each of three grades of how telling it
+is), and patterns of spelling. A generative label model estimates from the votes alone how accurate every voter is on
+either class, by expectation-maximisation; labels set the share of the classes and hold a fifth of the rows, its anchors,
+in place. As voters are not independent, a voter's evidence is divided by one plus its squared correlations with the other
+voters within the classes. The posterior labels, not the given ones, train a linear classifier on the voters' strengths, which
+scores whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD_BYTES, batch_of, remainder, slices, texts_of, unit_hash
+from plumbline.llm.common import WORD_BYTES, batch_of, remainder, ship, shipped, slices, texts_of, unit_hash
 from plumbline.session import settle
 
 #: Labelled training documents per class, in expectation; chosen by a hash of the id. A model parameter.
@@ -29,13 +31,25 @@ SAMPLE = 8000
 STEMS = (4, 5, 6, 7)
 #: Most mined entries that the model keeps, the strongest first. A model parameter.
 ENTRIES = 5000
-#: A mined entry is this many times as frequent among toxic documents.
-RATIO = 20.0
-WORDS = frozenset(
-    b"idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns "
-    b"dumb dumbass bastard bitch asshole shit fuck fucking cunt whore slut retard subhuman vermin".split())
+#: A mined entry is in so many toxic documents, and this many times as frequent among them, at every size of sample.
+SUPPORT, RATIO = 4, 20.0
+#: Share of the rows whose posterior is their label, and how often such a row counts: its class is known.
+ANCHORS, KNOWN = 0.2, 20.0
+GRADES = 3
+LEXICONS = tuple(frozenset(words.split()) for words in (
+    b"idiot idiots moron morons stupid loser losers pathetic clown clowns dumb dumbass retard",
+    b"bastard bitch asshole shit fuck fucking cunt whore slut",
+    b"scum trash worthless disgusting subhuman vermin",
+))
 FIND_WORDS = re.compile(WORD_BYTES)
-VOTERS = ("list", "word", *(f"stem{n}" for n in STEMS), "dense", "shout", "marks")
+KINDS = ("word", *(f"stem{n}" for n in STEMS))
+VOTERS = (*(f"list{i}" for i in range(len(LEXICONS))), *(f"{kind}-{grade}" for kind in KINDS for grade in range(GRADES)),
+          "dense", "shout", "marks")
+PATTERNS = 3
+
+
+def kind_of(stem: bytes) -> int:
+    return 0 if stem.endswith(b"\0") else 1 + STEMS.index(len(stem))
 
 
 def stems(words: set[bytes]) -> set[bytes]:
@@ -48,24 +62,38 @@ def stems(words: set[bytes]) -> set[bytes]:
 
 @dataclass
 class Model:
-    entries: dict[bytes, float] = field(default_factory=dict)
+    """*entries* are (voter, log ratio) of the mined words and beginnings."""
+
+    entries: dict[bytes, tuple[int, float]] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(VOTERS) + 1))
 
+    @classmethod
+    def of(cls, mined: dict[bytes, float]) -> Model:
+        """Entries of each kind in three grades of equal number, the most telling first."""
+        entries = {}
+        for kind in range(len(KINDS)):
+            mine = sorted((s for s in mined if kind_of(s) == kind), key=lambda s: (-mined[s], s))
+            for place, stem in enumerate(mine):
+                entries[stem] = len(LEXICONS) + kind * GRADES + place * GRADES // len(mine), mined[stem]
+        return cls(entries)
+
     def strengths(self, text: bytes | None) -> np.ndarray:
         """What each voter finds, as a number of 0 or more."""
         text = text or b""
         words = FIND_WORDS.findall(text.lower())
         found = set(words)
         out = np.zeros(len(VOTERS))
-        hits = found & WORDS
-        out[0] = math.log1p(sum(words.count(w) for w in hits)) if hits else 0.0
         bad = 0
+        for place, lexicon in enumerate(LEXICONS):
+            hits = found & lexicon
+            out[place] = math.log1p(sum(words.count(w) for w in hits)) if hits else 0.0
+            bad += len(hits)
         for stem in self.entries.keys() & stems(found):
-            kind = 1 if stem.endswith(b"\0") else 2 + STEMS.index(len(stem))
-            out[kind] += self.entries[stem]
+            voter, weight = self.entries[stem]
+            out[voter] += weight
             bad += 1
-        out[1:2 + len(STEMS)] = np.log1p(out[1:2 + len(STEMS)])
-        out[-3] = min(1.0, 10.0 * (bad + len(hits)) / (len(words) + 10))
+        out[len(LEXICONS):-PATTERNS] = np.log1p(out[len(LEXICONS):-PATTERNS])
+        out[-3] = min(1.0, 10.0 * bad / (len(words) + 10))
         letters = sum(map(text.count, (b"e", b"a", b"n", b"t"))) + 1
         out[-2] = sum(map(text.count, (b"E", b"A", b"N", b"T"))) / letters > 1.0
         out[-1] = text.count(b"!") > 0.02 * len(text)
@@ -81,36 +109,40 @@ def votes(strengths: np.ndarray) -> np.ndarray:
     patterns of spelling abstain."""
     found = strengths > 0
     out = np.where(found, 1, -1)
-    out[:, -2:] = np.where(found[:, -2:], 1, 0)
+    out[:, 1 - PATTERNS:] = np.where(found[:, 1 - PATTERNS:], 1, 0)
     return out
 
 
-def label_model(vote: np.ndarray, prior: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior P(toxic) of every row of votes, by expectation-maximisation. *prior* is what the row's
-    own label says: one more voter, of known accuracy, that the others are independent of."""
-    told = np.log(prior) - np.log1p(-prior)
-    posterior = prior.copy()
+def label_model(vote: np.ndarray, share: float, anchors: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Posterior P(toxic) of every row of votes, by expectation-maximisation. *share* is the share of toxic rows; *anchors* is
+    1 or 0 for the rows that are held, NaN for all others, whose posterior comes from their votes alone."""
+    held = ~np.isnan(anchors)
+    for_toxic = (vote == 1).sum(axis=1)
+    cut = np.quantile(for_toxic, 1 - share)  # rows with the most votes, as many as there are toxic ones
+    posterior = np.where(for_toxic > max(cut, 0), 0.9, 0.1)
+    told = math.log(share) - math.log1p(-share)
     states = np.stack([vote == s for s in (-1, 0, 1)], axis=2).astype(float)  # rows, voters, states
+    counts = np.where(held, KNOWN, 1.0)
     for _ in range(rounds):
+        posterior = np.where(held, anchors, posterior)
         residual = np.zeros((vote.shape[1], vote.shape[1]))
         rates = []
-        for weight in (posterior, 1 - posterior):
+        for weight in (counts * posterior, counts * (1 - posterior)):
             mass = weight.sum() + 1e-9
             rates.append((np.tensordot(weight, states, axes=(0, 0)) + 0.1) / (mass + 0.3))
             mean = weight @ vote / mass
             centred = (vote - mean) * np.sqrt(weight / mass)[:, None]
             residual += centred.T @ centred / 2
         spread = np.sqrt(np.maximum(np.diag(residual), 1e-9))
-        correlation = np.abs(residual / np.outer(spread, spread))
+        correlation = (residual / np.outer(spread, spread)) ** 2
         np.fill_diagonal(correlation, 0.0)
         correlation[spread < 1e-3] = 0.0
         correlation[:, spread < 1e-3] = 0.0
-        share = 1.0 / (1.0 + correlation.sum(axis=1))
+        part = 1.0 / (1.0 + correlation.sum(axis=1))
         ratio = np.log(rates[0]) - np.log(rates[1])  # voters, states
-        evidence = np.einsum("rvs,vs,v->r", states, ratio, share)
-        evidence += told
+        evidence = np.einsum("rvs,vs,v->r", states, ratio, part) + told
         posterior = 1 / (1 + np.exp(-np.clip(evidence, -50, 50)))
-    return posterior
+    return np.where(held, anchors, posterior)
 
 
 def linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 30) -> np.ndarray:
@@ -126,7 +158,7 @@ def linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 30)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic, mine) of about *sample* training documents per class, each text once. ``mine``
+    """(text, toxic, mine, anchor) of about *sample* training documents per class, each text once. ``mine``
     halves them: entries mined from one half are weighed on the other, so that chance finds get no weight."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & (remainder("doc_id", 3) != 1) & F.col("doc_id").isNotNull())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -139,7 +171,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL")
     return settle(rows.groupBy(F.md5("text").alias("digest")).agg(
         F.first("text").alias("text"), F.max("toxic").alias("toxic")).select(
-        "text", "toxic", (F.substring("digest", 1, 1) < "8").alias("mine")), "labelled")
+        "text", "toxic", (F.substring("digest", 1, 1) < "8").alias("mine"),
+        (unit_hash(F.lit("anchor"), F.col("digest")) < ANCHORS).alias("anchor")), "labelled")
 
 
 def _mined(sample: DataFrame, entries: int) -> dict[bytes, float]:
@@ -160,7 +193,7 @@ def _mined(sample: DataFrame, entries: int) -> dict[bytes, float]:
     found = sample.mapInArrow(run, "stem binary, toxic long, clean long").groupBy("stem").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    strong = found.filter((F.col("toxic") >= max(4, 0.01 * toxic)) & (ratio >= min(RATIO, clean)))
+    strong = found.filter((F.col("toxic") >= SUPPORT) & (ratio >= RATIO))
     rows = strong.select("stem", F.log(ratio).alias("w"), "toxic").orderBy(
         F.desc(F.col("w") * F.col("toxic")), "stem").limit(entries).collect()
     return {bytes(r["stem"]): r["w"] for r in rows}
@@ -171,26 +204,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
     model knows its fixed list only."""
     rows = _labelled(docs, labels, sample)
     model = Model()
-    model.weights[:] = [-3.0, 4.0, *[0.0] * (len(VOTERS) - 1)]
+    model.weights[:] = [-3.0, *[4.0] * len(LEXICONS), *[0.0] * (len(VOTERS) - len(LEXICONS))]
     if rows is None:
         return model
-    schema = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("toxic", pa.int32()), ("anchor", pa.bool_()), ("x", pa.list_(pa.float64()))])
     data = []
     for half in ("mine", "NOT mine"):  # entries of one half find their weights in the other
-        other = Model(_mined(rows.filter(half), entries))
+        sent = ship(docs.sparkSession, Model.of(_mined(rows.filter(half), entries)))
 
-        def run(batches: Iterator[pa.RecordBatch], other: Model = other) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            other = shipped(sent)
             for batch in slices(batches, 500):
-                yield batch_of(schema, [batch.column("toxic").cast(pa.int32()),
+                yield batch_of(schema, [batch.column("toxic").cast(pa.int32()), batch.column("anchor"),
                                         [other.strengths(t) for t in texts_of(batch)]])
 
-        data += rows.filter(f"NOT ({half})").mapInArrow(run, "toxic int, x array<double>").collect()  # sample rows
-    model.entries = _mined(rows, entries)
+        data += rows.filter(f"NOT ({half})").mapInArrow(run, "toxic int, anchor boolean, x array<double>").collect()  # sample rows
+    model = Model.of(_mined(rows, entries))
     if not data:
         return model
     x, y = np.array([r["x"] for r in data]), np.array([r["toxic"] for r in data], float)
-    vote = votes(x)
-    posterior = label_model(vote, np.where(y > 0, 0.99, 0.01))
+    anchors = np.where([r["anchor"] for r in data], y, np.nan)
+    posterior = label_model(votes(x), min(max(y.mean(), 1e-3), 1 - 1e-3), anchors)
     model.weights = linear(x, posterior)
     return model
 
@@ -198,11 +232,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
 def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score): one row per row of *docs*; a null or empty text gets the score of no findings. Other
     columns are not read."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
     schema = pa.schema([("key", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = sent.value
+        fitted = shipped(sent)
         for batch in slices(batches, 500):
             yield batch_of(schema, [batch.column("key"), [fitted.score(fitted.strengths(t)) for t in texts_of(batch, "_text")]])
 

@@ -191,15 +191,37 @@ def test_decontamination_finds_items_and_agrees_with_plain_scoring(spark):
     left = decontaminate.keep_uncontaminated(docs, bench, shard=25)
     assert {r.doc_id for r in left.collect()} == {i for i in range(120) if i % 3}
     index = decontaminate.Index([(i, t.encode()) for i, t in items])
+    weights = collections.defaultdict(dict)
+    for term, i in index.terms.items():
+        for u, w in zip(index.posted[i], index.impact[i]):
+            weights[u][term] = w
     for text in texts[:40]:
         words = decontaminate.FIND_WORDS.findall(text.encode().lower())
         for low in range(0, len(words), decontaminate.UNIT):
             passage = set(words[low:low + 2 * decontaminate.UNIT])
-            plain = {u for u, w in enumerate(index.weights) if sum(w[t] for t in w.keys() & passage) >= decontaminate.THRESHOLD}
+            plain = {u for u, w in weights.items() if sum(w[t] for t in w.keys() & passage) >= decontaminate.THRESHOLD}
             assert {u for u, _ in index.wand(passage)} == plain
             assert not plain or (low, low + 2 * decontaminate.UNIT) in index.passages(words)
 
 
+def test_scores_do_not_depend_on_the_shards(spark):
+    """Near copies too: scores come from statistics over all items, whichever shard an item is in."""
+    rng = random.Random(31)
+    items = [(i, prose(rng, n=rng.randint(20, 120)) + ". " + prose(rng, n=6) + ".") for i in range(80)] + [(5, "same item twice here ok yes"), (5, "same item twice here ok yes")]
+    texts = []
+    for i in range(80):
+        words = items[i][1].split()
+        for _ in range(i % 12):
+            words[rng.randrange(len(words))] = rng.choice("uvwxyz") * 3
+        texts.append(prose(rng, n=40) + " " + " ".join(words) + " " + prose(rng, n=40))
+    texts.append("x same item twice here ok yes y")
+    bench, docs = table(spark, items, "item_id long, text string"), table(spark, [doc(i, t) for i, t in enumerate(texts)])
+    rows = [sorted((r.key, r.item_id, r.score, r.question_overlap, r.answer_overlap) for r in decontaminate.contaminated(docs, bench, shard=n).collect())
+            for n in (1000, 20, 7)]
+    assert rows[0] == rows[1] == rows[2] and 40 < len(rows[0]) and [r[:2] for r in rows[0]].count((80, 5)) == 2
+    assert len({r[2] for r in rows[0]}) > 20  # near copies have scores of their own
+
+
 # 4
 def test_mix_hits_target_weights_and_repeats(spark):
     docs = table(spark, [doc(i, "w" * 50, source="big" if i % 10 else "small") for i in range(6000)])
@@ -292,6 +314,44 @@ def test_near_duplicates_are_exact(spark):
     assert len({c for _, c in want.values()}) > 25  # families that hang together in part only
 
 
+def test_near_duplicates_are_exact_where_families_are_cut_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 300)
+    monkeypatch.setattr(near_dup, "FEW_PAIRS", 1)
+    rng = random.Random(21)
+    shared = prose(rng, n=60).split()
+    rows = []
+    for _ in range(60):  # half of every text is boilerplate; some have near copies
+        own = [f"w{rng.randrange(10 ** 6)}" for _ in range(50)]
+        for _ in range(rng.choice((1, 1, 2, 4))):
+            text = shared + own
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = rng.choice("uvwxyz") * 3
+            rows.append((len(rows) * 3 + 1, " ".join(text)))
+    rng.shuffle(rows)
+    want = plain_components(rows, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.op6_near_duplicates(table(spark, [doc(*r) for r in rows])).collect()}
+    assert got == want and 60 <= len({c for _, c in want.values()}) < len(rows)
+
+
+def test_boilerplate_costs_in_proportion(spark, monkeypatch):
+    """Documents of half boilerplate, no two of them similar: what step 3 moves follows the number of documents."""
+    moved = []
+    between = near_dup._between
+
+    def counted(blocks, percent):
+        blocks = near_dup.settle(blocks)
+        moved.append(blocks.count())
+        return between(blocks, percent)
+
+    monkeypatch.setattr(near_dup, "_between", counted)
+    monkeypatch.setattr(near_dup, "BLOCK", 20_000)
+    shared = [f"common{i}" for i in range(210)]
+    for n in (300, 900):
+        rows = [doc(i, " ".join(shared + [f"own{i}x{j}" for j in range(100)])) for i in range(n)]
+        assert all(r.kept for r in near_dup.op6_near_duplicates(table(spark, rows)).collect())
+    assert moved[1] <= 3.5 * max(moved[0], 100)
+
+
 def test_components_of_long_chains(spark):
     n = 40
     links = [(i, i + 1) for i in range(n)] + [(1000, 1003), (1003, 1001)]
@@ -341,6 +401,27 @@ def test_toxicity_learns_words_of_other_languages(spark):
     assert all(r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_label_model_finds_planted_accuracies_without_labels():
+    """Rows of 18 voters of known accuracy, four of them copies of one; labels hold a fifth of the rows only."""
+    rng = np.random.default_rng(8)
+    y = rng.random(6000) < 0.2
+    found, chance = rng.uniform(0.3, 0.8, 18), rng.uniform(0.005, 0.05, 18)
+    vote = np.where(rng.random((6000, 18)) < np.where(y[:, None], found, chance), 1, -1)
+    for copy in (15, 16, 17):
+        vote[:, copy] = vote[:, 14]
+    anchors = np.where(rng.random(6000) < toxicity.ANCHORS, y, np.nan)
+    posterior = toxicity.label_model(vote, 0.2, anchors)
+    free = np.isnan(anchors)
+    assert ((posterior > 0.5) == y)[free].mean() > 0.97
+    for v in range(14):
+        assert np.average(vote[free, v] == 1, weights=posterior[free]) == pytest.approx(found[v], abs=0.06)
+        assert np.average(vote[free, v] == 1, weights=1 - posterior[free]) == pytest.approx(chance[v], abs=0.02)
+    # A row's own label does not reach its posterior unless it is an anchor.
+    turned = np.where(free, np.nan, anchors)
+    assert np.array_equal(toxicity.label_model(vote, 0.2, turned), posterior)
+    assert ((posterior > 0.5) != y)[free].sum() > 0
+
+
 # 9
 def test_scores_are_the_contracts(spark):
     rng = random.Random(19)
