@@ -349,7 +349,7 @@ def heavy_values(df: DataFrame, name: str, k: int = TOP_VALUES) -> DataFrame | N
     counts the candidates. Their order is certain if the k-th of them occurs oftener than that."""
     chosen = SPARE * k
     best = _frequent(df, name).orderBy(F.col("key").isNull().desc(), F.desc("low"), "key").limit(chosen + 2).collect()
-    missed, found = best[0]["missed"] or 0, best[1:]
+    missed, found = (best[0]["missed"] or 0, best[1:]) if best else (0, [])  # no task, no row
     most_of_others = missed + (found[chosen]["low"] if len(found) > chosen else 0)
     keys = [r["key"] for r in found[:chosen]]
     counts = value_counts(df.filter(_value_key(df, name).cast("string").isin(keys)), name)

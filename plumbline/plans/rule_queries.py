@@ -275,7 +275,7 @@ def sql_rules(lake: Lake):
          "SELECT max(o_totalprice) AS violation_count FROM orders WHERE o_orderkey < 0"),
         (RuleSpec(11, "divides by zero"), "SELECT max(1 / (o_orderkey - o_orderkey)) AS violation_count FROM orders"),
         (RuleSpec(12, "bad cast"), "SELECT max(CAST(o_orderstatus AS INT)) AS violation_count FROM orders"),
-        (RuleSpec(13, "takes too long", params={"timeout_s": 1.0}),
+        (RuleSpec(13, "takes too long", params={"timeout_s": 0.5}),
          "SELECT sum(o_orderkey + id % 7) AS violation_count FROM range(4000000000000000) LEFT JOIN orders ON o_orderkey = id"),
         (RuleSpec(14, "fails in foreign code"),
          "SELECT CAST(java_method('java.lang.Integer', 'parseInt', m) AS INT) AS violation_count FROM (SELECT max(o_orderstatus) AS m FROM orders)"),
@@ -388,7 +388,7 @@ def rule_contracts(lake: Lake):
         return next((kind for start, kind in kinds.items() if found.startswith(start)), found)
 
     told = lake.spark.createDataFrame([(sql, outcome(sql)) for sql, _ in _CONTRACTS], "sql_text string, outcome string")
-    return told.join(F.broadcast(lake.table("orders").agg(F.count(F.lit(1)).alias("orders"))))
+    return told.withColumn("orders", F.lit(lake.table("orders").count()))
 
 
 @query("graded_results", with_control("test_results rules", """
@@ -421,10 +421,10 @@ _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 def _audit_sql(source: str, key: str, text: str, strict: bool) -> str:
     stripped = _TRIM.format(rf"regexp_replace({text}, '({_Q})|{_C}', '\1', 'g')")
     body = _TRIM.format(r"regexp_replace(stripped, ';\z', '')")
-    extra = r"""
+    extra = rf"""
        WHEN regexp_matches(upper_masked, 'SELECT\s+\*\s+FROM') THEN 'AI_SELECT_STAR_BLOCKED'
-       WHEN regexp_matches(upper_masked, 'CROSS JOIN|LATERAL|COPY|EXPORT|INFORMATION_SCHEMA|PG_CATALOG|INTO|OVER') THEN 'AI_KEYWORD_BLOCKED'
-       WHEN regexp_matches(remarks, 'ignore previous instructions|system prompt|system command|you are now') THEN 'AI_INJECTION_ARTIFACT'
+       WHEN regexp_matches(upper_masked, '{"|".join(RT.STRICT_KEYWORDS)}') THEN 'AI_KEYWORD_BLOCKED'
+       WHEN regexp_matches(remarks, '{"|".join(RT.COMMENT_ARTIFACTS)}') THEN 'AI_INJECTION_ARTIFACT'
        WHEN NOT contains(upper_masked, 'VIOLATION_COUNT') THEN 'AI_MISSING_ALIAS'""" if strict else ""
     return rf"""audited AS (
   SELECT {key}, stripped, regexp_replace(stripped, '{_Q}', '""', 'g') AS shown,
@@ -434,8 +434,8 @@ def _audit_sql(source: str, key: str, text: str, strict: bool) -> str:
   FROM (SELECT *, {stripped} AS stripped FROM {source}))
 SELECT {key}, CASE WHEN stripped = '' THEN 'INVALID_SQL' WHEN regexp_matches(shown, ';\s*\S') THEN 'INVALID_SQL'
        WHEN upper(regexp_extract(masked, '{_L}([A-Za-z_][A-Za-z0-9_]*){_R}', 1)) <> 'SELECT' THEN 'INVALID_SQL'
-       WHEN regexp_matches(masked, '(?i){_L}(?:ALTER|CALL|COPY|CREATE|DELETE|DO|DROP|GRANT|INSERT|MERGE|REVOKE|TRUNCATE|UPDATE|VACUUM){_R}') THEN 'DISALLOWED_SQL'
-       WHEN regexp_matches(masked, '(?i){_L}(?:dblink|lo_export|lo_import|pg_ls_dir|pg_read_binary_file|pg_read_file|pg_sleep)\s*\(') THEN 'DISALLOWED_SQL_FUNCTION'{extra}
+       WHEN regexp_matches(masked, '(?i){_L}(?:{"|".join(RT.FORBIDDEN_STATEMENTS)}){_R}') THEN 'DISALLOWED_SQL'
+       WHEN regexp_matches(masked, '(?i){_L}(?:{"|".join(RT.FORBIDDEN_FUNCTIONS)})\s*\(') THEN 'DISALLOWED_SQL_FUNCTION'{extra}
        ELSE 'OK' END AS audit_code
 FROM audited"""
 

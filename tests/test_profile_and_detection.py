@@ -192,6 +192,7 @@ def test_heavy_values_decide_without_a_full_count(spark, monkeypatch):
     assert sorted((r["value"], r["n"]) for r in P.top_values_long(df, ["few"], 10).collect()) == [
         (str(j), sum(i % 3 == j for i in range(len(values)))) for j in range(3)]
     assert P.top_values_long(df.filter("v IS NULL"), ["v"], 3).collect() == []
+    assert P.top_values_long(spark.createDataFrame([], "v string"), ["v"], 3).collect() == []
 
 
 def test_sketches_merge_to_the_profile_of_the_whole(spark):
