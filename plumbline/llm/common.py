@@ -69,6 +69,60 @@ def slices(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch
             yield batch.slice(start, size)
 
 
+#: Where segments of the dimensions end, as shares of all.
+SEGMENTS = (0.25, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 1.0)
+#: Below this share of open pairs the accumulation ends and they are scored.
+FEW = 0.02
+
+
+def threshold_join(q: np.ndarray, floor: np.ndarray, v: np.ndarray, count: dict | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of *q* with any, its place and the rows of *v* whose inner product with it may reach its *floor*: all
+    that do are among them."""
+    width = q.shape[1]
+    if not len(v) or not len(q):
+        return
+    cuts = sorted({max(1, round(width * s)) for s in SEGMENTS})
+    begin = [0, *cuts]
+
+    def rests(x: np.ndarray) -> np.ndarray:
+        """Norms of the dimensions from each cut on: (rows, cuts + 1)."""
+        squares = np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1]
+        return np.sqrt(np.concatenate([squares[:, begin[:-1]], np.zeros((len(x), 1))], axis=1))
+
+    rest_q, rest_v = rests(q), rests(v)
+    norm = rest_q[:, 0]
+    slack = 1e-9 * (norm * rest_v[:, 0].max() + 1)
+    # A vector's dimensions from the first cut on whose norm stays below every relative threshold are not indexed.
+    reach = np.min(np.where(norm > 0, (floor - slack) / np.maximum(norm, 1e-300), np.where(floor > 0, np.inf, -np.inf)))
+    indexed = (rest_v >= reach).sum(axis=1) if reach > 0 else np.full(len(v), len(cuts))
+    indexed = np.minimum(indexed, len(cuts))
+    kept = np.flatnonzero(indexed > 0)  # the others are below the threshold with all their dimensions
+    total = np.zeros((len(q), len(kept)))
+    open_ = np.ones((len(q), len(kept)), bool)
+    for k, end in enumerate(cuts):
+        deep = np.flatnonzero(indexed[kept] > k)
+        if not len(deep):
+            break
+        part = slice(begin[k], end)
+        total[:, deep] += q[:, part] @ v[kept[deep], part].T
+        bound = total[:, deep] + rest_q[:, k + 1][:, None] * rest_v[kept[deep], k + 1][None, :]
+        open_[:, deep] &= bound + slack[:, None] >= floor[:, None]
+        if end == width or open_.mean() <= FEW:
+            break
+        some = open_.any(axis=0)
+        if some.mean() < 0.7:
+            kept, total, open_ = kept[some], total[:, some], open_[:, some]
+            if not len(kept):
+                return
+    if count is not None:
+        count["pairs"] = count.get("pairs", 0) + len(q) * len(v)
+        count["scored"] = count.get("scored", 0) + int(open_.sum())
+    for row in range(len(q)):
+        near = kept[np.flatnonzero(open_[row])]
+        if len(near):
+            yield row, near
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b) between long ids; the component is the
     smallest id of the connected nodes.

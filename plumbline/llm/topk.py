@@ -3,8 +3,9 @@
 Vectors are turned by the singular vectors of the whole table, so their first components carry most of their
 length. They are sorted by length and packed in blocks. Queries come in blocks too, each with the k-th best score
 that the longest vectors give it. A block of vectors is worth a look for a query only if the product of lengths
-reaches that score (Cauchy-Schwarz); within it, a vector only if its partial sum over the first ``HEAD``
-components plus the product of the remaining lengths does. What is left is scored exactly, in integers.
+reaches that score (Cauchy-Schwarz). Within it, partial sums grow over the leading components in steps; after each step
+a vector stays only if its partial sum plus the product of the remaining lengths reaches the score. What is left
+after the last step is scored exactly, in integers.
 """
 
 from __future__ import annotations
@@ -17,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batch_of
+from plumbline.llm.common import batch_of, threshold_join
 from plumbline.session import settle
 
 #: Vectors in a block and queries in a block.
 VECTORS, QUERIES = 4096, 512
-#: Leading components after the rotation whose partial sum is taken before a vector is dropped.
-HEAD = 16
 #: The longest vectors, from which every query takes its first k-th best score.
 LONGEST = 2048
 
@@ -138,7 +137,6 @@ def top_inner_products(table: DataFrame, every: int = 50, k: int = 5, scale: int
                                       "floors"), "query_block").join(packs, "block")
 
     def search(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = min(HEAD, width)
         for pdf in rows:
             for cell in pdf.itertuples():
                 q_ids, ids, norms = np.asarray(cell.q_ids), np.asarray(cell.ids), np.asarray(cell.norms)
@@ -150,14 +148,12 @@ def top_inner_products(table: DataFrame, every: int = 50, k: int = 5, scale: int
                 open_ = q_norm * norms.max() + slack >= floor
                 if not open_.any():
                     continue
-                turned_v, turned_q = v @ turn, q[open_] @ turn
-                rest_v = np.sqrt(np.maximum(0, (turned_v[:, head:] ** 2).sum(axis=1)))
-                rest_q = np.sqrt(np.maximum(0, (turned_q[:, head:] ** 2).sum(axis=1)))
-                partial = turned_q[:, :head] @ turned_v[:, :head].T
-                bound = partial + np.outer(rest_q, rest_v) + slack[open_][:, None]
                 found_q, found_v, found_s = [], [], []
-                for row, place in enumerate(np.flatnonzero(open_)):
-                    near = np.flatnonzero((bound[row] >= floor[place]) & (ids != q_ids[place]))
+                places = np.flatnonzero(open_)
+                # The slack is for the rounding of rotated sums.
+                for row, near in threshold_join(q[open_] @ turn, floor[open_] - slack[open_], v @ turn):
+                    place = places[row]
+                    near = near[ids[near] != q_ids[place]]
                     if not len(near):
                         continue
                     score = exact_scores(q[place][None, :], v[near])[0]

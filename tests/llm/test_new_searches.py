@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import hard_negatives, ranked_search, url_filter
+from plumbline.llm.common import threshold_join
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -223,10 +224,24 @@ def test_threshold_join_loses_nothing_and_prunes():
         for share in (0.5, 0.99, 1.0):
             floor = np.quantile(score, share, axis=1)
             count: dict = {}
-            found = dict(hard_negatives.threshold_join(q, floor, v, count))
+            found = dict(threshold_join(q, floor, v, count))
             for row in range(len(q)):
                 assert set(np.flatnonzero(score[row] >= floor[row])) <= set(found.get(row, ()))
             if width == 64 and share >= 0.99:
                 assert count["scored"] <= 0.15 * count["pairs"]
-        found = dict(hard_negatives.threshold_join(q, np.full(40, -np.inf), v))
+        found = dict(threshold_join(q, np.full(40, -np.inf), v))
         assert all(len(found[row]) == 800 for row in range(40))
+
+
+def test_top_k_scores_few_pairs_exactly(spark):
+    """The 2,000 vectors of a given table under their true fifth scores, which is what the longest vectors give there."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    v = np.floor(256 * np.array([r["embedding"] for r in rows], float))
+    turn = np.linalg.svd(v.T @ v)[0]
+    q = v[[i for i, r in enumerate(rows) if r["vec_id"] % 50 == 0]]
+    floor = np.sort(q @ v.T, axis=1)[:, -6] - 1.0  # the query itself is among them
+    count: dict = {}
+    found = dict(threshold_join(q @ turn, floor, v @ turn, count))
+    assert count["scored"] <= 0.15 * count["pairs"]
+    for i in range(len(q)):
+        assert set(np.flatnonzero(q[i] @ v.T >= floor[i] + 1)) <= set(found[i])
