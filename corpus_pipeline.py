@@ -13,22 +13,28 @@ from plumbline.session import settle
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned. Null and empty texts, and those without a letter, go; rows that repeat are
+    judged each; an empty table stays empty, here and in all stages."""
     return language.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest id (a null id last); rows that repeat stay once."""
     return near_dup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a test item. Items without a text match nothing; a null text holds none and stays."""
     return decontaminate.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and secrets replaced in their texts; a null text stays null."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's rate says, in random order; a null source is one of its own."""
     return mixing.mix(docs)
 
 
