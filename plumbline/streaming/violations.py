@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.operators.ordering import micros
+from plumbline.operators.ordering import _segments, micros
 from plumbline.operators.violations import MINUTE_US, failures, severity_minutes
 
 
@@ -31,10 +31,15 @@ def packed(rows: DataFrame, keys: list[str], each: list[str], values: list[str])
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             ordered = frame.sort_values([*keys, "us", "row_id"], kind="stable")
-            out = [(*(key if isinstance(key, tuple) else (key,)), *(part[c].iloc[0] for c in each),
-                    *(part[c].to_list() for c in values), pd.Timestamp(part["us"].iloc[-1], unit="us"))
-                   for key, part in ordered.groupby(keys, sort=False, dropna=False)]
-            yield pd.DataFrame(out, columns=[*keys, *each, *values, "last_at"])
+            bounds = list(_segments(ordered, keys))
+            if not bounds:
+                continue
+            first, last = (np.array(x) for x in zip(*bounds))
+            columns = {c: ordered[c].to_numpy() for c in [*keys, *each, *values]}
+            yield pd.DataFrame(
+                {c: columns[c][first] for c in [*keys, *each]}
+                | {c: [columns[c][a:b] for a, b in bounds] for c in values}
+                | {"last_at": pd.to_datetime(columns["us"][last - 1], unit="us")})
 
     fields = [f"{c} {kinds[c]}" for c in [*keys, *each]] + [f"{c} array<{kinds[c]}>" for c in values] + ["last_at timestamp"]
     return rows.mapInPandas(run, ", ".join(fields))
@@ -42,11 +47,12 @@ def packed(rows: DataFrame, keys: list[str], each: list[str], values: list[str])
 
 def _merged(frames: Iterator[pd.DataFrame], values: list[str], since: int) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
     """The last pack, and the arrays of all packs in order of time without what is older than *since*."""
-    packs = pd.concat(list(frames), ignore_index=True)  # a row per task
-    arrays = {c: np.concatenate([np.asarray(x) for x in packs[c]]) for c in values}
+    packs = list(frames)  # a row per task
+    arrays = {c: np.concatenate([np.asarray(x) for frame in packs for x in frame[c]]) for c in values}
     kept = np.flatnonzero(arrays["us"] >= since)
-    order = kept[np.lexsort((arrays["row_id"][kept], arrays["us"][kept]))]
-    return packs.iloc[-1], {c: x[order] for c, x in arrays.items()}
+    if len(packs) > 1 or len(packs[0]) > 1:  # one pack is in order
+        kept = kept[np.lexsort((arrays["row_id"][kept], arrays["us"][kept]))]
+    return packs[-1].iloc[-1], {c: x[kept] for c, x in arrays.items()}
 
 
 def _since(state: GroupState) -> int:
