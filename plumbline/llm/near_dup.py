@@ -42,6 +42,8 @@ SIDE, ROWS = 10, 3
 SLOTS_A_ROW, FEWEST_SLOTS, MOST_SLOTS = 16, 2 ** 20, 2 ** 28
 #: Elements of shingle sets that one block of step 3 holds about; a longer set is a block of its own.
 BLOCK = 100_000
+#: Sets whose table keys a task lists, and tasks for that at most.
+SETS, MOST_PARTS = 8000, 20_000
 #: Pairs of blocks up to which a family is not cut by shingles.
 FEW_PAIRS = 8
 
@@ -294,7 +296,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
                   .withColumn("node", F.monotonically_increasing_id()), "sets")
     table = F.expr(f"""flatten(transform(slice(halves, 1, {side}), (x, i) ->
         transform(slice(halves, {side} + 1, {side}), (y, j) -> xxhash64(x, y, i, j))))""")
-    keyed = sets.select("node", F.explode(table).alias("table"))
+    # Every set has a row for each of the tables, so tasks start with few sets.
+    parts = min(MOST_PARTS, max(1, -(-sets.count() // SETS)))
+    keyed = sets.select("node", "halves").repartition(parts).select("node", F.explode(table).alias("table"))
     # A group of copies has all its keys in common: counted before the shuffle, and joined back, so that it can be split.
     centres = keyed.groupBy("table").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     members = settle(keyed.join(centres, "table").filter("node <> centre").select(
