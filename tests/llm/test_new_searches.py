@@ -147,6 +147,35 @@ def test_url_ratio_equals_plain_models(spark):
     assert url_filter.ratios(model, []).tolist() == []
 
 
+def test_url_model_counts_every_distinct_url(spark):
+    """More URLs a class than the counts once read; folds aside, each is counted once."""
+    n = 70_000
+    url = F.when(F.col("id") < n, F.concat(F.lit("http://a"), "id", F.lit(".example.net/en/"))).otherwise(F.concat(F.lit("http://b"), "id", F.lit(".net/")))
+    rows = spark.range(2 * n).select(url.alias("url"), F.when(F.col("id") < n, "allow").otherwise("block").alias("verdict"))
+    model, root = url_filter.train(rows)
+    ends = model.filter(f"length = 1 AND string = {url_filter.END}").select("accepted", "rejected").collect()
+    counted = rows.filter(url_filter._fold() > 0).groupBy("verdict").agg(F.count("*"), F.sum(F.octet_length("url") + 1)).collect()
+    expected = {v: (k, symbols) for v, k, symbols in counted}
+    assert [tuple(r) for r in ends] == [(expected["allow"][0], expected["block"][0])]
+    assert root[:2] == (expected["allow"][1], expected["block"][1])  # what follows the empty string: every symbol
+    assert sum(k for k, _ in expected.values()) > 2 * 50_000
+
+
+def test_url_scores_do_not_depend_on_blocks(spark):
+    rng = random.Random(5)
+    train = [(f"http://{rng.choice(('news', 'blog'))}{i}.com/{rng.choice('abc')}", 0) for i in range(60)]
+    train += [(f"http://{rng.choice(('spin', 'win'))}-{i}.biz/{rng.choice('xyz')}?r={rng.randrange(9)}", 1) for i in range(60)]
+    rows = spark.createDataFrame([(u, ("allow", "block")[c]) for u, c in train], "url string, verdict string")
+    asked = spark.createDataFrame([(u, None) for u in [*(u for u, _ in train), "", "quite other", "é", "http://", "x" * 3000]], rows.schema)
+    model, root = url_filter.train(rows)
+    kept = {r.url for r in rows.filter(url_filter._fold() > 0).collect()}
+    for size in (50, 1 << 20):
+        found = {r.url: r.ratio for r in url_filter._scored(asked, model, root, size).collect()}
+        assert len(found) == 125
+        for u in [*list(found)[::9], "", "é", "http://"]:
+            assert found[u] == pytest.approx(ratio_plainly([t for t in train if t[0] in kept], u), abs=1e-9)
+
+
 def test_url_models_tell_held_out_urls_apart(spark):
     rng = random.Random(4)
     rows = [(i, f"http://{rng.choice(('garden', 'music', 'school'))}{rng.randrange(500)}.example.net/en/{rng.randrange(9999)}") for i in range(600)]
