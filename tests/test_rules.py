@@ -1,3 +1,4 @@
+import random
 import time
 from decimal import Decimal
 
@@ -276,3 +277,20 @@ def test_delete_and_update(spark):
     assert updated[1]["schedule_cron"] is None and updated[1]["severity"] == "low"
     paused = RT.set_enabled(rules, rules.filter("rule_id = 2"), False).collect()
     assert {r["rule_id"]: r["is_enabled"] for r in paused} == {1: True, 2: False}
+
+
+def test_audit_makes_each_form_of_a_text_once(spark):
+    rng = random.Random(3)
+    pieces = ["'", '"', "--", "/*", "*/", ";", " ", "\n", "\x85", "SELECT ", "*", " from", "do", "drop", "é", "_x", "(", "pg_sleep", "dblink ",
+              "COUNT(*) AS violation_count", "cross join", "over", "System Prompt", "ß", "1", "-", "/", "$1"]
+    rows = [(i, ("SELECT " if i % 2 else "") + "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))) for i in range(3000)]
+    texts = spark.createDataFrame([*rows, (-1, None)], "id long, sql_text string")
+    for strict in (False, True):
+        audited = RT.audit_rules(texts, strict)
+        assert audited.columns == ["id", "sql_text", "audit_code"]
+        plan = audited._jdf.queryExecution().optimizedPlan().toString()
+        # comments, literals, and literals again where a semicolon is found
+        assert plan.count("regexp_replace(") <= 3 and plan.count("upper(") <= 1 + strict
+        expected = {r.id: r.code for r in texts.select("id", RT.audit_code(F.col("sql_text"), strict).alias("code")).collect()}
+        assert {r.id: r.audit_code for r in audited.collect()} == expected
+        assert len(set(expected.values())) == (8 if strict else 4)
