@@ -442,14 +442,14 @@ FROM audited"""
 
 @query("rule_audit", with_control("rules", "") .rstrip() + ", " + _audit_sql("rules", "rule_id", "sql_text", False))
 def rule_audit(lake: Lake):
-    return RT.audit_rules(lake.rules()).select(
+    return RT.audit_rules(lake.rules(dealt=True)).select(
         "rule_id", F.coalesce("audit_code", F.lit("OK")).alias("audit_code")
     )
 
 
 @query("rule_audit_strict", with_control("rules", "").rstrip() + ", " + _audit_sql("rules", "rule_id", "sql_text", True))
 def rule_audit_strict(lake: Lake):
-    return RT.audit_rules(lake.rules(), strict=True).select(
+    return RT.audit_rules(lake.rules(dealt=True), strict=True).select(
         "rule_id", F.coalesce("audit_code", F.lit("OK")).alias("audit_code")
     )
 
@@ -479,14 +479,14 @@ def fingerprint_sql(body: str) -> str:
 
 @query("rule_fingerprints", fingerprint_sql("SELECT rule_id, rule_fingerprint FROM fp"))
 def rule_fingerprints(lake: Lake):
-    return RT.with_fingerprint(lake.rules()).select("rule_id", "rule_fingerprint")
+    return RT.with_fingerprint(lake.rules(dealt=True)).select("rule_id", "rule_fingerprint")
 
 
 @query("rule_duplicates", fingerprint_sql("""
 SELECT rule_fingerprint, min(rule_id) AS first_rule_id, count(*) AS copies FROM fp
 GROUP BY rule_fingerprint HAVING count(*) > 1"""))
 def rule_duplicates(lake: Lake):
-    return RT.duplicate_rules(lake.rules())
+    return RT.duplicate_rules(lake.rules(dealt=True))
 
 
 _STATUS = """CASE WHEN NOT is_enabled THEN 'disabled' WHEN schedule_cron IS NULL OR trim(schedule_cron) = '' THEN 'missing_schedule'
@@ -502,7 +502,7 @@ def schedule_status(lake: Lake):
 @query("active_rules", fingerprint_sql(f"""
 SELECT min(rule_id) AS rule_id FROM fp WHERE {_STATUS} = 'schedulable' GROUP BY rule_fingerprint"""))
 def active_rules(lake: Lake):
-    return RT.active_rules(lake.rules()).select("rule_id")
+    return RT.active_rules(lake.rules(dealt=True)).select("rule_id")
 
 
 @query("deleted_rules", with_control("rules test_results", """

@@ -294,3 +294,12 @@ def test_audit_makes_each_form_of_a_text_once(spark):
         expected = {r.id: r.code for r in texts.select("id", RT.audit_code(F.col("sql_text"), strict).alias("code")).collect()}
         assert {r.id: r.audit_code for r in audited.collect()} == expected
         assert len(set(expected.values())) == (8 if strict else 4)
+
+
+@pytest.mark.parametrize("name", ["rule_audit", "rule_audit_strict", "rule_fingerprints"])
+def test_texts_of_one_small_file_are_shared_out(spark, name):
+    from plumbline.plans import load_all
+
+    audited = load_all()[name].run(spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in audited.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1500 and len(sizes) == 4 and max(sizes) < 500
