@@ -1,9 +1,9 @@
 """Stateful violation streams: dedup, held batches, sliding alert context.
 
-Rows go through two levels. In the first, without state, what a task of a micro-batch holds of one key becomes one row of
-arrays in order of time, so a hot key reaches its state as one short row per task. In the second, arrays are merged
-and walked from anchor to anchor. State is a few numbers per key and ends with the event time: a window whose end the
-watermark has passed decides nothing any more. How much a micro-batch holds is limited at the source
+Rows go through two levels. In the first, without state, what a task of a micro-batch holds of one bucket of keys becomes one
+row of arrays in order of time, so a hot key reaches its state as a few rows per task. In the second, arrays are merged
+and each key is walked from anchor to anchor. Keys share state by bucket, because a call per key costs more than its rows. State
+is a few numbers per key and ends with the event time: a window whose end the watermark has passed decides nothing any more. How much a micro-batch holds is limited at the source
 (``sources.tables.stream_files``).
 
 Rows that come later than the watermark are left out: the state that they would be compared with may be gone.
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,14 +45,11 @@ def packed(rows: DataFrame, keys: list[str], each: list[str], values: list[str])
     return rows.mapInPandas(run, ", ".join(fields))
 
 
-def _merged(frames: Iterator[pd.DataFrame], values: list[str], since: int) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
-    """The last pack, and the arrays of all packs in order of time without what is older than *since*."""
-    packs = list(frames)  # a row per task
-    arrays = {c: np.concatenate([np.asarray(x) for frame in packs for x in frame[c]]) for c in values}
-    kept = np.flatnonzero(arrays["us"] >= since)
-    if len(packs) > 1 or len(packs[0]) > 1:  # one pack is in order
-        kept = kept[np.lexsort((arrays["row_id"][kept], arrays["us"][kept]))]
-    return packs[-1].iloc[-1], {c: x[kept] for c, x in arrays.items()}
+def _merged(frames: Iterator[pd.DataFrame], keys: list[str], values: list[str], since: int) -> pd.DataFrame:
+    """The rows of all packs in order of *keys* and time, without what is older than *since*."""
+    packs = list(frames)  # a row per Arrow batch of the first level
+    rows = pd.DataFrame({c: np.concatenate([np.asarray(x) for frame in packs for x in frame[c]]) for c in [*keys, "us", "row_id", *values]})
+    return rows[rows["us"] >= since].sort_values([*keys, "us", "row_id"], kind="stable", ignore_index=True)
 
 
 def _since(state: GroupState) -> int:
@@ -60,27 +57,40 @@ def _since(state: GroupState) -> int:
     return state.getCurrentWatermarkMs() * 1000
 
 
+#: Buckets of keys that share a row of state. The number is part of a stream's checkpoint.
+BUCKETS = 1024
+
+
+def bucket_of(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
 def _dedup_rows(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+    if state.hasTimedOut:  # the last of the bucket's windows has ended
         state.remove()
         return
-    pack, rows = _merged(frames, ["us", "row_id"], _since(state))
-    us, window = rows["us"], int(pack["window_us"])
-    new = np.full(len(us), window <= 0)
-    if window > 0:
-        until = state.get[0] if state.exists else None
-        at = 0 if until is None else int(np.searchsorted(us, until, side="right"))
-        while at < len(us):
+    rows = _merged(frames, ["rule_id", "fingerprint"], ["window_us"], _since(state))
+    rules, prints, times, windows = (rows[c].to_numpy() for c in ("rule_id", "fingerprint", "us", "window_us"))
+    until = {(rule, text): end for rule, text, end in zip(*state.get)} if state.exists else {}
+    new = windows <= 0
+    for start, end in _segments(rows, ["rule_id", "fingerprint"]):
+        window = int(windows[start])
+        if window <= 0:
+            continue
+        who = int(rules[start]), prints[start]
+        at = start if who not in until else start + int(np.searchsorted(times[start:end], until[who], side="right"))
+        while at < end:
             new[at] = True
-            until = int(us[at]) + window
-            at = int(np.searchsorted(us, until, side="right"))
-        ends_ms = None if until is None else until // 1000 + 1
-        if ends_ms is not None and ends_ms > state.getCurrentWatermarkMs():
-            state.update((until,))
-            state.setTimeoutTimestamp(ends_ms)
-        elif state.exists:
-            state.remove()
-    yield pd.DataFrame({"row_id": rows["row_id"], "rule_id": key[0], "fingerprint": key[1], "us": us, "is_new": new})
+            until[who] = int(times[at]) + window
+            at += int(np.searchsorted(times[at:end], until[who], side="right"))
+    watermark = state.getCurrentWatermarkMs()
+    held = [(rule, text, end) for (rule, text), end in until.items() if end // 1000 + 1 > watermark]
+    if held:
+        state.update(tuple(list(column) for column in zip(*held)))
+        state.setTimeoutTimestamp(max(end for _, _, end in held) // 1000 + 1)
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame({"row_id": rows["row_id"], "rule_id": rules, "fingerprint": prints, "us": times, "is_new": new})
 
 
 def stream_dedup(
@@ -92,7 +102,8 @@ def stream_dedup(
 ) -> DataFrame:
     """Anchored dedup as a stream: (row_id, rule_id, fingerprint, us, is_new).
 
-    State is the end of the current window, and is dropped once the watermark has passed it. Rows later than the
+    State is the end of a key's current window, and is dropped once the watermark has passed it: with the bucket's next rows,
+    or when the last window of the bucket has ended. Rows later than the
     watermark (*delay* behind the newest row) are left out; others from before the end of the window are duplicates.
     """
     rows = failures(stream).select(
@@ -100,11 +111,12 @@ def stream_dedup(
         micros(F.col(time)).alias("us"),
         (F.col(window_minutes).cast("long") * MINUTE_US).alias("window_us"),
     )
-    packs = packed(rows, ["rule_id", "fingerprint"], ["window_us"], ["us", "row_id"]).withWatermark("last_at", delay)
-    return packs.groupBy("rule_id", "fingerprint").applyInPandasWithState(
+    dealt = rows.withColumn("bucket", bucket_of("rule_id", "fingerprint"))
+    packs = packed(dealt, ["bucket"], [], ["rule_id", "fingerprint", "us", "row_id", "window_us"]).withWatermark("last_at", delay)
+    return packs.groupBy("bucket").applyInPandasWithState(
         _dedup_rows,
         "row_id long, rule_id long, fingerprint string, us long, is_new boolean",
-        "until long",
+        "rules array<long>, fingerprints array<string>, untils array<long>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
@@ -114,36 +126,37 @@ _BATCH = ["rule_id", "severity", "first_us", "last_us", "occurrences", "violatio
 
 
 def _held_rows(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        severity, _, first, last, count, total = state.get
+    held = {rule: list(batch) for rule, *batch in zip(*state.get)} if state.exists else {}
+    closed = []
+    if not state.hasTimedOut:
+        rows = _merged(frames, ["rule_id"], ["value", "severity", "window_us"], _since(state))
+        rules, us, severities, windows = (rows[c].to_numpy() for c in ("rule_id", "us", "severity", "window_us"))
+        amounts = np.nan_to_num(rows["value"].to_numpy().astype(float))
+        for start, stop in _segments(rows, ["rule_id"]):
+            rule, at = int(rules[start]), start
+            batch = held.get(rule)
+            while at < stop:
+                if batch is None or us[at] >= batch[2] + batch[1]:
+                    if batch is not None:
+                        closed.append((rule, batch[0], *batch[2:]))
+                    batch = [severities[at], int(windows[at]), int(us[at]), int(us[at]), 0, 0.0]
+                    end = max(at + 1, at + int(np.searchsorted(us[at:stop], batch[2] + batch[1], side="left")))
+                else:
+                    end = at + int(np.searchsorted(us[at:stop], batch[2] + batch[1], side="left"))
+                batch[3] = max(batch[3], int(us[end - 1]))
+                batch[4] += end - at
+                batch[5] += float(amounts[at:end].sum())
+                at = end
+            held[rule] = batch
+    watermark = state.getCurrentWatermarkMs()
+    due_ms = {rule: (batch[2] + batch[1]) // 1000 + 1 for rule, batch in held.items()}
+    closed += [(rule, held[rule][0], *held[rule][2:]) for rule, due in due_ms.items() if due <= watermark]
+    open_ = [rule for rule, due in due_ms.items() if due > watermark]
+    if open_:
+        state.update(tuple(list(column) for column in zip(*[(rule, *held[rule]) for rule in open_])))
+        state.setTimeoutTimestamp(min(due_ms[rule] for rule in open_))
+    elif state.exists:
         state.remove()
-        yield pd.DataFrame([(key[0], severity, first, last, count, total)], columns=_BATCH)
-        return
-    held = list(state.get) if state.exists else None
-    pack, rows = _merged(frames, ["us", "row_id", "value"], _since(state))
-    us, amounts, closed = rows["us"], np.nan_to_num(rows["value"].astype(float)), []
-    at = 0
-    while at < len(us):
-        if held is None or us[at] >= held[2] + held[1]:
-            if held is not None:
-                closed.append((key[0], held[0], *held[2:]))
-            held = [pack["severity"], int(pack["window_us"]), int(us[at]), int(us[at]), 0, 0.0]
-            end = max(at + 1, int(np.searchsorted(us, held[2] + held[1], side="left")))
-        else:
-            end = int(np.searchsorted(us, held[2] + held[1], side="left"))
-        held[3] = max(held[3], int(us[end - 1]))
-        held[4] += end - at
-        held[5] += float(amounts[at:end].sum())
-        at = end
-    if held is not None:
-        due_ms = (held[2] + held[1]) // 1000 + 1
-        if due_ms <= state.getCurrentWatermarkMs():
-            closed.append((key[0], held[0], *held[2:]))
-            if state.exists:
-                state.remove()
-        else:
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(due_ms)
     yield pd.DataFrame(closed, columns=_BATCH)
 
 
@@ -163,12 +176,14 @@ def stream_batches(
         (severity_minutes(F.col("severity")).cast("long") * MINUTE_US).alias("window_us"),
         F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"),
     )
-    packs = packed(rows, ["rule_id"], ["severity", "window_us"], ["us", "row_id", "value"]).withWatermark("last_at", delay)
-    return packs.groupBy("rule_id").applyInPandasWithState(
+    dealt = rows.withColumn("bucket", bucket_of("rule_id"))
+    packs = packed(dealt, ["bucket"], [], ["rule_id", "us", "row_id", "value", "severity", "window_us"]).withWatermark("last_at", delay)
+    return packs.groupBy("bucket").applyInPandasWithState(
         _held_rows,
         "rule_id long, severity string, first_us long, last_us long, occurrences long, "
         "violation_total double",
-        "severity string, window long, first long, last long, n long, total double",
+        "rules array<long>, severities array<string>, windows array<long>, firsts array<long>, lasts array<long>, "
+        "ns array<long>, totals array<double>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

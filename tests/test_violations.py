@@ -249,3 +249,24 @@ def test_stream_batches_equal_batch(spark, rows, df, tmp_path):
         for r in got.collect() if r["rule_id"] != 99
     }
     assert found == expected
+
+
+def test_streams_keep_state_by_buckets_of_keys(spark, tmp_path):
+    """Many keys and a hot one: state has a row per bucket, results are those of single keys."""
+    many = [(i, 100 + i % 2500, "FAIL", ("high", "low")[i % 2], Decimal(i % 7), START + timedelta(seconds=97 * (i // 2500)), "pq"[i % 2], 5) for i in range(10_000)]
+    many += [(20_000 + i, 1, "FAIL", "high", Decimal(1), START + timedelta(seconds=i), "p", 2) for i in range(400)]
+    stream = SV.stream_dedup(stream_of(spark, tmp_path, many, files=3))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    totals = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 500 < max(totals) <= 1024
+    got = {r["row_id"]: r["is_new"] for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: new for i, (new, _) in replay(many).items()}
+
+    end = (99_999, 99, "FAIL", "critical", None, START + timedelta(days=30), "p", 5)
+    (tmp_path / "held").mkdir()
+    held = drain(spark, SV.stream_batches(stream_of(spark, tmp_path / "held", many + [end], files=3)), tmp_path / "held")
+    batches = V.batch_summary(V.assign_batches(settle(V.hold_batches(spark.createDataFrame(many, SCHEMA)))))
+    expected = sorted((r["rule_id"], r["total_occurrences"], float(r["total_violation_count"])) for r in batches.collect())
+    assert sorted((r["rule_id"], r["occurrences"], r["violation_total"]) for r in held.collect() if r["rule_id"] != 99) == expected
