@@ -52,6 +52,37 @@ def test_evidence_and_gate(spark):
     assert {k: r["review"] for k, r in rows.items()} == {1: "none", 2: "review", 3: "review"}
 
 
+def test_evidence_works_the_rate_out_as_the_scores_do(spark):
+    rules = spark.createDataFrame([(i, f"r{i}", f"s{i}", i % 4 != 3 if i % 5 else None) for i in range(40)],
+                                  "rule_id long, rule_name string, sql_text string, is_enabled boolean")
+    results = results_of(spark, [(i, ("FAIL", "PASS", "ERROR")[i % 3], 20 + i, i) for i in range(40)])
+    kinds = ("reject", "edit", "annotate", "accept")
+    feedback = feedback_of(spark, [(i % 13, kinds[(i * i + i // 13) % 4], ("", None, f"t{i}")[i % 3], i % 41) for i in range(400)])
+    scores = S.score_rules(rules, results, feedback, as_of()).select("rule_id", "false_positive_rate")
+    given = S.improvement_evidence(rules.join(scores, "rule_id", "left"), results, feedback, as_of())
+    own = S.improvement_evidence(rules, results, feedback, as_of())
+    assert own.columns == given.columns and sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, given.collect()), key=repr)
+    assert len({r["false_positive_rate"] for r in own.collect()}) > 3
+
+
+def sorts_and_scans(spark, name):
+    """Of a query's plan when no table is small enough to be sent to all tasks."""
+    from plumbline.plans import load_all
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = load_all()[name].run(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    return plan.count(" Sort ["), plan.count("FileScan parquet")
+
+
+def test_evidence_puts_feedback_in_order_once(spark):
+    sorts, scans = sorts_and_scans(spark, "improvement_evidence")
+    assert sorts <= 6 and scans <= 4  # rules, executions, first failures, feedback by rule and by time
+
+
 def test_override(spark):
     summaries = spark.createDataFrame(
         [(1, 1, "first", ["f"]), (2, 2, "second", ["g"])], "id long, rule_id long, summary string, suggested_fixes array<string>")
