@@ -83,6 +83,11 @@ def test_evidence_puts_feedback_in_order_once(spark):
     assert sorts <= 6 and scans <= 4  # rules, executions, first failures, feedback by rule and by time
 
 
+def test_the_gate_sorts_no_more_than_the_evidence(spark):
+    sorts, scans = sorts_and_scans(spark, "needs_review")
+    assert sorts <= 7 and scans <= 4  # the counts alone are hashed, and put in order for the join
+
+
 def test_override(spark):
     summaries = spark.createDataFrame(
         [(1, 1, "first", ["f"]), (2, 2, "second", ["g"])], "id long, rule_id long, summary string, suggested_fixes array<string>")
