@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import reports as R
 from plumbline.operators import scoring as S
+from plumbline.operators import violations as V
 from plumbline.operators.suggest import apply_suggestions
 
 NOW = datetime(2024, 2, 1)
@@ -88,6 +89,39 @@ def test_the_gate_sorts_no_more_than_the_evidence(spark):
     assert sorts <= 7 and scans <= 4  # the counts alone are hashed, and put in order for the join
 
 
+def test_evidence_and_gate_sort_each_input_once(spark):
+    for name in ("improvement_evidence", "needs_review"):
+        assert sorts_and_scans(spark, name) == (4, 4)  # rules, executions, first failures, feedback
+
+
+def test_feedback_before_the_first_failure_is_no_evidence(spark):
+    rules = spark.createDataFrame([(i, f"r{i}", f"s{i}", i % 4 != 3) for i in range(14)],
+                                  "rule_id long, rule_name string, sql_text string, is_enabled boolean")
+    # some rules never fail, one fails after all feedback, others before the trailing days, between or with a feedback row
+    results = results_of(spark, [(i, "PASS", 2, 29) for i in range(14)] + [
+        (i, ("FAIL", "ERROR")[i % 2], 1 + i, (0, 40, 5, 10, 12, 30, 3)[i % 7]) for i in range(13) if i % 5])
+    kinds = ("reject", "edit", "annotate", "accept")
+    given = [(i % 13 if i % 17 else None, kinds[(i * i + i // 13) % 4], ("", None, f"t{i}")[i % 3], 1 + i * i % 37) for i in range(400)]
+    feedback = feedback_of(spark, given)
+    failed = V.failures(results)
+    linked = V.in_some_batch(failed, feedback, "created_at")
+    known = sorted(map(tuple, S.improvement_evidence(rules, results, linked, as_of()).collect()))
+    own = sorted(map(tuple, S.improvement_evidence(rules, results, feedback, as_of(), V.first_failures(failed)).collect()))
+    assert own == known
+
+    first = {r["rule_id"]: r["first_failure"] for r in V.first_failures(failed).collect()}
+    fails = {r["rule_id"]: r["fails"] for r in S.execution_stats(results, as_of()).collect()}
+    for rule, _, _, rate, _, failures, rejections, corrections in own:
+        rows = sorted(((days, -i, kind, text) for i, (r, kind, text, days) in enumerate(given)
+                       if r == rule and days < 30 and rule in first and NOW - timedelta(days=days) >= first[rule]))
+        rejects = sum(kind == "reject" for _, _, kind, _ in rows)
+        texts = [f"- {text}" for _, _, kind, text in rows[:5] if kind in ("edit", "annotate") and text]
+        assert failures == fails[rule] and rejections == sum(kind == "reject" for _, _, kind, _ in rows[:5])
+        assert corrections == ("\n".join(texts) or "None recorded.")
+        assert rate == (None if rule % 4 == 3 else round(min(100.0, rejects / max(1, failures) * 100), 2))
+    assert len({r[3] for r in own}) > 3 and len({r[6] for r in own}) > 2 and len({r[7] for r in own}) > 5
+
+
 def test_override(spark):
     summaries = spark.createDataFrame(
         [(1, 1, "first", ["f"]), (2, 2, "second", ["g"])], "id long, rule_id long, summary string, suggested_fixes array<string>")
